@@ -108,8 +108,10 @@ class Words:
         self.ends = np.flatnonzero(inside & (edges[1:] | ~np.concatenate((inside[1:], [False])))) + 1 if len(low) else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.starts, block.offsets)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE_CODES[self.low], self.starts, self.ends)
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its first `prefix` bytes."""
+        ends = np.minimum(self.ends, self.starts + prefix) if prefix else self.ends
+        return span_hashes(_BYTE_CODES[self.low], self.starts, ends)
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j - 1 joined by single spaces."""

@@ -6,20 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+import public_tokenizers
+
+from . import bpe, decontaminate, neardup, quality, token_files
+
+#: The tokenizer of the queries; the operators take any path of this format.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_index(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.graded(docs, quality.trained(docs, quality.ratings(table(spark, sf_dir, "labels"))))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_files": op3_token_files,
+        "op4_decontamination": op4_decontamination,
+        "op6_ordinal_quality": op6_ordinal_quality,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op9_bpe_round_trip": op9_bpe_round_trip,
     }
 
 
