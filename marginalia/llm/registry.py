@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontaminate, neardup, quality, token_files
+from . import bpe, decontaminate, license_scan, neardup, pii, quality, shards, token_files, unigram_counts
 
 #: The tokenizer of the queries; the operators take any path of this format.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_index(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
@@ -26,6 +35,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assigned(table(spark, sf_dir, "documents"), n_shards=24)
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.graded(docs, quality.trained(docs, quality.ratings(table(spark, sf_dir, "labels"))))
@@ -39,15 +52,23 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_pii_spans": op2_pii_spans,
         "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
+        "op5_virtual_slots": op5_virtual_slots,
         "op6_ordinal_quality": op6_ordinal_quality,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_unigram_counts": op10_unigram_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle_sql()}
