@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, decontaminate, license_scan, neardup, pii, quality, shards, token_files, unigram_counts
+from . import bpe, decontaminate, license_scan, neardup, pii, quality, rules, shards, token_files, unigram_counts
 
 #: The tokenizer of the queries; the operators take any path of this format.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -65,10 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_virtual_slots": op5_virtual_slots,
         "op6_ordinal_quality": op6_ordinal_quality,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_rule_cascade": op8_rule_cascade,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_unigram_counts": op10_unigram_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql()}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op8_rule_cascade": rules.ORACLE_SQL}
