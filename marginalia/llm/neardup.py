@@ -10,8 +10,9 @@ Documents are sets of distinct w-word shingles; two are linked when 100 * |A n B
 3. Classes that share a band key are candidates.  Each bucket first compares
    its members with its smallest member only.
 4. A second round looks for links between members of a bucket that are not yet
-   in one component.  It compares signatures in blocks inside a task; block
-   pairs that lie within one component are never formed.
+   in one component.  It compares them in blocks inside a task and gives at most
+   one link for a member and component; block pairs that lie within one
+   component are never formed.
 5. Each comparison reads the signatures batch by batch and stops as soon as the
    posterior probability that the similarity reaches the threshold falls below
    `miss` (uniform prior).  What survives is verified on the full sets.
@@ -24,11 +25,12 @@ probability 3e-6) and `miss`.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import NONSPACE, Block, Words, mix64, pieces, window_hashes
@@ -39,7 +41,7 @@ HASHES = BANDS * ROWS
 #: Signature hashes looked at between two looks at the posterior.
 BATCH = 32
 #: Members of a bucket that one row of the second round holds.
-GROUP = 256
+GROUP = 64
 #: Rows up to which a table of ids is broadcast (16 bytes each); beyond it, it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -139,8 +141,11 @@ def _prune(least: list[int]):
     return run
 
 
-def _prune_groups(least: list[int]):
-    """Pairs of different components from two groups of a bucket; the same group stands for its own pairs."""
+def _link_groups(least: list[int], percent: int):
+    """Links of different components from two groups of a bucket; the same group stands for its own pairs.
+
+    A member needs one link to each other component, so no more rows come out than members and components go in.
+    """
 
     def run(batches):
         for batch in batches:
@@ -150,11 +155,20 @@ def _prune_groups(least: list[int]):
                 sx, sy = (np.frombuffer(b"".join(m["sign"] for m in z), np.uint8).reshape(-1, HASHES) for z in (x, y))
                 cx, cy = (np.array([m["comp"] for m in z]) for z in (x, y))
                 ix, iy = (np.array([m["rid"] for m in z]) for z in (x, y))
+                wx, wy = ([np.frombuffer(m["shingles"], "<u8") for m in z] for z in (x, y))
                 for i in range(len(x)):
                     other = np.flatnonzero((cy != cx[i]) & ((iy > ix[i]) | (row["gx"] != row["gy"])))
                     stay = other[promising(np.broadcast_to(sx[i], (len(other), HASHES)), sy[other], least)]
-                    a += np.minimum(iy[stay], ix[i]).tolist()
-                    b += np.maximum(iy[stay], ix[i]).tolist()
+                    if not len(stay):
+                        continue
+                    sizes = np.array([len(wy[j]) for j in stay])
+                    every = np.concatenate([wy[j] for j in stay])
+                    at = np.minimum(np.searchsorted(wx[i], every), len(wx[i]) - 1)
+                    both = np.add.reduceat((wx[i][at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                    linked = stay[100 * both >= percent * (len(wx[i]) + sizes - both)]
+                    for j in dict(zip(cy[linked].tolist(), linked.tolist())).values():
+                        a.append(int(min(ix[i], iy[j])))
+                        b.append(int(max(ix[i], iy[j])))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -177,6 +191,27 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _sets(width: int):
+    def run(batches):
+        for batch, texts in pieces(batches, "text"):
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts, width)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rid", "shingles"])
+
+    return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of few rows, for rows that hold many values each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if a count proves that it is small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -206,6 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     there is one, else null; it is kept only in the second case.  Other columns of docs are not looked at
     and may have any name.  An empty table gives an empty table.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = saved(texts.mapInArrow(_sketches(width), "doc_id long, n_shingles long, print binary, bands array<long>, sign binary"), "sketch")
     classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "bands", "sign")).alias("x"))
@@ -218,30 +254,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     signs = reps.select("rid", "sign").join(bounded(members.select("rid").distinct()), "rid", "left_semi")
     signs = saved(signs, "signs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs.distinct(), "pairs")
-        wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        known = saved(texts.filter("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        sides = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return saved(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long"), "links")
+    def rows_of(ids: DataFrame) -> DataFrame:
+        return texts.filter("doc_id IS NOT NULL").join(bounded(ids.distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     stars = members.filter("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
     sides = stars.join(signs.select(F.col("rid").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("rid").alias("b"), F.col("sign").alias("sign_b")), "b")
-    links = verified(sides.select("a", "b", "sign_a", "sign_b").mapInArrow(_prune(least), "a long, b long"))
+    pairs = saved(sides.select("a", "b", "sign_a", "sign_b").mapInArrow(_prune(least), "a long, b long"), "pairs")
+    known = saved(rows_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "texts")
+    sides = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    with small_batches(spark, 500):
+        links = saved(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long"), "links")
     found = components(links)
 
     comp = found.select(F.col("node").alias("rid"), "comp")
-    larger = members.filter("n > 2").select("key", "rid", "n").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    mixed = larger.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    strays = larger.drop("n").join(mixed.select("key", "n"), "key").join(signs, "rid")
-    # Groups of about GROUP members; members of one component share groups, so that most groups of a large component are pure.
-    parts = F.ceil(F.col("n") / GROUP)
-    strays = strays.withColumn("g", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("comp"), F.lit(8191)) * 1_000_000 + F.pmod(F.xxhash64("rid"), parts)))
-    groups = strays.groupBy("key", "g").agg(F.collect_list(F.struct("rid", "comp", "sign")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    larger = members.filter("n > 2").select("key", "rid").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    by_comp = larger.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
+    mixed = by_comp.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("n_comp").alias("n")).filter("n_comps > 1")
+    # Groups of about GROUP members. A component that fills a group by itself has its own, so that most groups of a large one are pure.
+    own = F.col("n_comp") >= GROUP
+    parts = F.ceil(F.when(own, F.col("n_comp")).otherwise(F.col("n")) / GROUP)
+    plan = mixed.join(by_comp, "key").select("key", "comp", parts.alias("parts"), F.when(own, F.col("comp")).alias("pure"))
+    strays = saved(larger.join(plan, ["key", "comp"]).withColumn("g", F.xxhash64("pure", F.pmod(F.xxhash64("rid"), "parts"))).drop("parts", "pure"), "strays")
+    sets = saved(rows_of(strays.select(F.col("rid").alias("doc_id"))).mapInArrow(_sets(width), "rid long, shingles binary").join(signs, "rid"), "sets")
+    groups = strays.join(sets, "rid").groupBy("key", "g").agg(F.collect_list(F.struct("rid", "comp", "sign", "shingles")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     groups = saved(groups, "groups")
     x, y = (groups.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi")), F.col("m").alias(f"{s}s")) for s in "xy")
     across = x.join(y, "key").filter("gx <= gy AND NOT (lox = hix AND loy = hiy AND lox = loy)")
-    more = verified(across.select("gx", "gy", "xs", "ys").mapInArrow(_prune_groups(least), "a long, b long"))
+    with small_batches(spark, 8):
+        more = saved(across.select("gx", "gy", "xs", "ys").mapInArrow(_link_groups(least, percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = components(links.union(more))
 
