@@ -1,27 +1,6 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from marginalia.sources.store import materialised as saved
+from marginalia.sources.store import shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and Spark runs in one local process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage: a lost executor costs no recomputation of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["saved", "shared_folder"]
