@@ -61,9 +61,9 @@ def bucket(wm_class: Column, cwd: Column) -> Column:
     return F.concat_ws("|", F.coalesce(wm_class, F.lit("-")), F.coalesce(cwd, F.lit("-")))
 
 
-def with_default(rows: DataFrame, context: str = "context", by: list[str] | None = None, order: str = "ts") -> DataFrame:
+def with_default(rows: DataFrame, by: list[str], order: list[str], context: str = "context") -> DataFrame:
     """rows with an empty context replaced by the last one before in time; a suppressed context stays empty."""
-    window = W.partitionBy(*(by or [])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    window = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     given = F.when((F.col(context) != "") & (F.col(context) != SUPPRESSED), F.col(context))
     last = F.last(given, ignorenulls=True).over(window)
     return rows.withColumn("effective_context", F.when(F.col(context) == SUPPRESSED, None).otherwise(F.coalesce(given, last)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.config import Graph
+from marginalia.sources.store import materialised
 
 
 def both_ways(edges: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -67,10 +68,11 @@ def unresolved_contradictions(edges: DataFrame, sections: DataFrame, uid: str =
 
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) after a fixed number of rounds; the rank of nodes without outgoing edges is dealt to all."""
-    edges = edges.select("src", "dst").distinct().cache()
+    edges = materialised(edges.select("src", "dst").distinct(), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    nodes = nodes.join(degree, nodes.node == degree.src, "left").select("node", "degree").cache()
+    nodes = nodes.join(degree, nodes.node == degree.src, "left").select("node", "degree")
+    nodes = materialised(nodes, "nodes")
     n = nodes.count()
     ranks = nodes.select("node", "degree", F.lit(1.0 / max(n, 1)).alias("rank"))
     for _ in range(iterations):
@@ -78,7 +80,8 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> D
         got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         rank = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "degree", rank.alias("rank"))
+        # Written each round: the ranks are read twice, and a plan of all rounds would double with each.
+        ranks = materialised(nodes.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", "degree", rank.alias("rank")), "ranks")
     return ranks.select("node", "rank")
 
 

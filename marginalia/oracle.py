@@ -57,8 +57,8 @@ def layers(roots: str, steps: str, hops: int = 2) -> str:
     out = f"st AS ({steps}), l0 AS ({roots})"
     for h in range(1, hops + 1):
         out += f""",
-l{h} AS (SELECT qid, node, score, via, backwards FROM (SELECT *, row_number() OVER (PARTITION BY qid, node ORDER BY score DESC, via, backwards, at) AS r FROM
-  (SELECT qid, st."to" AS node, st."at" AS at, score * 0.6::DOUBLE * weight AS score, via, backwards FROM l{h - 1} JOIN st ON st."at" = l{h - 1}.node)) WHERE r = 1)"""
+l{h} AS (SELECT qid, node, score, via, backwards FROM (SELECT *, row_number() OVER (PARTITION BY qid, node ORDER BY score DESC, via, backwards, "at") AS r FROM
+  (SELECT qid, st."to" AS node, st."at" AS "at", score * 0.6::DOUBLE * weight AS score, st.via, st.backwards FROM l{h - 1} JOIN st ON st."at" = l{h - 1}.node)) WHERE r = 1)"""
     every = " UNION ALL ".join(["SELECT qid, node, score, 0 AS hops, NULL::VARCHAR AS via, false AS backwards FROM l0", *(f"SELECT qid, node, score, {h}, via, backwards FROM l{h}" for h in range(1, hops + 1))])
     return out + f""",
 ex AS (SELECT qid, node, score, hops, via, backwards FROM (SELECT *, row_number() OVER (PARTITION BY qid, node ORDER BY score DESC, hops) AS r FROM ({every})) WHERE r = 1)"""
@@ -67,7 +67,7 @@ ex AS (SELECT qid, node, score, hops, via, backwards FROM (SELECT *, row_number(
 STATUS = "CASE status WHEN 'draft' THEN 0.9 WHEN 'archived' THEN 0.4 WHEN 'obsolete' THEN 0.25 ELSE 1.0 END::DOUBLE"
 RETRIEVE = f"""{SEC}, {QT}, {COPIES}, {bm25('lex', FULL)},
 {layers("SELECT qid, uid AS node, 1.0::DOUBLE / (position + 1) AS score FROM lex WHERE position < 5 AND uid IN (SELECT src FROM cp UNION SELECT dst FROM cp)",
-        "SELECT src AS at, dst AS to, 'related' AS via, false AS backwards, 0.6::DOUBLE AS weight FROM cp UNION SELECT dst, src, 'related', true, 0.6::DOUBLE FROM cp")},
+        "SELECT src AS \"at\", dst AS \"to\", 'related' AS via, false AS backwards, 0.6::DOUBLE AS weight FROM cp UNION SELECT dst, src, 'related', true, 0.6::DOUBLE FROM cp")},
 nw AS (SELECT qid, node AS uid, hops, via, backwards, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) - 1 AS position FROM ex WHERE hops > 0 AND score >= 0.05 AND (qid, node) NOT IN (SELECT (qid, uid) FROM lex)),
 fu AS (SELECT qid, uid, 0 AS list_no, position, 1.0::DOUBLE / (60 + position + 1) AS score, 0 AS hops, NULL::VARCHAR AS via, false AS backwards FROM lex UNION ALL SELECT qid, uid, 1, position, 1.0::DOUBLE / (60 + position + 1), hops, via, backwards FROM nw),
 ws AS (SELECT fu.* EXCLUDE (score), score * {STATUS} AS score, {STATUS} AS status_weight, heading, body, path FROM fu JOIN sec USING (uid)),
@@ -120,7 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "lex_all_terms": f"{lex}, {ALL_TERMS} SELECT qid, uid FROM al",
         "q_tokenize_stats": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {tok('text')} AS w FROM documents)",
         "q_phrase": f"""WITH {SEC}, p AS (SELECT item_id AS qid, {tok('text')}[1:3] AS p FROM benchmark), d AS (SELECT uid, {tok('body')} AS w FROM sec),
-x AS (SELECT uid, w, unnest(w) AS term, unnest(range(len(w))) AS at FROM d) SELECT qid, uid, at FROM x JOIN p ON term = p[1] AND w[at + 1:at + len(p)] = p""",
+x AS (SELECT uid, w, unnest(w) AS term, unnest(range(len(w))) AS "at" FROM d) SELECT qid, uid, "at" FROM x JOIN p ON term = p[1] AND w["at" + 1:"at" + len(p)] = p""",
         "q_snippet": r"SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 240), '\s+$', '') || '…' ELSE t END AS snippet FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)",
         "q_no_answer": f"{lex}, {ALL_TERMS} SELECT item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM al)",
         "q_stats": f"WITH {COPIES} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '') AS sections, (SELECT count(*) FROM cp) AS relations",
@@ -133,7 +133,7 @@ x AS (SELECT uid, w, unnest(w) AS term, unnest(range(len(w))) AS at FROM d) SELE
         "src_change_gate": """WITH b AS (SELECT doc_id AS path, sha256(CASE WHEN toxic = 1 THEN upper(text) ELSE text END) AS was FROM documents JOIN labels USING (doc_id)), n AS (SELECT doc_id AS path, sha256(text) AS now FROM documents WHERE lang <> 'es')
 SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' WHEN was = now THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN n USING (path)""",
         "g_expand_2hop": f"""WITH fk AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
-{layers("SELECT r_regionkey::BIGINT AS qid, 'region:' || r_regionkey AS node, 1.0::DOUBLE AS score FROM region", "SELECT src AS at, dst AS to, 'parent' AS via, false AS backwards, 0.3::DOUBLE AS weight FROM fk UNION SELECT dst, src, 'parent', true, 0.3::DOUBLE FROM fk")}
+{layers("SELECT r_regionkey::BIGINT AS qid, 'region:' || r_regionkey AS node, 1.0::DOUBLE AS score FROM region", "SELECT src AS \"at\", dst AS \"to\", 'parent' AS via, false AS backwards, 0.3::DOUBLE AS weight FROM fk UNION SELECT dst, src, 'parent', true, 0.3::DOUBLE FROM fk")}
 SELECT qid, node, round(score, 9) AS score, hops::BIGINT AS hops, via, backwards FROM ex""",
         "g_pagerank_10": pagerank(10),
         "g_contradictions": f"WITH {SEC}, g AS (SELECT heading, min(uid) AS dst FROM sec WHERE status = 'current' GROUP BY heading) SELECT DISTINCT least(uid, dst) AS a, greatest(uid, dst) AS b FROM sec JOIN g USING (heading) WHERE status = 'obsolete'",
@@ -148,7 +148,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
 SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY score * CASE WHEN current_project THEN 1.35 ELSE 1.0 END::DOUBLE * CASE WHEN active_app THEN 1.25 ELSE 1.0 END::DOUBLE DESC, rank) AS rank, active_app, current_project FROM c""",
         "ctx_informal_name": f"SELECT page_id, list_filter(string_split(lower({HOST}), '.'), lambda p: p <> '' AND p NOT IN ('agent', 'app', 'desktop', 'bin', 'gui'))[-1] AS app FROM pages",
         "ctx_default": """WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'click' THEN nullif(props->>'$.k', '') END AS g FROM events)
-SELECT event_id, coalesce(g, last_value(g IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) * 100000 + event_id % 100000 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS effective_context FROM c""",
+SELECT event_id, coalesce(g, last_value(g IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS effective_context FROM c""",
         "pack_greedy": f"WITH {RETRIEVE}, {PACK} SELECT qid, uid, rank, bytes_used::BIGINT AS bytes_used FROM pk",
         "pack_prompts": f"WITH {RETRIEVE}, {PACK} SELECT qid, sha256(string_agg(block, '' ORDER BY rank) || 'Question: ' || any_value(text)) AS prompt_sha256, count(*) AS sources FROM pk JOIN benchmark ON qid = item_id GROUP BY qid",
         "cache_key": f"WITH {RETRIEVE}, {PACK} SELECT qid, sha256(string_agg(uid || chr(1) || body || chr(1), '' ORDER BY rank) || concat_ws(chr(1), 'none', '1', '200', '0.200', '0')) AS key FROM pk GROUP BY qid",

@@ -320,7 +320,7 @@ def st_generation_poll(s, d):
 
 def ctx_default(s, d):
     rows = stream(s, d).withColumn("context", F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k")).otherwise(""))
-    return context.with_default(rows.select("event_id", "user_id", "context", (F.unix_micros("ts") * 100_000 + F.col("event_id") % 100_000).alias("ts")), by=["user_id"]).select("event_id", "effective_context")
+    return context.with_default(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "effective_context")
 
 
 def vec_topk(s, d):
