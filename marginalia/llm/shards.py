@@ -40,7 +40,9 @@ def first_map(spark, n_shards: int, slots: int = SLOTS) -> DataFrame:
 
 
 def rebalanced(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> DataFrame:
-    """The next version of a map: slots stay where they are while their shard is below the mean, the rest go to the emptiest shard.
+    """The next version of a map: slots stay where they are while their shard is below its share, the rest go to the emptiest shard.
+
+    The share is the mean of what is left when slots that are larger than it have taken a shard of their own.
 
     slot_bytes has (vslot, bytes). Slots are taken from the largest down, so the small ones even out what is
     left. This is one fold over the array of slots, of which there is a fixed number.
@@ -48,16 +50,17 @@ def rebalanced(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> Dat
     version = slot_map.agg(F.max("version").alias("v"))
     latest = slot_map.join(F.broadcast(version), F.col("version") == F.col("v")).drop("v")
     sized = latest.join(slot_bytes, "vslot", "left").select("version", "vslot", F.col("shard").cast("int").alias("home"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
-    one = sized.groupBy("version").agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", "home"))).alias("s"), (F.sum("bytes") / n_shards).alias("mean"))
+    one = sized.groupBy("version").agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot", "home"))).alias("s"), F.sum("bytes").alias("total"))
 
     def place(acc: Column, slot: Column) -> Column:
-        load, size = acc["load"], -slot["less"]
+        load, size, rest, left = acc["load"], -slot["less"], acc["rest"], acc["left"]
+        alone = (left > 1) & (size * left > rest)
         emptiest = (F.array_position(load, F.array_min(load)) - 1).cast("int")
-        home = (slot["home"] < n_shards) & (F.get(load, slot["home"]) + size <= F.col("mean"))
+        home = (slot["home"] < n_shards) & ~alone & ((F.get(load, slot["home"]) + size) * left <= rest)
         shard = F.when(home, slot["home"]).otherwise(emptiest)
-        return F.struct(F.transform(load, lambda x, i: F.when(i == shard, x + size).otherwise(x)).alias("load"), F.concat(acc["to"], F.array(shard)).alias("to"))
+        return F.struct(F.transform(load, lambda x, i: F.when(i == shard, x + size).otherwise(x)).alias("load"), F.concat(acc["to"], F.array(shard)).alias("to"), F.when(alone, rest - size).otherwise(rest).alias("rest"), F.when(alone, left - 1).otherwise(left).alias("left"))
 
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), n_shards).alias("load"), F.array().cast("array<int>").alias("to"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), n_shards).alias("load"), F.array().cast("array<int>").alias("to"), F.col("total").alias("rest"), F.lit(n_shards).alias("left"))
     placed = one.select((F.col("version") + 1).alias("version"), F.arrays_zip(F.col("s.vslot").alias("vslot"), F.aggregate("s", start, place)["to"].alias("shard")).alias("z"))
     return placed.select("version", F.explode("z").alias("z")).select("version", F.col("z.vslot").alias("vslot"), F.col("z.shard").alias("shard"))
 

@@ -22,7 +22,8 @@ def low(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
 
 
-def against_duckdb(out, sql, documents):
+def against_duckdb(out, sql, rows):
+    documents = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})  # noqa: F841  read by DuckDB
     cursor = duckdb.execute(sql)
     names = [c[0] for c in cursor.description]
     expected = sorted(tuple(repr(v) for v in r) for r in cursor.fetchall())
@@ -40,9 +41,8 @@ LICENSES = [
 
 def test_license_scan_is_its_sql(spark, frame):
     rows = LICENSES + ODD
-    documents = frame(rows, False).toPandas()  # noqa: F841  read by DuckDB
     out = license_scan.scan(frame(rows)).drop("matches")
-    against_duckdb(out, license_scan.oracle_sql(), documents)
+    against_duckdb(out, license_scan.oracle_sql(), rows)
     labels = {r.doc_id: r.labels for r in out.collect()}
     assert labels[100] == "apache,apache-2.0-notice,cc-by" and labels[102] == "bsd-3-clause-text" and labels[103] == "" and labels[104] == "mit"
     assert license_scan.scan(frame([])).count() == 0
@@ -78,7 +78,7 @@ def test_base_spans_are_the_patterns(spark, frame):
     for row, (_, text) in zip(sorted(pii.report(frame(rows[:300])).collect()), rows):
         base = base_spans(text)
         assert row.n_card == sum(k == 2 for _, k, _ in base) and row.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
-        assert set(pii.written(base).split(",")) <= set(row.spans.split(","))
+        assert not base or set(pii.written(base).split(",")) <= set(row.spans.split(","))
     assert pii.report(frame([])).count() == 0
 
 
@@ -116,7 +116,7 @@ def test_contamination(spark, frame, block_bytes):
     r = random.Random(5)
     word = lambda: r.choice(["Alpha", "beta", "gamma", "é", "delta5", "eps"])
     items = [(i, " ".join(word() for _ in range(r.choice([0, 1, 3, 13, 14, 30])))) for i in range(40)] + [(3, "repeated id"), (50, None)]
-    rows = [(i, ", ".join([word() for _ in range(r.randint(0, 200))]) + r.choice(["", " " + r.choice(items)[1]] if True else []) if i % 7 else r.choice([t for _, t in items if t])) for i in range(120)] + [(d and d + 9000, t) for d, t in ODD]
+    rows = [(i, ", ".join([word() for _ in range(r.randint(0, 200))]) + r.choice(["", " " + (r.choice(items)[1] or "")]) if i % 7 else r.choice([t for _, t in items if t])) for i in range(120)] + [(d and d + 9000, t) for d, t in ODD]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     known = windows(items)
     out = decontaminate.contamination(frame(rows), benchmark, block_bytes=block_bytes).collect()
@@ -183,8 +183,7 @@ def test_features_of_a_text_stand_alone():
 
 def test_rules_are_their_sql(spark, frame):
     rows = [(10, "a b c d e f g h i a b c d e f g h j"), (11, "x " * 40), (12, "\n\n a\n a\nb\n a"), (13, "a b c d e f g h a b c d e f g h"), (14, "é ü #*$ \x0b ñ　z"), (15, "a b c d e f g h " * 6 + "q " * 9), *[(d and d + 100 * k, t) for k, (d, t) in enumerate(ODD) if d]]
-    documents = frame(rows, False).toPandas()  # noqa: F841
-    against_duckdb(rules.judged(frame(rows)), rules.ORACLE_SQL, documents)
+    against_duckdb(rules.judged(frame(rows)), rules.ORACLE_SQL, rows)
     assert rules.judged(frame(ODD)).count() == len(ODD) and rules.judged(frame([])).count() == 0
 
 
@@ -199,7 +198,7 @@ def test_cascade_asks_in_order_and_keeps_the_verdict(spark):
 
 def test_shards(spark, frame):
     r = random.Random(2)
-    rows = [(i, "x" * r.choice([1, 10, 100, 3000])) for i in range(2000)] + ODD
+    rows = [(i, "x" * r.choice([1, 10, 100, 3000])) for i in range(2000)] + [(d and d + 9000, t) for d, t in ODD]
     out = shards.assigned(frame(rows), 24).toPandas()
     assert len(out) == len(rows) and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
     by = out.groupby("shard")
