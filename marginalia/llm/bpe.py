@@ -27,8 +27,8 @@ from .pretokens import Chars, Memo, chunk_ends, pretoken_starts, texts_of
 
 #: Longest word in bytes that is merged by rescanning.
 SHORT = 64
-#: Distinct words that a Python worker remembers, at about 150 bytes each.
-MOST_WORDS = 500_000
+#: Distinct words that a task remembers, at about 150 bytes each.
+MOST_WORDS = 200_000
 _NONE = np.int32(0x7FFFFFFF)
 
 
@@ -178,16 +178,10 @@ class _Digests:
         self.decoded += map(self.vocabulary.decode, found)
 
 
-@lru_cache(maxsize=2)
-def _memo(path: str) -> Memo:
-    """One for each Python worker, which serves many tasks."""
-    return Memo(_Digests(path), MOST_WORDS)
-
-
 def _round_trips(path: str):
     def run(batches):
-        memo = _memo(path)
-        seen = memo.work
+        seen = _Digests(path)
+        memo = Memo(seen, MOST_WORDS)  # ends with the task: idle workers hold no words
         for batch, column in pieces(batches, "text"):
             chars = Chars(texts_of(column))
             starts = pretoken_starts(chars, seen.vocabulary.special)

@@ -8,11 +8,15 @@ found on bytes and never split a character.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in pieces of about this many bytes, so that the arrays stay small; a longer text is a piece by itself.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -119,8 +123,31 @@ class Words:
         return b" ".join(bytes(raw[s:e]) for s, e in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist()))
 
 
+@cache
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks beside the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces(batches, column: str):
     """Slices of the batches that hold about BLOCK_BYTES of `column`, with the column as an array."""
+    try:
+        yield from _pieces(batches, column)
+    finally:
+        release_memory()
+
+
+def _pieces(batches, column: str):
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         if not len(texts):

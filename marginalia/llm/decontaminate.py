@@ -74,7 +74,9 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -
         yield [(r["item"], r["text"]) for r in dealt.filter(F.col("b") == b).select("item", "text").collect()]
 
 
-def _scan(windows):
+def _scan(windows, then=None):
+    """Adds the hits of a block of items; `then` makes the output of each batch with its words, else it is passed on."""
+
     def run(batches):
         known = windows.value
         for batch, column in pieces(batches, "__text"):
@@ -89,7 +91,18 @@ def _scan(windows):
             columns = dict(zip(batch.schema.names, batch.columns))
             columns["__spans"] = pa.array([merged(x) for x in spans], pa.list_(pa.int32()))
             columns["__items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-            yield pa.record_batch(list(columns.values()), names=list(columns))
+            out = pa.record_batch(list(columns.values()), names=list(columns))
+            yield then(out, column, words) if then else out
+
+    return run
+
+
+def _only(then):
+    """`then` where there are no items to scan for."""
+
+    def run(batches):
+        for batch, column in pieces(batches, "__text"):
+            yield then(batch, column, Words(Block(column), ALNUM))
 
     return run
 
@@ -105,22 +118,24 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """__id and __text of docs (and all columns of docs if `keep`) with __spans, the words hit, and __items, the items found."""
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep else []
+def scanned(docs: DataFrame, benchmark: DataFrame, then, schema, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What `then` makes of docs: their columns, __id, __text, __spans (the words hit) and __items (the items found). One pass over docs for each block of items."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*own, F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(Windows(items, size))), out.schema)
-    return out
+    every, spark, before = blocks(benchmark, item_col, item_text_col, block_bytes), docs.sparkSession, None
+    for items in every:
+        if before is not None:
+            out = out.mapInArrow(_scan(before), out.schema)
+        before = spark.sparkContext.broadcast(Windows(items, size))
+    return out.mapInArrow(_scan(before, then) if before is not None else _only(then), schema)
 
 
-def _report(batches):
-    for batch, column in pieces(batches, "__text"):
-        n_words = np.diff(Words(Block(column), ALNUM).first)
-        n_hit = np.array([sum(x[1::2]) for x in batch.column("__spans").to_pylist()], np.int64)
-        items = batch.column("__items").to_pylist()
-        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        yield pa.record_batch([batch.column("__id"), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def _report(batch: pa.RecordBatch, column: pa.Array, words: Words) -> pa.RecordBatch:
+    n_words = np.diff(words.first)
+    n_hit = np.array([sum(x[1::2]) for x in batch.column("__spans").to_pylist()], np.int64)
+    items = batch.column("__items").to_pylist()
+    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return pa.record_batch([batch.column("__id"), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, **columns) -> DataFrame:
@@ -130,35 +145,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, **col
     an id marks words but isn't counted; items that share an id count once. Rows are judged one by one, so
     repeated or null doc_ids and other columns change nothing.
     """
-    found = scanned(docs, benchmark, size, **columns)
-    kind = found.schema["__id"].dataType.simpleString()
-    return found.select("__id", "__text", "__spans", "__items").mapInArrow(_report, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
+    docs = docs.select(*dict.fromkeys((id_col, text_col)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return scanned(docs, benchmark, _report, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", size, **columns)
 
 
 def _clean(text_col: str, names: list[str], mode: str):
-    def run(batches):
-        for batch, column in pieces(batches, "__text"):
-            block = Block(column)
-            words = Words(block, ALNUM)
-            n_words = np.diff(words.first)
-            spans = batch.column("__spans").to_pylist()
-            keep = np.array([not x or 20 * sum(x[1::2]) < n for x, n in zip(spans, n_words.tolist())], bool)
-            out = batch.select(names)
-            if mode == "spans":
-                texts = column.to_pylist()
-                for k in np.flatnonzero(~keep).tolist():
-                    low, high, at = int(block.offsets[k]), int(block.offsets[k + 1]), int(words.first[k])
-                    kept, raw = [], block.bytes
-                    for a, n in zip(spans[k][::2], spans[k][1::2]):
-                        kept.append(raw[low : words.starts[at + a]].tobytes())
-                        low = int(words.ends[at + a + n - 1])
-                    texts[k] = b"".join([*kept, raw[low:high].tobytes()]).decode()
-                out = out.set_column(names.index(text_col), text_col, pa.array(texts, batch.schema.field(text_col).type))
-            else:
-                out = out.filter(pa.array(keep))
-            yield out
-
-    return run
+    def then(batch: pa.RecordBatch, column: pa.Array, words: Words) -> pa.RecordBatch:
+        n_words = np.diff(words.first)
+        spans = batch.column("__spans").to_pylist()
+        keep = np.array([not x or 20 * sum(x[1::2]) < n for x, n in zip(spans, n_words.tolist())], bool)
+        out = batch.select(names)
+        if mode == "documents":
+            return out.filter(pa.array(keep))
+        texts, block = column.to_pylist(), Block(column)
+        for k in np.flatnonzero(~keep).tolist():
+            low, high, at = int(block.offsets[k]), int(block.offsets[k + 1]), int(words.first[k])
+            kept, raw = [], block.bytes
+            for a, n in zip(spans[k][::2], spans[k][1::2]):
+                kept.append(raw[low : words.starts[at + a]].tobytes())
+                low = int(words.ends[at + a + n - 1])
+            texts[k] = b"".join([*kept, raw[low:high].tobytes()]).decode()
+        return out.set_column(names.index(text_col), text_col, pa.array(texts, batch.schema.field(text_col).type))
+
+    return then
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = SIZE, text_col: str = "text", **columns) -> DataFrame:
@@ -166,5 +177,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents
 
     A document is contaminated if a word is hit and a twentieth of its words or more are. Others stay as they are.
     """
-    found = scanned(docs, benchmark, size, text_col=text_col, keep=True, **columns)
-    return found.mapInArrow(_clean(text_col, docs.columns, mode), docs.schema)
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"the mode is documents or spans, not {mode!r}")
+    return scanned(docs, benchmark, _clean(text_col, docs.columns, mode), docs.schema, size, text_col=text_col, **columns)
