@@ -302,3 +302,18 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
         return kept
     alone = kept.filter(F.col(id_col).isNull())
     return reduce(DataFrame.unionByName, [kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]), alone])
+
+
+def oracle_sql(width: int, percent: int) -> str:
+    """The rows of near_duplicates() over the table documents in DuckDB's SQL, for tables without repeated or null ids."""
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents), k AS (SELECT doc_id, w, least(len(w), {width}) AS n FROM w WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM k)),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN z x ON a = x.doc_id JOIN z y ON b = y.doc_id WHERE 100 * m >= {percent} * (x.n + y.n - m)),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a),
+c AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(least, w.doc_id) AS component_id, coalesce(least, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN z USING (doc_id) LEFT JOIN c USING (doc_id)"""

@@ -76,4 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op8_rule_cascade": rules.ORACLE_SQL}
+    return {
+        "op1_license_scan": license_scan.oracle_sql(),
+        "op4_decontamination": decontaminate.ORACLE_SQL,
+        "op7_minhash_near_dedup": neardup.oracle_sql(2, 80),
+        "op8_rule_cascade": rules.ORACLE_SQL,
+    }
