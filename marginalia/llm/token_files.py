@@ -6,7 +6,8 @@ of 1 to 4 bytes; control and data bytes are two separate streams, so a decoder
 finds the lengths of four values with one table lookup.
 
 A file is a Parquet table of blocks in ascending doc_id order (part, block):
-doc_ids and counts of the documents in the block, and the two streams.  The rank
+doc_ids and counts of the documents in the block, the ids of its part before it,
+and the two streams.  The rank
 table is a second Parquet table beside it.  Both are read by Spark from any file
 system, and a block can be decoded alone.
 """
@@ -148,18 +149,18 @@ def frequency_ranks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 def _blocks(path: str, end_id: int, ranks):
     def run(batches):
-        part, block, table = TaskContext.get().partitionId(), 0, ranks.value
+        part, block, before, table = TaskContext.get().partitionId(), 0, 0, ranks.value
         for batch, column in pieces(batches, "text"):
             ids, counts = token_ids(column, path, end_id)
             control, data = encode_ranks(table[ids])
-            row = {"part": part, "block": block, "doc_ids": batch.column(0).to_pylist(), "counts": counts.tolist(), "n_ids": len(ids), "control": control, "data": data}
-            block += 1
+            row = {"part": part, "block": block, "doc_ids": batch.column(0).to_pylist(), "counts": counts.tolist(), "before": before, "n_ids": len(ids), "control": control, "data": data}
+            block, before = block + 1, before + len(ids)
             yield pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
     return run
 
 
-_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("before", pa.int64()), ("n_ids", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -175,7 +176,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     rank_of[table["id"]] = table["rank"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    blocks = ordered.mapInArrow(_blocks(path, end_id, spark.sparkContext.broadcast(rank_of)), "part int, block long, doc_ids array<long>, counts array<long>, n_ids long, control binary, data binary")
+    blocks = ordered.mapInArrow(_blocks(path, end_id, spark.sparkContext.broadcast(rank_of)), "part int, block long, doc_ids array<long>, counts array<long>, before long, n_ids long, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/ids")
 
 
@@ -183,7 +184,8 @@ def _documents(id_of):
     def run(batches):
         table = id_of.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one block at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 ids = table[decode_ranks(row["control"], row["data"], row["n_ids"])]
                 starts = np.cumsum([0, *row["counts"]])
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
@@ -199,10 +201,9 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     id_of = np.zeros(len(table), "<u4")
     id_of[table["rank"]] = table["id"]
     # One row for each part, of which there are as many as shuffle partitions.
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    inside = blocks.select("part", "block", (F.sum("n_ids").over(W.partitionBy("part").orderBy("block")) - F.col("n_ids")).alias("inside"))
-    starts = inside.join(F.broadcast(parts), "part").select("part", "block", (F.col("before") + F.col("inside")).alias("start"))
-    return blocks.join(starts, ["part", "block"]).select("doc_ids", "counts", "n_ids", "control", "data", "start").mapInArrow(_documents(spark.sparkContext.broadcast(id_of)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("ahead"))
+    starts = blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("ahead") + F.col("before"))
+    return starts.select("doc_ids", "counts", "n_ids", "control", "data", "start").mapInArrow(_documents(spark.sparkContext.broadcast(id_of)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def written_index(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
