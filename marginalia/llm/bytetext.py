@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -112,10 +113,19 @@ class Words:
         self.ends = np.flatnonzero(inside & (edges[1:] | ~np.concatenate((inside[1:], [False])))) + 1 if len(low) else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.starts, block.offsets)
 
-    def hashes(self, prefix: int | None = None) -> np.ndarray:
-        """A hash of each word, or of its first `prefix` bytes."""
-        ends = np.minimum(self.ends, self.starts + prefix) if prefix else self.ends
-        return span_hashes(_BYTE_CODES[self.low], self.starts, ends)
+    def hashes(self) -> np.ndarray:
+        """A hash of each word."""
+        return span_hashes(_BYTE_CODES[self.low], self.starts, self.ends)
+
+    def beginnings(self, lengths: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length: which words have more characters, and a hash of the first ones of each."""
+        codes, begins = _BYTE_CODES[self.low], np.flatnonzero((self.low & 0xC0) != 0x80)
+        at = np.searchsorted(begins, self.starts)
+        begins = np.append(begins, np.full(max(lengths) + 1, len(self.low)))
+        for chars in lengths:
+            ends = begins[at + chars]
+            longer = np.flatnonzero(ends < self.ends)
+            yield longer, span_hashes(codes, self.starts[longer], ends[longer])
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j - 1 joined by single spaces."""

@@ -1,45 +1,64 @@
 """Ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - s) with one score s = w . x for all grades
-and ordered thresholds.  x holds the distinct words and
-beginnings of words, hashed to 2**BITS buckets, and
-a few shares of character kinds.  The fit is one small optimisation on the
-driver over a bounded sample of rated documents; scoring is a single pass that
-needs the weights only.
+and ordered thresholds.  x holds the words and beginnings of words of several
+lengths, hashed to 2**BITS buckets, one feature for each time that a text has
+them up to MOST times, and a few shares of character kinds.  The fit is a small
+optimisation on the driver over a bounded sample of rated documents, a part of
+which is held out to set the cut; scoring is a single pass that needs the
+weights only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, Block, Words, per_text, pieces
+from .bytetext import ALNUM, Block, Words, mix64, per_text, pieces
 
 BITS = 18
-#: Bytes at the start of a word that are a feature as well.
-PREFIX = 4
+#: Characters at the start of a longer word that are features as well.
+PREFIXES = range(3, 9)
+#: Times up to which a word or beginning is counted.
+MOST = 3
 #: Rated documents that are fitted at most, those with the smallest hashes of id and text.
 SAMPLE = 4000
-#: Probability of the best grade from which a document is kept.
+#: Least probability of the best grade from which a document is kept. The cut lies higher where CLEAN allows it.
 LEAST = 0.5
-_STEPS, _RATE, _DECAY = 200, 0.05, 3e-3
-_SHAPES, _PRIOR = 7, 4
+#: Share of the held-out documents of the best grade that the cut keeps, and the fewest that set a cut.
+CLEAN, FEWEST = 0.99, 50
+#: One in so many documents of the sample is held out.
+HELD = 4
+_STEPS, _RATE, _DECAY = 200, 0.05, 1e-2
+#: Log ratios below _TELLING are left out of the fit.
+_SHAPES, _PRIOR, _TELLING = 7, 4, 0.5
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index, value, first): the sparse features of text i are those from first[i] to first[i + 1]. A text without words has shapes only."""
     block = Block(column)
     words = Words(block, ALNUM)
-    buckets = (words.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
-    stems = (words.hashes(PREFIX) >> np.uint64(64 - BITS)).astype(np.int64) ^ 1
+    hashes = words.hashes()
+    buckets = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     n = block.n
     doc = np.repeat(np.arange(n), np.diff(words.first))
-    keys = np.unique(np.concatenate((doc << BITS | buckets, doc << BITS | stems)))
     again = np.concatenate(([False], (buckets[1:] == buckets[:-1]) & (doc[1:] == doc[:-1]))) if len(doc) else np.zeros(0, bool)
+    found = [doc << BITS | buckets]
+    for longer, stems in words.beginnings(PREFIXES):
+        found.append(doc[longer] << BITS | (mix64(stems + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64))
+    keys, times = np.unique(np.concatenate(found), return_counts=True)
+    doc, index = [keys >> BITS], [keys & ((1 << BITS) - 1)]
+    for k in range(2, MOST + 1):
+        often = times >= k
+        doc.append(doc[0][often])
+        index.append((mix64(index[0][often].astype(np.uint64) + np.uint64(k << 40)) >> np.uint64(64 - BITS)).astype(np.int64))
+    doc, index = np.concatenate(doc), np.concatenate(index)
+    distinct = np.bincount(np.unique(found[0]) >> BITS, minlength=n)
+    keys = np.unique(doc << BITS | index)
     doc, index = keys >> BITS, keys & ((1 << BITS) - 1)
     value = np.ones(len(index))
     raw = block.bytes
@@ -47,7 +66,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_words = np.diff(words.first)
     kinds = [np.isin(raw, np.frombuffer(b"#*$%&|<>", np.uint8)), (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57), raw == 33]
     shapes = [per_text(k, block.offsets) / size for k in kinds] + [n_words / size / 4]
-    shapes += [per_text(again, words.first) / np.maximum(n_words, 1), np.bincount(doc, minlength=n) / np.maximum(n_words, 1) / 16]
+    shapes += [per_text(again, words.first) / np.maximum(n_words, 1), distinct / np.maximum(n_words, 1) / 8]
     shapes = np.minimum(1, np.stack(shapes, axis=1) * 8)
     index = np.concatenate((index, np.tile(np.arange(_SHAPES) + (1 << BITS), n)))
     value = np.concatenate((value, shapes.reshape(-1)))
@@ -60,6 +79,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    least: float = LEAST
 
     def scores(self, index: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.add.reduceat(np.append(self.weights[index] * value, 0.0), first[:-1]) if len(first) > 1 else np.zeros(0)
@@ -82,8 +102,10 @@ def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndar
     rate = ((grades == n_grades - 1).sum() + 1) / (n + 2)
     expected, low = has + _PRIOR, has - high
     ratio = np.log((high + _PRIOR * rate) / (expected * rate)) - np.log((low + _PRIOR * (1 - rate)) / (expected * (1 - rate)))
-    scale = np.concatenate((ratio, np.ones(_SHAPES)))
-    value = value * scale[index]
+    scale = np.concatenate((np.where(np.abs(ratio) >= _TELLING, ratio, 0), np.ones(_SHAPES)))
+    tells = scale[index] != 0
+    index, row, value = index[tells], row[tells], value[tells] * scale[index[tells]]
+    first = np.searchsorted(row, np.arange(n + 1))
     params = np.zeros((1 << BITS) + _SHAPES + n_grades - 1)
     cut = len(params) - (n_grades - 1)
     params[cut] = odds[0]
@@ -116,6 +138,22 @@ def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndar
     return Model(params[:cut] * scale, thresholds())
 
 
+def least_top(tops: np.ndarray) -> float:
+    """The highest probability that keeps CLEAN of the documents of the best grade, whose probabilities are `tops`; LEAST if that is higher or they are too few."""
+    return max(LEAST, float(np.sort(tops)[int(len(tops) * (1 - CLEAN))])) if len(tops) >= FEWEST else LEAST
+
+
+def fit_with_cut(index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int) -> Model:
+    """A model of all documents. Its cut is that of a model which hasn't seen the last of HELD parts, on this part."""
+    seen = len(grades) - len(grades) // HELD
+    least, best = LEAST, grades[seen:] == n_grades - 1
+    if best.sum() >= FEWEST:
+        part = fit(index[: first[seen]], value[: first[seen]], first[: seen + 1], grades[:seen], n_grades)
+        tops = part.tails(part.scores(index[first[seen] :], value[first[seen] :], first[seen:] - first[seen]))[:, -1]
+        least = least_top(tops[best])
+    return replace(fit(index, value, first, grades, n_grades), least=least)
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """(doc_id, grade): 0 for low quality, 1 for toxic text of good quality, 2 for the rest; rows without an id or a quality give none."""
     toxic = F.coalesce("toxic", F.lit(0)) > 0
@@ -142,10 +180,10 @@ def trained(docs: DataFrame, graded: DataFrame, n_grades: int = 3, sample: int =
     index = np.frombuffer(b"".join(r["index"] for r in rows), "<i4").astype(np.int64)
     value = np.frombuffer(b"".join(r["value"] for r in rows), "<f4").astype(float)
     first = np.concatenate(([0], np.cumsum([len(r["index"]) // 4 for r in rows])))
-    return fit(index, value, first, np.array([r["grade"] for r in rows]), n_grades)
+    return fit_with_cut(index, value, first, np.array([r["grade"] for r in rows]), n_grades)
 
 
-def _grade(model, least: float):
+def _grade(model, least: float | None):
     def run(batches):
         for batch, column in pieces(batches, "text"):
             if model is None:
@@ -154,13 +192,13 @@ def _grade(model, least: float):
                 continue
             tails = model.value.tails(model.value.scores(*features(column)))
             top = tails[:, -1]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.round(tails.sum(axis=1), 6)), pa.array(np.round(top, 6)), pa.array(top >= least)], names=["doc_id", "expected_grade", "p_top", "kept"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.round(tails.sum(axis=1), 6)), pa.array(np.round(top, 6)), pa.array(top >= (model.value.least if least is None else least))], names=["doc_id", "expected_grade", "p_top", "kept"])
 
     return run
 
 
-def graded(docs: DataFrame, model: Model | None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, expected_grade, p_top, kept): kept if the probability of the best grade is at least `least`.
+def graded(docs: DataFrame, model: Model | None, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, expected_grade, p_top, kept): kept if the probability of the best grade is at least `least`, by default the cut of the model.
 
     A null text is scored like an empty one, by its shape alone. Without a model (no rated document) the
     grades are null and every row is kept. Rows are scored one by one; other columns change nothing.
@@ -170,7 +208,7 @@ def graded(docs: DataFrame, model: Model | None, least: float = LEAST, id_col: s
     return texts.mapInArrow(_grade(shared, least), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, expected_grade double, p_top double, kept boolean")
 
 
-def selected(docs: DataFrame, model: Model | None, least: float = LEAST, text_col: str = "text") -> DataFrame:
+def selected(docs: DataFrame, model: Model | None, least: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     if model is None:
         return docs
@@ -179,6 +217,6 @@ def selected(docs: DataFrame, model: Model | None, least: float = LEAST, text_co
     def run(batches):
         for batch, column in pieces(batches, text_col):
             top = shared.value.tails(shared.value.scores(*features(column)))[:, -1]
-            yield batch.select(names).filter(pa.array(top >= least))
+            yield batch.select(names).filter(pa.array(top >= (shared.value.least if least is None else least)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -167,6 +167,34 @@ def test_quality_on_held_out_documents(spark, frame):
     assert odd.count() == len(ODD) and odd.filter("expected_grade IS NULL").count() == 0
 
 
+def test_toxic_recall_by_language_in_stage_1(spark):
+    """Half of the labels is held out: fitted on the other half, stage 1 rejects toxic documents of every language."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    rated = quality.ratings(labels)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    model = quality.trained(docs, rated.filter(half == 0))
+    held = docs.join(rated.filter(half == 1), "doc_id")
+    kept = quality.selected(held, model).groupBy("lang", "grade").count().collect()
+    every, kept = {(r.lang, r.grade): r["count"] for r in held.groupBy("lang", "grade").count().collect()}, {(r.lang, r.grade): r["count"] for r in kept}
+    gone = {k: 1 - kept.get(k, 0) / n for k, n in every.items()}
+    share = lambda grade, langs: sum(gone[x, grade] * every[x, grade] for x in langs) / sum(every[x, grade] for x in langs)
+    assert share(1, ["en"]) > 0.85 and share(1, ["fr", "de", "es"]) > 0.7
+    assert share(0, ["en", "fr", "de", "es"]) > 0.97 and share(2, ["en", "fr", "de", "es"]) < 0.03
+
+
+def test_beginnings_are_counted_in_characters_up_to_the_cap():
+    a, _, f = quality.features(pa.array(["ééé1 ééé2", "ééé1 ééé2 ééé3", "ééé1 ééé2 ééé3 ééé4"]))
+    one, two, four = (set(a[f[i] : f[i + 1]].tolist()) for i in range(3))
+    assert len(one) == 7 + 2 + 2 and len(two - one) == 2 and len(four - two) == 1
+
+
+def test_cut_on_held_out_documents():
+    tops = np.linspace(0.6, 1, 200)
+    assert np.mean(tops >= quality.least_top(tops)) >= quality.CLEAN and quality.least_top(tops) > 0.6
+    assert quality.least_top(tops - 0.5) == quality.LEAST and quality.least_top(tops[: quality.FEWEST - 1]) == quality.LEAST
+
+
 def test_quality_without_ratings(spark, frame):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.trained(frame(ODD), quality.ratings(labels))
