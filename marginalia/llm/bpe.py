@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import pieces
-from .pretokens import Chars, Memo, chunk_ends, pretoken_starts, texts_of
+from .pretokens import Chars, Memo, pretoken_starts, texts_of
 
 #: Longest word in bytes that is merged by rescanning.
 SHORT = 64
-#: Distinct words that a task remembers, at about 150 bytes each.
+#: Distinct words that a task remembers, at about 300 bytes each.
 MOST_WORDS = 200_000
 _NONE = np.int32(0x7FFFFFFF)
 
@@ -185,7 +185,7 @@ def _round_trips(path: str):
         for batch, column in pieces(batches, "text"):
             chars = Chars(texts_of(column))
             starts = pretoken_starts(chars, seen.vocabulary.special)
-            numbers = memo.numbers(chars, starts, chunk_ends(starts, len(chars.points)))
+            numbers = memo.numbers(chars, starts)
             first = np.searchsorted(starts, chars.offsets)
             total = np.concatenate(([0], np.cumsum(seen.count[numbers])))
             sizes = total[first[1:]] - total[first[:-1]]
@@ -218,12 +218,10 @@ def _ids(path: str, names: list[str]):
         for batch, column in pieces(batches, "text"):
             chars = Chars(texts_of(column))
             starts = pretoken_starts(chars, words.special)
-            ends = chunk_ends(starts, len(chars.points))
-            spans = [chars.text[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-            distinct = {w: k for k, w in enumerate(dict.fromkeys(spans))}
-            known = words.encode_words(list(distinct))
+            coded = chars.spans(starts).dictionary_encode()
+            known, number = words.encode_words(coded.dictionary.to_pylist()), coded.indices.to_pylist()
             first = np.searchsorted(starts, chars.offsets)
-            rows = [[i for w in spans[a:b] for i in known[distinct[w]]] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            rows = [[i for k in number[a:b] for i in known[k]] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(rows, pa.list_(pa.int32()))], names=[*names, "ids"])
 
     return run

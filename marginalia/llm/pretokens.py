@@ -21,6 +21,8 @@ from tokenizers import pre_tokenizers
 from .bytetext import mix64, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Characters that are compared at a time.
+_COMPARED = 1 << 18
 
 
 @cache
@@ -58,6 +60,16 @@ class Chars:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return span_hashes(code_table()[self.points], starts, ends)
 
+    def spans(self, starts: np.ndarray) -> pa.Array:
+        """The spans that begin at `starts`, each up to the next one."""
+        p = self.points
+        widths = 1 + (p >= 0x80).astype(np.int8) + (p >= 0x800) + (p >= 0x10000)
+        ends = np.concatenate(([0], np.cumsum(widths, dtype=np.int64)))
+        at = np.append(ends[starts], ends[-1]) if len(starts) else np.zeros(1, np.int64)
+        large = at[-1] >= 1 << 31
+        buffers = [None, pa.py_buffer(at.astype(np.int64 if large else np.int32)), pa.py_buffer(self.text.encode())]
+        return pa.Array.from_buffers(pa.large_string() if large else pa.string(), len(starts), buffers)
+
 
 def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
@@ -113,8 +125,10 @@ def pretoken_starts(chars: Chars, special: str | None = None) -> np.ndarray:
 class Memo:
     """Numbers the distinct spans of the blocks that a task sees, so that each is worked out once.
 
-    The numbers stand in a hash table of two arrays with linear probing. When it holds `most` spans it is
-    emptied, which bounds its memory, and fills again.
+    The numbers stand in a hash table of two arrays with linear probing.  Hashes only say where to look: each
+    span is compared with the one that has its number, character by character, and those that merely share
+    its hash are kept in a dict.  When the table holds `most` spans it is emptied, which bounds its memory,
+    and fills again.
     """
 
     def __init__(self, work, most: int):
@@ -126,9 +140,39 @@ class Memo:
     def clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int32)
-        self.n = 0
+        self.others: dict[str, int] = {}
+        self.points, self.used = np.zeros(1 << 20, np.uint32), 0  # the spans one after the other
+        self.at, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.work.clear()
 
+    def _add(self, chars: Chars, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Works out new spans and remembers their characters."""
+        sizes = ends - starts
+        total = int(sizes.sum())
+        if self.used + total > len(self.points):
+            self.points = np.concatenate((self.points, np.zeros(max(len(self.points), total), np.uint32)))
+        if self.n + len(sizes) > len(self.at):
+            self.at, self.size = (np.concatenate((x, np.zeros(max(len(x), len(sizes)), np.int64))) for x in (self.at, self.size))
+        at = np.cumsum(sizes) - sizes
+        self.points[self.used : self.used + total] = chars.points[np.arange(total) + np.repeat(starts - at, sizes)]
+        self.at[self.n : self.n + len(sizes)] = self.used + at
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + total, self.n + len(sizes)
+        text = chars.text
+        self.work([text[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
+
+    def _differ(self, chars: Chars, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The places of spans that aren't those with their numbers."""
+        sizes = ends - starts
+        differ = self.size[numbers] != sizes
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(chars.points) + _COMPARED, _COMPARED)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # bounds the arrays
+            at = np.arange(starts[a], ends[b - 1]) + np.repeat(self.at[numbers[a:b]] - starts[a:b], sizes[a:b])
+            unequal = self.points.take(at, mode="clip") != chars.points[starts[a] : ends[b - 1]]
+            if unequal.any():
+                differ[a:b] |= np.add.reduceat(unequal, starts[a:b] - starts[a]) > 0
+        return np.flatnonzero(differ)
+
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, places of those that aren't there)."""
         slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -155,10 +199,13 @@ class Memo:
             self.values[slots[done]] = numbers[done]
             hashes, numbers, slots = hashes[~done], numbers[~done], (slots[~done] + 1) & ((1 << self.bits) - 1)
 
-    def numbers(self, chars: Chars, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The number of each span; the results of `work` are found by it until the next call."""
+    def numbers(self, chars: Chars, starts: np.ndarray) -> np.ndarray:
+        """The number of each span from one start to the next; the results of `work` are found by it until the next call."""
+        if not len(starts):
+            return np.zeros(0, np.int32)
         if self.n > self.most:
             self.clear()
+        ends = np.append(starts[1:], len(chars.points))
         hashes = np.maximum(chars.hashes(starts, ends), np.uint64(1))
         out, missed = self._find(hashes)
         if len(missed):
@@ -168,14 +215,15 @@ class Memo:
                 while len(np.unique(hashes)) > 1 << (self.bits - 1):
                     self.bits += 1
                     self.clear()
-                return self.numbers(chars, starts, ends)
-            text, spans = chars.text, missed[index]
-            self.work([text[s:e] for s, e in zip(starts[spans].tolist(), ends[spans].tolist())])
-            self._insert(new, np.arange(self.n, self.n + len(new), dtype=np.int32))
-            out[missed] = (self.n + inverse).astype(np.int32)
-            self.n += len(new)
+                return self.numbers(chars, starts)
+            first, spans = self.n, missed[index]
+            self._add(chars, starts[spans], ends[spans])
+            self._insert(new, np.arange(first, self.n, dtype=np.int32))
+            out[missed] = (first + inverse).astype(np.int32)
+        for k in self._differ(chars, starts, ends, out).tolist():
+            word = chars.text[starts[k] : ends[k]]
+            if word not in self.others:
+                self.others[word] = self.n
+                self._add(chars, starts[k : k + 1], ends[k : k + 1])
+            out[k] = self.others[word]
         return out
-
-
-def chunk_ends(starts: np.ndarray, n: int) -> np.ndarray:
-    return np.append(starts[1:], n) if len(starts) else starts

@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .bytetext import pieces
-from .pretokens import Chars, Memo, chunk_ends, pretoken_starts, texts_of
+from .pretokens import Chars, Memo, pretoken_starts, texts_of
 from .storage import shared_folder
 
-#: Distinct pre-tokens that a Python worker remembers, at about 60 bytes each.
-MOST_WORDS = 1_500_000
+#: Distinct pre-tokens that a Python worker remembers, at about 120 bytes each.
+MOST_WORDS = 1_000_000
 #: Lengths of the four values of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -116,7 +116,7 @@ def token_ids(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.
     flat = memo.work
     chars = Chars(texts_of(column))
     starts = pretoken_starts(chars, flat.special)
-    numbers = memo.numbers(chars, starts, chunk_ends(starts, len(chars.points))) + 1
+    numbers = memo.numbers(chars, starts) + 1
     first = np.searchsorted(starts, chars.offsets)
     numbers = np.insert(numbers, first[1:], 0)
     sizes = flat.count[numbers]
@@ -166,7 +166,8 @@ _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.
 def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of docs to folder/ids and the rank table to folder/ranks.
 
-    The texts are dealt by ranges of (doc_id, hash of the text), so that rows that share an id spread as well.
+    The texts are dealt by ranges of (doc_id, hash of the text, a number of the row), so that rows that share an
+    id, and even equal rows, spread as well.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -175,7 +176,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     rank_of = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, np.uint32)
     rank_of[table["id"]] = table["rank"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    keys = ["doc_id", "h", "row"]
+    ordered = docs.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("h", "row")
     blocks = ordered.mapInArrow(_blocks(path, end_id, spark.sparkContext.broadcast(rank_of)), "part int, block long, doc_ids array<long>, counts array<long>, before long, n_ids long, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/ids")
 

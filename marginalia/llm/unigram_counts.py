@@ -11,6 +11,10 @@ scores ten less than the lowest piece and counts its UTF-8 bytes (byte fallback)
 
 A boundary that no piece crosses cannot change the segmentation on its two
 sides, so texts are cut there and equal chunks of a task are worked out once.
+Sums of scores may round differently from the start of a chunk than from the
+start of the text.  Where all scores are whole numbers nothing is rounded, but for texts of
+millions of characters, which are worked out whole; else those are that have a
+chunk in which two paths come closer than CLOSE.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import pieces
-from .pretokens import Chars, Memo, chunk_ends, texts_of
+from .pretokens import Chars, Memo, texts_of
 
 SPACE = "▁"
-#: Distinct chunks that a Python worker remembers, at about 40 bytes each.
-MOST_CHUNKS = 1_500_000
+#: Distinct chunks that a Python worker remembers, at about 100 bytes each.
+MOST_CHUNKS = 1_000_000
 UNKNOWN_PENALTY = 10.0
+#: Scores that differ by less may be in another order after rounding.
+CLOSE = 1e-6
 
 
 def pieces_of(path: str) -> list[tuple[str, float]]:
@@ -51,6 +57,9 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.single = {p for p in best if len(p) == 1}
         self.unknown = min(best.values(), default=0.0) - UNKNOWN_PENALTY
+        # Sums of whole numbers (or of 1024ths) below 2**53 aren't rounded: texts up to this length have exact scores.
+        unit = next((u for u in (1, 1024) if all(float(s * u).is_integer() for s in best.values())), None)
+        self.exact_chars = int(2**53 / unit / max(abs(self.unknown), 1)) if unit else 0
         pairs = {p[i : i + 2] for p in best for i in range(len(p) - 1)}
         letters = sorted({c for p in pairs for c in p})
         #: The number of each character that stands beside another in a piece, 0 for all others.
@@ -71,26 +80,31 @@ class Vocabulary:
         start[edges[edges < len(start)]] = True
         return np.flatnonzero(start)
 
-    def best(self, text: str) -> tuple[int, float]:
-        """(tokens, score) of the best segmentation of a chunk."""
-        n = len(text)
+    def best(self, text: str) -> tuple[int, float, bool]:
+        """(tokens, score, close) of the best segmentation; `close` if two paths to a place nearly tie."""
+        n, close, watch = len(text), False, not self.exact_chars
         score, count = [0.0] * (n + 1), [0] * (n + 1)
         single, unknown, at = self.single, self.unknown, 0  # the best paths to positions before `at` are final
-        for end, (length, value) in self.automaton.iter(text):
+        for end, (length, value) in [*self.automaton.iter(text), (n, (0, 0.0))]:
             if end >= at:
-                if at and text[at - 1] not in single and score[at - 1] + unknown > score[at]:
-                    score[at], count[at] = score[at - 1] + unknown, count[at - 1] + len(text[at - 1].encode())
+                if at and text[at - 1] not in single:  # a path by a character that is no piece is tried last
+                    s = score[at - 1] + unknown
+                    close |= watch and abs(s - score[at]) < CLOSE
+                    if s > score[at]:
+                        score[at], count[at] = s, count[at - 1] + len(text[at - 1].encode())
                 for k in range(at, end):  # no piece ends after these characters
                     score[k + 1], count[k + 1] = score[k] + unknown, count[k] + len(text[k].encode())
+                if end == n:
+                    return count[n], score[n], close
                 at = end + 1
                 score[at], count[at] = score[at - length] + value, count[at - length] + 1
-            elif (s := score[at - length] + value) > score[at]:
-                score[at], count[at] = s, count[at - length] + 1
-        if at and text[at - 1] not in single and score[at - 1] + unknown > score[at]:
-            score[at], count[at] = score[at - 1] + unknown, count[at - 1] + len(text[at - 1].encode())
-        for k in range(at, n):
-            score[k + 1], count[k + 1] = score[k] + unknown, count[k] + len(text[k].encode())
-        return count[n], score[n]
+            else:
+                s = score[at - length] + value
+                if watch and abs(s - score[at]) < CLOSE:
+                    close = True
+                if s > score[at]:
+                    score[at], count[at] = s, count[at - length] + 1
+        raise AssertionError("the last end is the text's")
 
 
 class _Counts:
@@ -98,15 +112,14 @@ class _Counts:
         self.vocabulary = vocabulary
 
     def clear(self) -> None:
-        self.n, self.count, self.score = 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18)
+        self.n, self.count, self.score, self.close = 0, np.zeros(1 << 18, np.int64), np.zeros(1 << 18), np.zeros(1 << 18, bool)
 
     def __call__(self, chunks: list[str]) -> None:
         if self.n + len(chunks) > len(self.count):
-            self.count, self.score = (np.concatenate((x, np.zeros(max(len(x), len(chunks)), x.dtype))) for x in (self.count, self.score))
-        found = [self.vocabulary.best(c) for c in chunks]
-        self.count[self.n : self.n + len(found)] = [x for x, _ in found]
-        self.score[self.n : self.n + len(found)] = [x for _, x in found]
-        self.n += len(found)
+            self.count, self.score, self.close = (np.concatenate((x, np.zeros(max(len(x), len(chunks)), x.dtype))) for x in (self.count, self.score, self.close))
+        found, part = [self.vocabulary.best(c) for c in chunks], slice(self.n, self.n + len(chunks))
+        self.count[part], self.score[part], self.close[part] = zip(*found)
+        self.n += len(chunks)
 
 
 @lru_cache(maxsize=2)
@@ -119,19 +132,31 @@ def _memo(path: str) -> Memo:
     return Memo(_Counts(vocabulary(path)), MOST_CHUNKS)
 
 
+def totals(texts: list[str], memo: Memo) -> tuple[list[int], list[float]]:
+    """(counts, scores) of whole texts."""
+    seen = memo.work
+    chars = Chars([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
+    starts = seen.vocabulary.starts(chars)
+    numbers = memo.numbers(chars, starts)
+    first = np.searchsorted(starts, chars.offsets)
+    counts, scores = [], []
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        part = numbers[a:b]  # sums of one text at a time, so that its score doesn't depend on the texts beside it
+        count, score = int(seen.count[part].sum()), float(seen.score[part].sum())
+        if seen.close[part].any() or 0 < seen.vocabulary.exact_chars < chars.offsets[k + 1] - chars.offsets[k]:
+            count, score, _ = seen.vocabulary.best(chars.text[chars.offsets[k] : chars.offsets[k + 1]])
+        counts.append(count)
+        scores.append(score)
+    return counts, scores
+
+
 def _count(path: str):
     def run(batches):
         memo = _memo(path)
-        seen = memo.work
         for batch, column in pieces(batches, "text"):
-            chars = Chars([SPACE + t.replace(" ", SPACE) if t else "" for t in texts_of(column)])
-            starts = seen.vocabulary.starts(chars)
-            numbers = memo.numbers(chars, starts, chunk_ends(starts, len(chars.points)))
-            first = np.searchsorted(starts, chars.offsets)
-            # Sums of one text at a time, so that its score doesn't depend on the texts beside it.
-            counts = [int(seen.count[numbers[a:b]].sum()) for a, b in zip(first[:-1], first[1:])]
-            scores = [float(seen.score[numbers[a:b]].sum()) for a, b in zip(first[:-1], first[1:])]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(chars.offsets) - (np.diff(chars.offsets) > 0), pa.int64()), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_chars", "n_tokens", "score"])
+            texts = texts_of(column)
+            counts, scores = totals(texts, memo)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_chars", "n_tokens", "score"])
 
     return run
 
@@ -139,6 +164,7 @@ def _count(path: str):
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, n_tokens, score) of each whole text under the pieces and scores of a sentencepiece file.
 
+    The file may hold any kind of model: its pieces and scores are read as a unigram vocabulary.
     A space in front is added and spaces are written as U+2581, as the file's tokenizers do. A null or empty
     text has no tokens and score 0. Rows are independent of each other; other columns change nothing.
     """

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer, models, normalizers
 from marginalia.llm import bpe, token_files, unigram_counts
 from marginalia.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, classes
 
-from .conftest import ODD
+from .conftest import ODD, TWINS
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -45,6 +45,27 @@ def test_round_trips(spark, frame, texts):
         assert tuple(out[doc_id]) == (doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
+def test_words_with_equal_hashes(spark, frame):
+    """Two different words for which the hash of the table is the same have their own ids and counts."""
+    from marginalia.llm.pretokens import Chars
+
+    chars = Chars(list(TWINS))
+    hashes = chars.hashes(chars.offsets[:-1], chars.offsets[1:])
+    assert hashes[0] == hashes[1] and TWINS[0] != TWINS[1]
+    library = Tokenizer.from_file(BPE)
+    rows = [(1, TWINS[0]), (2, TWINS[1]), (3, f"{TWINS[1]} {TWINS[0]}"), (4, TWINS[0] + TWINS[1])]
+    trips = {r.doc_id: r for r in bpe.round_trip_digests(frame(rows), BPE).collect()}
+    files = {r.doc_id: r for r in token_files.written_index(frame(rows), BPE, 2).collect()}
+    for doc_id, text in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert trips[doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert trips[doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert files[doc_id].ids_crc32 == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+    words = unigram_counts.Vocabulary([("<unk>", 0.0), ("a", -1.0), ("b", -2.0), (TWINS[1][:9], -1.0)])
+    memo = token_files.Memo(unigram_counts._Counts(words), 50)
+    assert unigram_counts.totals(list(TWINS), memo)[0] == [words.best("▁" + t)[0] for t in TWINS]
+
+
 def test_encode_and_decode(spark, frame, texts):
     ids = bpe.encode(frame(texts), BPE)
     assert {r.doc_id: r.text for r in bpe.decode(ids, BPE).collect()} == {d: t or "" for d, t in texts}
@@ -52,13 +73,13 @@ def test_encode_and_decode(spark, frame, texts):
 
 
 def test_memo_that_overflows(spark, texts):
-    from marginalia.llm.pretokens import Chars, Memo, chunk_ends, pretoken_starts
+    from marginalia.llm.pretokens import Chars, Memo, pretoken_starts
 
     memo = Memo(bpe._Digests(BPE), 50)
     for k in range(0, 600, 40):
         chars = Chars([t or "" for _, t in texts[k : k + 40]])
         starts = pretoken_starts(chars, "<|endoftext|>")
-        numbers = memo.numbers(chars, starts, chunk_ends(starts, len(chars.points)))
+        numbers = memo.numbers(chars, starts)
         assert b"".join(memo.work.decoded[i] for i in numbers).decode() == chars.text
 
 
@@ -89,3 +110,17 @@ def test_unigram_counts(spark, frame, texts):
     for doc_id, text in texts:
         assert (out[doc_id].n_tokens, out[doc_id].n_chars) == (len(library.encode(text or "", add_special_tokens=False).ids), len(text or ""))
     assert unigram_counts.token_counts(frame([]), PIECES).count() == 0
+
+
+def test_unigram_counts_with_fractions_and_ties():
+    """Scores like 0.1 round differently from different starts, and many paths tie or nearly tie."""
+    r = random.Random(3)
+    for _ in range(30):
+        scored = {"<unk>": 0.0} | {c: -r.choice([0.1, 0.2, 0.3, 0.7]) for c in "abcd▁"}
+        for _ in range(25):
+            scored.setdefault("".join(r.choice("abcd▁") for _ in range(r.randint(2, 4))), -r.choice([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]))
+        library = Tokenizer(models.Unigram(list(scored.items()), 0, False))
+        library.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+        memo = token_files.Memo(unigram_counts._Counts(unigram_counts.Vocabulary(list(scored.items()))), 100)
+        texts = ["".join(r.choice("abcd ") for _ in range(r.randint(1, 120))) for _ in range(60)]
+        assert unigram_counts.totals(texts, memo)[0] == [len(library.encode(t).ids) for t in texts]
