@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -82,6 +83,18 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(h)
 
 
+def window_digests(words: np.ndarray, size: int) -> np.ndarray:
+    """A 128-bit digest of each run of `size` words, from their digests: two halves that take in one word after the other and each other."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros((0, 2), np.uint64)
+    a, b = np.full(n, size, np.uint64), np.zeros(n, np.uint64)
+    for j in range(size):
+        a = mix64(a ^ words[j : j + n, 0]) + b
+        b = mix64(b ^ words[j : j + n, 1]) ^ a
+    return np.stack((a, b), axis=1)
+
+
 class Block:
     """Some consecutive texts of a batch: their bytes, and where each text begins and ends in them."""
 
@@ -106,7 +119,7 @@ class Words:
 
     def __init__(self, block: Block, is_word: np.ndarray):
         self.low = low = block.lower()
-        inside = is_word[low]
+        self.inside = inside = is_word[low]
         edges = np.zeros(len(low) + 1, bool)
         edges[block.offsets] = True
         self.starts = np.flatnonzero(inside & (edges[:-1] | ~np.concatenate(([False], inside[:-1])))) if len(low) else np.zeros(0, np.int64)
@@ -117,6 +130,20 @@ class Words:
         """A hash of each word."""
         return span_hashes(_BYTE_CODES[self.low], self.starts, self.ends)
 
+    def numbers(self) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each word among the distinct ones, these): Arrow's dictionary compares the words themselves."""
+        ends = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int64)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(self.low[self.inside])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.starts), buffers).dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+    def digests(self) -> np.ndarray:
+        """A 128-bit cryptographic digest of each word, as two numbers."""
+        numbers, distinct = self.numbers()
+        blake = hashlib.blake2b
+        raw = b"".join([blake(w, digest_size=16).digest() for w in distinct])
+        return np.frombuffer(raw, "<u8").reshape(-1, 2)[numbers]
+
     def beginnings(self, lengths: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length: which words have more characters, and a hash of the first ones of each."""
         codes, begins = _BYTE_CODES[self.low], np.flatnonzero((self.low & 0xC0) != 0x80)

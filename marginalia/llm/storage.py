@@ -1,6 +1,6 @@
 """Intermediate tables in the folder that the whole cluster shares."""
 
+from marginalia.sources.store import discard, shared_folder
 from marginalia.sources.store import materialised as saved
-from marginalia.sources.store import shared_folder
 
-__all__ = ["saved", "shared_folder"]
+__all__ = ["discard", "saved", "shared_folder"]

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
-from .conftest import ODD
+
+from .conftest import ODD, TWINS
 
 from marginalia.llm import neardup
 
@@ -66,11 +68,44 @@ def test_odd_rows(spark, frame):
     assert neardup.near_duplicates(frame([])).count() == 0
 
 
+def test_equal_hashes_and_repeated_ids(spark, frame):
+    """Words with equal polynomial hashes are told apart, and rows of one id are judged by their own texts."""
+    r = random.Random(9)
+    text = lambda k: " ".join(f"{k}{r.randrange(1000)}" for _ in range(60))
+    other = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    a, b, c, d = (text(k) for k in "abcd")
+    rows = [(1, a), (5, other(a)), (5, b), (9, other(b)), (None, c), (None, other(c)), (20, other(d)), (None, d), (None, d)]
+    rows += [(30, f"{TWINS[0]} x"), (31, f"{TWINS[1]} x"), (32, TWINS[0]), (33, TWINS[1]), (34, f"{c} {TWINS[0]}"), (35, f"{a} {TWINS[1]}")]
+    out = neardup.near_duplicates(frame(rows), width=2)
+    assert key(out.collect()) == key(brute(rows, 2))
+    kept = key(r[:2] for r in neardup.drop_near_duplicates(frame(rows), width=2).collect())
+    assert (1, a) in kept and (5, b) in kept and (9, other(b)) not in kept and (20, other(d)) in kept and (None, d) not in kept
+    assert [i for i, _ in sorted(kept)] == [1, 5, 20, 30, 31, 32, 33, 34]
+
+
 def test_drop_keeps_one_of_each_group(spark, frame):
-    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y x w v u t"), (3, "z y x w v u t"), (4, None), (None, "q r s t u v")]
-    out = neardup.drop_near_duplicates(frame(rows))
-    assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([1, 3, 4, None], key=repr)
-    assert out.columns == frame(rows).columns
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y x w v u t"), (3, "z y x w v u t"), (4, None), (4, None), (None, "q r s t u v"), (None, "q r s t u v"), (3, "of its own text here now")]
+    out = neardup.drop_near_duplicates(frame(rows).selectExpr("*", "7 AS digest", "'y' AS `do.t`", "map('a', 1) AS print"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([rows[0], rows[3], rows[5], rows[7], rows[9]], key=repr)
+    assert out.columns == [*frame(rows).columns, "digest", "do.t", "print"]
+    assert neardup.drop_near_duplicates(frame([])).count() == 0
+    odd = neardup.drop_near_duplicates(frame(ODD))
+    assert odd.count() == len({(i, t or "") for i, t in ODD}) - 1  # 4 and 5 have one text
+
+
+def test_confirmation_reads_words():
+    texts = ["a b c d e f", "a b c d e f", "a b c d e x", "p q r s t u"]
+    assert neardup.similar_to_first(pa.array(texts), 2, 60).tolist() == [True, True, False]
+    assert neardup.similar_to_first(pa.array(texts), 5, 80).tolist() == [True, False, False]
+
+
+def test_salted_groups(spark, frame, monkeypatch):
+    """Small groups, several salts and no broadcasts."""
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    monkeypatch.setattr(neardup, "MEET", 2)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    rows = variants(120, 2)
+    assert key(neardup.near_duplicates(frame(rows), width=2).collect()) == key(brute(rows, 2))
 
 
 def test_pruning_bounds():
