@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, license_scan, pii, quality, rules, shards
@@ -361,7 +362,7 @@ def test_features_of_a_text_stand_alone():
 
 
 def test_rules_are_their_sql(spark, frame):
-    rows = [(10, "a b c d e f g h i a b c d e f g h j"), (11, "x " * 40), (12, "\n\n a\n a\nb\n a"), (13, "a b c d e f g h a b c d e f g h"), (14, "é ü #*$ \x0b ñ　z"), (15, "a b c d e f g h " * 6 + "q " * 9), *[(d and d + 100 * k, t) for k, (d, t) in enumerate(ODD) if d]]
+    rows = [(10, "a b c d e f g h i a b c d e f g h j"), (11, "x " * 40), (12, "\n\n a\n a\nb\n a"), (13, "a b c d e f g h a b c d e f g h"), (14, "é ü #*$ \x0b ñ　z"), (15, "a b c d e f g h " * 6 + "q " * 9), *[(d and d + 100 * k, t) for k, (d, t) in enumerate(ODD)]]
     against_duckdb(rules.judged(frame(rows)), rules.ORACLE_SQL, rows)
     assert rules.judged(frame(ODD)).count() == len(ODD) and rules.judged(frame([])).count() == 0
 
@@ -370,9 +371,36 @@ def test_cascade_asks_in_order_and_keeps_the_verdict(spark):
     docs = spark.range(100).toDF("x")
     a, b, never = rules.Rule("a", F.col("x") < 50), rules.Rule("b", F.col("x") % 2 == 0), rules.Rule("null", F.lit(None).cast("boolean"))
     for order in ([a, b, never], [never, b, a]):
-        assert docs.filter(rules.cascade(order).isNull()).count() == 25
-    assert docs.select(rules.cascade([a, b]).alias("r")).filter("r = 'b'").count() == 25
-    assert rules.filtered(docs, [a, b, never]).count() == 25
+        assert rules.cascade(docs, order).filter(rules.inner("rejected_by").isNull()).count() == 25
+    seen = Observation()
+    assert rules.cascade(docs, [a, b], seen=seen).filter(rules.inner("rejected_by") == "b").count() == 25
+    assert seen.get == {"rows": 100, "a": 50, "b": 25}
+
+
+def test_rejected_rows_are_not_measured_further(spark):
+    """The measure of a later rule fails for the rows that an earlier rule rejects, and is null for them."""
+    docs = spark.range(100).toDF("x")
+    measures = [rules.Measure("costly", F.when(F.col("x") < 50, F.raise_error(F.lit("a rejected row was measured"))).otherwise(F.col("x")).cast("long"))]
+    cheap, costly = rules.Rule("cheap", F.col("x") < 50), rules.Rule("costly", rules.inner("costly") >= 90, ("costly",))
+    out = rules.cascade(docs, [cheap, costly], measures)
+    assert out.filter(rules.inner("rejected_by").isNull()).count() == 40 and out.filter(rules.inner("costly").isNotNull()).count() == 50
+    with pytest.raises(Exception, match="a rejected row was measured"):
+        rules.cascade(docs, [costly, cheap], measures).collect()
+
+
+def test_order_is_by_rejections_and_cost(spark, frame):
+    r = random.Random(6)
+    docs = frame([(i, " ".join(r.choice(["alpha", "beta", "###", "a", "!!!"]) for _ in range(r.choice([5, 200, 2000])))) for i in range(300)])
+    times = rules.timed(docs, rules.standard_rules(), rules.standard_measures())
+    rows = {x["rule"]: x for x in rules.report(times)}
+    rate = [t.rejected / t.seconds for t in times]
+    assert len(rows) == 6 and rate == sorted(rate, reverse=True) and all(x["sampled"] == 300 for x in rows.values())
+    assert rows["too short"]["rejected"] == docs.filter("size(split(text, ' ')) < 20").count()
+    kept = rules.judged(docs).filter("kept").select("doc_id")
+    left = rules.filtered(docs, sample=50)
+    assert sorted(x.doc_id for x in left.collect()) == sorted(x.doc_id for x in kept.collect()) and left.columns == docs.columns
+    assert rules.filtered(frame(ODD)).count() == rules.judged(frame(ODD)).filter("kept").count() and rules.filtered(frame([])).count() == 0
+    assert rules.sampled(docs, "doc_id", "text", 20).count() == 20
 
 
 def test_shards(spark, frame):
