@@ -403,20 +403,37 @@ def test_order_is_by_rejections_and_cost(spark, frame):
     assert rules.sampled(docs, "doc_id", "text", 20).count() == 20
 
 
-def test_shards(spark, frame):
+@pytest.mark.parametrize("part_rows, copies", [(1_000_000, 100_000), (5, 3)])
+def test_shards(spark, frame, monkeypatch, part_rows, copies):
+    """With small parts, hot slots and equal rows are numbered and dealt in pieces."""
+    monkeypatch.setattr(shards, "PART_ROWS", part_rows)
+    monkeypatch.setattr(shards, "COPIES", copies)
     r = random.Random(2)
-    rows = [(i, "x" * r.choice([1, 10, 100, 3000])) for i in range(2000)] + [(d and d + 9000, t) for d, t in ODD]
+    rows = [(i, "x" * r.choice([1, 10, 100, 3000])) for i in range(2000)] + [(d and d + 9000, t) for d, t in ODD] + [(None, None)] * 50 + [(77, f"text {i}") for i in range(60)]
     out = shards.assigned(frame(rows), 24).toPandas()
-    assert len(out) == len(rows) and set(out.law) == {"bytes"} and out.grown_shard.isna().all()
+    assert len(out) == len(rows) and set(out.law) == {"bytes"} and out.grown_shard.isna().all() and set(out.version) == {2}
     by = out.groupby("shard")
     assert len(by) == 24 and all(sorted(g.slot) == list(range(len(g))) for _, g in by)
-    text = dict(rows)
-    assert all(row["size"] == 8 + len((text[row.doc_id] or "").encode()) and row.text_crc32 == zlib.crc32((text[row.doc_id] or "").encode()) for _, row in out.dropna(subset=["doc_id"]).iterrows())
-    small = out[out["size"] < 10_000].groupby("shard")["size"].sum()
-    assert sorted(out.groupby("shard")["size"].sum())[-3] - min(out.groupby("shard")["size"].sum()) < 3100 and len(small) <= 24
+    expected = sorted((repr(d), 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for d, t in rows)
+    assert sorted((repr(None if x != x else int(x)), int(a), int(b)) for x, a, b in zip(out.doc_id, out["size"], out.text_crc32)) == expected
+    loads = sorted(by["size"].sum())
+    assert loads[-3] - loads[0] < 3300
     assert shards.assigned(frame([]), 24).count() == 0
 
 
+def test_stored_maps(spark, frame, tmp_path):
+    folder, rows = str(tmp_path / "map"), [(i, "x" * (i % 50)) for i in range(3000)]
+    shards.append_version(shards.first_map(spark, 4), folder)
+    first = {r.doc_id: (r.shard, r.vslot, r.version) for r in shards.assigned(frame(rows), 4, folder).collect()}
+    assert {v for _, _, v in first.values()} == {1}
+    size = shards.records(frame(rows)).groupBy("vslot").agg(F.sum("size").alias("bytes"))
+    assert shards.rebalance(folder, size, 5).first().version == 2
+    after = {r.doc_id: (r.shard, r.vslot, r.version) for r in shards.assigned(frame(rows), 5, folder).collect()}
+    assert {v for _, _, v in after.values()} == {2} and {s for s, _, _ in after.values()} == set(range(5))
+    assert all(after[i][1] == first[i][1] for i in first) and 0.1 < np.mean([after[i][0] != first[i][0] for i in first]) < 0.35
+    assert shards.stored_map(spark, folder, 1).filter("shard = 4").count() == 0
+
+
 def test_rebalancing_moves_few_slots(spark):
     slots = shards.first_map(spark, 4, 64)
     size = spark.range(64).selectExpr("id AS vslot", "CASE WHEN id < 16 THEN 200L ELSE 100L END AS bytes")
