@@ -7,8 +7,11 @@ the windows of its documents, looks them up, and compares the words of every hit
 with those of the item.
 
 The benchmark's size is summed before anything is sent.  Items that hold more
-than BLOCK_BYTES of text are dealt into blocks of that size, and the documents
-pass them one after the other, so memory stays bounded for any benchmark.
+than BLOCK_BYTES of text are dealt into blocks of about that size, and the
+documents pass them one after the other.  A task looks at CHAIN blocks at most;
+then the documents are written with what was found, and the next blocks begin.  So
+a task's memory has a bound for any benchmark, but for a single huge item, and a
+benchmark of n blocks costs n / CHAIN passes.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, Block, Words, pieces, window_hashes
+from .storage import discard, saved
 
 SIZE = 13
 #: Benchmark text that is broadcast at a time.
 BLOCK_BYTES = 4 << 20
+#: Blocks that one pass over the documents takes.
+CHAIN = 4
 _SIEVE_BITS = 20
 
 
@@ -119,13 +125,18 @@ def merged(spans: list[int]) -> list[int]:
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, then, schema, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """What `then` makes of docs: their columns, __id, __text, __spans (the words hit) and __items (the items found). One pass over docs for each block of items."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.select(*own, F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    every, spark, before = blocks(benchmark, item_col, item_text_col, block_bytes), docs.sparkSession, None
+    """What `then` makes of docs: the struct `row` of their columns, __id, __text, __spans (the words hit) and __items (the items found)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.lit(None)
+    out = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
+    every, spark, before, chained, written = blocks(benchmark, item_col, item_text_col, block_bytes), docs.sparkSession, None, 0, []
     for items in every:
         if before is not None:
-            out = out.mapInArrow(_scan(before), out.schema)
+            out, chained = out.mapInArrow(_scan(before), out.schema), chained + 1
+            if chained % CHAIN == 0:
+                out = saved(out, "scanned")
+                written.append(out)
+                discard(*written[:-1])
+                del written[:-1]
         before = spark.sparkContext.broadcast(Windows(items, size))
     return out.mapInArrow(_scan(before, then) if before is not None else _only(then), schema)
 
@@ -146,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, **col
     repeated or null doc_ids and other columns change nothing.
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    docs = docs.select(*dict.fromkeys((id_col, text_col)))
+    docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col))])
     kind = docs.schema[id_col].dataType.simpleString()
     return scanned(docs, benchmark, _report, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", size, **columns)
 
@@ -156,7 +167,8 @@ def _clean(text_col: str, names: list[str], mode: str):
         n_words = np.diff(words.first)
         spans = batch.column("__spans").to_pylist()
         keep = np.array([not x or 20 * sum(x[1::2]) < n for x, n in zip(spans, n_words.tolist())], bool)
-        out = batch.select(names)
+        row = batch.column("row")
+        out = pa.RecordBatch.from_arrays(row.flatten(), names=names)
         if mode == "documents":
             return out.filter(pa.array(keep))
         texts, block = column.to_pylist(), Block(column)
@@ -167,7 +179,7 @@ def _clean(text_col: str, names: list[str], mode: str):
                 kept.append(raw[low : words.starts[at + a]].tobytes())
                 low = int(words.ends[at + a + n - 1])
             texts[k] = b"".join([*kept, raw[low:high].tobytes()]).decode()
-        return out.set_column(names.index(text_col), text_col, pa.array(texts, batch.schema.field(text_col).type))
+        return out.set_column(names.index(text_col), text_col, pa.array(texts, out.schema.field(text_col).type))
 
     return then
 
@@ -175,7 +187,8 @@ def _clean(text_col: str, names: list[str], mode: str):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = SIZE, text_col: str = "text", **columns) -> DataFrame:
     """docs without contaminated documents (mode "documents"), or without the words hit in them (mode "spans").
 
-    A document is contaminated if a word is hit and a twentieth of its words or more are. Others stay as they are.
+    A document is contaminated if a word is hit and a twentieth of its words or more are. Others stay as they are,
+    null and empty texts too, and so do repeated rows; columns may have any name, and empty tables stay empty.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"the mode is documents or spans, not {mode!r}")

@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, Block, Words, mix64, per_text, pieces
+from .storage import discard, saved
 
 BITS = 18
 #: Characters at the start of a longer word that are features as well.
 PREFIXES = range(3, 9)
 #: Times up to which a word or beginning is counted.
 MOST = 3
-#: Rated documents that are fitted at most, those with the smallest hashes of id and text.
-SAMPLE = 4000
+#: Rated documents that are fitted at most, those with the smallest hashes of id and text, and their features in all: the
+#: first ones in this order are taken that have no more together.
+SAMPLE, SAMPLE_FEATURES = 4000, 16_000_000
 #: Least probability of the best grade from which a document is kept. The cut lies higher where CLEAN allows it.
 LEAST = 0.5
 #: Share of the held-out documents of the best grade that the cut keeps, and the fewest that set a cut.
@@ -111,31 +113,38 @@ def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndar
     params[cut] = odds[0]
     params[cut + 1 :] = np.log(np.maximum(np.diff(odds), 1e-3))
     first_moment, second_moment = np.zeros_like(params), np.zeros_like(params)
-
-    def thresholds() -> np.ndarray:
-        return np.cumsum(np.concatenate((params[cut : cut + 1], np.exp(params[cut + 1 :]))))
-
     for step in range(1, _STEPS + 1):
-        t = thresholds()
-        s = np.add.reduceat(params[index] * value, first[:-1])
-        below = 1 / (1 + np.exp(-np.clip(np.concatenate((t, [np.inf]))[grades] - s, -500, 500)))
-        under = 1 / (1 + np.exp(-np.clip(np.concatenate(([-np.inf], t))[grades] - s, -500, 500)))
-        p = np.maximum(below - under, 1e-12)
-        d_below, d_under = below * (1 - below) / p, under * (1 - under) / p
-        gradient = np.zeros_like(params)
-        gradient[:cut] = np.bincount(index, value * (d_below - d_under)[row], cut) / n
-        gradient[: 1 << BITS] += _DECAY * params[: 1 << BITS]
-        by_cut = np.zeros(n_grades + 1)
-        np.add.at(by_cut, grades + 1, -d_below)
-        np.add.at(by_cut, grades, d_under)
-        by_cut = by_cut[1:n_grades] / n
-        sums = np.cumsum(by_cut[::-1])[::-1]
-        gradient[cut] = sums[0]
-        gradient[cut + 1 :] = sums[1:] * np.exp(params[cut + 1 :])
+        _, gradient = loss(params, index, value, first, grades, n_grades)
         first_moment += 0.1 * (gradient - first_moment)
         second_moment += 0.01 * (gradient**2 - second_moment)
         params -= _RATE * first_moment / (1 - 0.9**step) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-8)
-    return Model(params[:cut] * scale, thresholds())
+    return Model(params[:cut] * scale, thresholds(params[cut:]))
+
+
+def thresholds(params: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate((params[:1], np.exp(params[1:]))))
+
+
+def loss(params: np.ndarray, index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int) -> tuple[float, np.ndarray]:
+    """(mean negative log likelihood with weight decay, its gradient) of weights, the first threshold and the logs of the gaps after it."""
+    n, row, cut = len(grades), np.repeat(np.arange(len(grades)), np.diff(first)), len(params) - (n_grades - 1)
+    t = thresholds(params[cut:])
+    s = np.add.reduceat(np.append(params[index] * value, 0.0), first[:-1]) * (np.diff(first) > 0)
+    below = 1 / (1 + np.exp(-np.clip(np.concatenate((t, [np.inf]))[grades] - s, -500, 500)))
+    under = 1 / (1 + np.exp(-np.clip(np.concatenate(([-np.inf], t))[grades] - s, -500, 500)))
+    p = np.maximum(below - under, 1e-12)
+    d_below, d_under = below * (1 - below) / p, under * (1 - under) / p
+    gradient = np.zeros_like(params)
+    gradient[:cut] = np.bincount(index, value * (d_below - d_under)[row], cut) / n
+    gradient[: 1 << BITS] += _DECAY * params[: 1 << BITS]
+    by_cut = np.zeros(n_grades + 1)
+    np.add.at(by_cut, grades + 1, -d_below)
+    np.add.at(by_cut, grades, d_under)
+    by_cut = by_cut[1:n_grades] / n
+    sums = np.cumsum(by_cut[::-1])[::-1]
+    gradient[cut] = sums[0]
+    gradient[cut + 1 :] = sums[1:] * np.exp(params[cut + 1 :])
+    return float(-np.log(p).mean() + _DECAY / 2 * (params[: 1 << BITS] ** 2).sum()), gradient
 
 
 def least_top(tops: np.ndarray) -> float:
@@ -169,12 +178,25 @@ def _features(batches):
         yield pa.record_batch([batch.column("h"), batch.column("grade"), pa.array([index[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([value[a:b].tobytes() for a, b in cuts], pa.binary())], names=["h", "grade", "index", "value"])
 
 
-def trained(docs: DataFrame, graded: DataFrame, n_grades: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of at most `sample` rated documents (doc_id, grade); None if there are none."""
-    few = F.broadcast(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(few, "doc_id").filter("text IS NOT NULL")
-    texts = texts.select(F.xxhash64("doc_id", "text").alias("h"), F.col("grade").cast("int").alias("grade"), "text")
-    rows = texts.mapInArrow(_features, "h long, grade int, index binary, value binary").orderBy("h", "grade").limit(sample).collect()
+def trained(docs: DataFrame, graded: DataFrame, n_grades: int = 3, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """A model of at most `sample` rated documents (doc_id, grade) of docs with `most_features` features; None if docs has none.
+
+    Equal rows count once, rows of one id with different texts each with the grade of the id; null texts and
+    ids aren't rated.
+    """
+    h = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+    rows = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), h.alias("h"))
+    rated = saved(rows.join(graded.select("doc_id", F.col("grade").cast("int").alias("grade")), "doc_id").distinct(), "rated")
+    every = max(-(-rated.count() // (2 * sample)), 1)
+    few = F.broadcast(saved(rated.filter(F.pmod("h", F.lit(every)) == 0).orderBy("h", "doc_id").limit(sample), "chosen"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), h.alias("h")).join(few, ["doc_id", "h"])
+    found = texts.select("h", "grade", "text").mapInArrow(_features, "h long, grade int, index binary, value binary").dropDuplicates(["h", "grade"])
+    found = saved(found, "features")
+    sizes = sorted((r["h"], r["n"]) for r in found.select("h", (F.octet_length("index") / 4).cast("long").alias("n")).collect())
+    fit = np.cumsum([n for _, n in sizes]) <= most_features
+    last = sizes[max(int(fit.sum()) - 1, 0)][0] if sizes else 0
+    rows = sorted(found.filter(F.col("h") <= last).collect(), key=lambda r: (r["h"], r["grade"]))
+    discard(rated, found)
     if not rows:
         return None
     index = np.frombuffer(b"".join(r["index"] for r in rows), "<i4").astype(np.int64)
@@ -209,7 +231,11 @@ def graded(docs: DataFrame, model: Model | None, least: float | None = None, id_
 
 
 def selected(docs: DataFrame, model: Model | None, least: float | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns.
+
+    A null text is scored like an empty one. Without a model all rows are kept. Repeated rows are all kept or
+    all rejected; columns of any name and type pass through; an empty table stays empty.
+    """
     if model is None:
         return docs
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns

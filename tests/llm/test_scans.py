@@ -282,10 +282,12 @@ def test_contamination(spark, frame, block_bytes):
                     found |= known[tuple(w[k : k + n])]
         expected.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, expected))
-    kept = decontaminate.decontaminated(frame(rows), benchmark)
-    assert kept.count() == sum(not e[-1] for e in expected) and kept.columns == frame(rows).columns
-    cut = decontaminate.decontaminated(frame(rows), benchmark, mode="spans")
-    assert cut.count() == len(rows)
+    docs = frame(rows).selectExpr("*", "1 AS __id", "'a' AS __text", "array(1) AS __spans", "2 AS row", "3 AS `a.b`")
+    kept = decontaminate.decontaminated(docs, benchmark, block_bytes=block_bytes)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(repr(r) for r, e in zip(rows, expected) if not e[-1]) and kept.columns == docs.columns
+    cut = decontaminate.decontaminated(docs, benchmark, mode="spans")
+    assert cut.count() == len(rows) and cut.columns == docs.columns
+    assert decontaminate.decontaminated(frame([]), benchmark).count() == 0
 
 
 def test_contamination_without_benchmark(spark, frame):
@@ -317,6 +319,8 @@ def test_quality_on_held_out_documents(spark, frame):
     assert quality.selected(docs, model).count() == sum(x.kept for x in out.values())
     odd = quality.graded(frame(ODD), model)
     assert odd.count() == len(ODD) and odd.filter("expected_grade IS NULL").count() == 0
+    assert quality.graded(frame([]), model).count() == 0 and quality.selected(frame([]), model).count() == 0
+    assert quality.selected(frame(ODD), model).columns == frame(ODD).columns and quality.trained(frame([]), rated) is None
 
 
 def test_toxic_recall_by_language_in_stage_1(spark):
@@ -335,6 +339,43 @@ def test_toxic_recall_by_language_in_stage_1(spark):
     assert share(0, ["en", "fr", "de", "es"]) > 0.97 and share(2, ["en", "fr", "de", "es"]) < 0.03
 
 
+def test_likelihood_and_gradient_are_those_by_hand():
+    """The loss is the plain sum over documents, and its gradient that of differences."""
+    r = np.random.default_rng(2)
+    index, value, first = quality.features(pa.array(["some words here", "### more $$$ words", "words words words here", "other", "the last one of all"]))
+    grades = np.array([0, 1, 2, 2, 1])
+    params = np.zeros((1 << quality.BITS) + quality._SHAPES + 2)
+    used = np.unique(index)
+    params[used], params[-2:] = r.normal(size=len(used)) / 3, [-0.4, 0.2]
+    got, gradient = quality.loss(params, index, value, first, grades, 3)
+    cuts, expected = [-np.inf, -0.4, -0.4 + np.exp(0.2), np.inf], 0.0
+    for k, g in enumerate(grades):
+        s = sum(params[i] * v for i, v in zip(index[first[k] : first[k + 1]], value[first[k] : first[k + 1]]))
+        expected -= np.log(1 / (1 + np.exp(s - cuts[g + 1])) - 1 / (1 + np.exp(s - cuts[g]))) / len(grades)
+    assert np.isclose(got, expected + quality._DECAY / 2 * (params[: 1 << quality.BITS] ** 2).sum())
+    for _ in range(5):
+        d = np.zeros_like(params)
+        d[used], d[-2:] = r.normal(size=len(used)), r.normal(size=2)
+        ahead, behind = (quality.loss(params + e * d, index, value, first, grades, 3)[0] for e in (1e-5, -1e-5))
+        assert abs((ahead - behind) / 2e-5 - gradient @ d) < 1e-6
+
+
+def test_sample_is_of_the_rated_documents_at_hand(spark, frame):
+    """Ratings of other documents take no place in the sample, and the features are bounded."""
+    rows = [(i, ("good words here " if i % 2 else "### $$$ bad ") * 5 + str(i)) for i in range(200)]
+    ratings = spark.createDataFrame([(i, 2 if i % 2 else 0) for i in range(5000)], "doc_id long, grade int")
+    docs = frame(rows + rows[:20])
+    seen = []
+    fit = quality.fit_with_cut
+    try:
+        quality.fit_with_cut = lambda index, value, first, grades, n: seen.append((len(grades), len(index))) or fit(index, value, first, grades, n)
+        assert quality.trained(docs, ratings, sample=150) is not None
+        assert quality.trained(docs, ratings, most_features=1000) is not None
+    finally:
+        quality.fit_with_cut = fit
+    assert seen[0][0] == 150 and 10 < seen[1][0] < 150 and seen[1][1] <= 1000
+
+
 def test_beginnings_are_counted_in_characters_up_to_the_cap():
     a, _, f = quality.features(pa.array(["ééé1 ééé2", "ééé1 ééé2 ééé3", "ééé1 ééé2 ééé3 ééé4"]))
     one, two, four = (set(a[f[i] : f[i + 1]].tolist()) for i in range(3))
