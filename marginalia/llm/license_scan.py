@@ -27,17 +27,37 @@ from .bytetext import ALNUM, Block, Words, pieces
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label and template; fixed wording of public licenses.
+# Wording of public licenses and of the notices that name them, as words.
+_HOLDER = "<<var;name=holder;words=1..12>>"
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the software"
+_ISC = "permission to use copy modify and <<beginOptional>>or <<endOptional>>distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2 <<endOptional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_3 = f"<<beginOptional>>3 <<endOptional>>neither the name of {_HOLDER} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GPL = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation <<beginOptional>>either version <<var;name=version;words=1..2>> of the license or at your option any later version<<endOptional>>"
+_NO_WARRANTY = "this <<var;name=what;words=1..3>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {}general public license for more details"
+_APACHE = "licensed under the apache license version 2 0 <<beginOptional>>the license you may not use this <<var;name=what;words=1..3>> except in compliance with the license<<endOptional>>"
+#: Label and template. A `text` is a whole license, a `header` the whole notice that its license proposes, a `notice` a part of one.
 TEMPLATES = [
     ("mit-notice", "<<beginOptional>>this <<var;name=what;words=1..2>> is <<endOptional>><<beginOptional>>released <<endOptional>><<beginOptional>>licensed <<endOptional>>under the mit license"),
-    ("apache-2.0-notice", "licensed under the apache license version 2 0 <<beginOptional>>the license you may not use this <<var;name=what;words=1..3>> except in compliance with the license<<endOptional>>"),
+    ("apache-2.0-notice", _APACHE),
+    ("apache-2.0-header", f"{_APACHE} you may obtain a copy of the license at http <<beginOptional>>s <<endOptional>>www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-notice", "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>version <<endOptional>><<var;name=version;words=1..2>>"),
-    ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<beginOptional>>either version <<var;name=version;words=1..2>> of the license or at your option any later version<<endOptional>>"),
+    ("gpl-notice", _GPL.format("")),
+    ("gpl-header", f"{_GPL.format('')} {_NO_WARRANTY.format('')}"),
+    ("lgpl-notice", _GPL.format("lesser ")),
+    ("lgpl-header", f"{_GPL.format('lesser ')} {_NO_WARRANTY.format('lesser ')}"),
+    ("agpl-notice", _GPL.format("affero ")),
+    ("mpl-2.0-header", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http <<beginOptional>>s <<endOptional>>mozilla org mpl 2 0"),
     ("cc-by-notice", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>creative commons <<endOptional>>cc by <<var;name=terms;words=0..3>> 4 0"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the software"),
-    ("isc-text", "permission to use copy modify and <<beginOptional>>or <<endOptional>>distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-2-clause-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2 <<endOptional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd-3-clause-text", "<<beginOptional>>3 <<endOptional>>neither the name of <<var;name=holder;words=1..12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mit-grant", _MIT),
+    ("mit-text", f"{_MIT} the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {_HOLDER} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-grant", _ISC),
+    ("isc-text", f"{_ISC} the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-2-clause-conditions", _BSD),
+    ("bsd-3-clause-condition", _BSD_3),
+    ("bsd-text", f"{_BSD} <<beginOptional>>{_BSD_3} <<endOptional>>this software is provided by {_HOLDER} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {_HOLDER} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<beginOptional>>1 <<endOptional>>the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<beginOptional>>2 <<endOptional>>altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<beginOptional>>3 <<endOptional>>this notice may not be removed or altered from any source distribution"),
+    ("unlicense-notice", "this is free and unencumbered software released into the public domain"),
 ]
 MARK = re.compile(r"<<(beginOptional|endOptional|var;name=\w+;words=(\d+)\.\.(\d+))>>")
 ANY = "*"
@@ -104,7 +124,7 @@ class Automaton:
         out = cls(label)
         out.final = out._append(parsed(template), 0)
         out.closed = [out._closure(s) for s in range(len(out.steps))]
-        mandatory = [r for r in parsed(template) if isinstance(r, str)]
+        out.mandatory = mandatory = [r for r in parsed(template) if isinstance(r, str)]
         if not mandatory:
             raise ValueError("a template needs a mandatory word")
         out.telling = max(mandatory, key=len)
@@ -165,26 +185,25 @@ def _scan(phrases: dict[str, str], templates: list[tuple[str, str]]):
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = np.flatnonzero(known[at] == hashes) if len(hashes) else np.zeros(0, np.int64)
             touched = set((np.searchsorted(first, hit, "right") - 1).tolist())
-            rows = {"n_base": [], "first_word": [], "last_word": [], "base_labels": [], "labels": [], "matches": [], "score": []}
-            for k in range(len(column)):
+            n = len(column)
+            base_counts, ends = np.zeros(n, np.int64), [[None] * n, [None] * n]
+            texts, score = [[""] * n for _ in range(3)], np.zeros(n)
+            for k in sorted(touched):
                 base, labels, found = [], set(), []
-                if k in touched:
-                    text = words.text(first[k], first[k + 1]).decode().split(" ")
-                    for phrase, label in wanted:
-                        if at_ := places(text, phrase):
-                            base += at_
-                            labels.add(label)
-                    for a in automata:
-                        found += [(s, e, a.label) for s, e in a.matches(text)]
-                rows["n_base"].append(len(base))
-                rows["first_word"].append(min(base, default=None))
-                rows["last_word"].append(max(base, default=None))
-                rows["base_labels"].append(",".join(sorted(labels)))
-                rows["labels"].append(",".join(sorted(labels | {x for _, _, x in found})))
-                rows["matches"].append(",".join(f"{x}:{s}:{e}" for s, e, x in sorted(found)))
-                rows["score"].append(1.0 if found else 0.5 if base else 0.0)
+                text = words.text(first[k], first[k + 1]).decode().split(" ")
+                for phrase, label in wanted:
+                    if at_ := places(text, phrase):
+                        base += at_
+                        labels.add(label)
+                for a in automata:
+                    found += [(s, e, a.label) for s, e in a.matches(text)]
+                base_counts[k], ends[0][k], ends[1][k] = len(base), min(base, default=None), max(base, default=None)
+                texts[0][k] = ",".join(sorted(labels))
+                texts[1][k] = ",".join(sorted(labels | {x for _, _, x in found}))
+                texts[2][k] = ",".join(f"{x}:{s}:{e}" for s, e, x in sorted(found))
+                score[k] = 1.0 if found else 0.5 if base else 0.0
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), *(pa.array(rows[c], pa.int64()) for c in ("n_base", "first_word", "last_word")), *(pa.array(rows[c], pa.string()) for c in ("base_labels", "labels", "matches")), pa.array(rows["score"], pa.float64())],
+                [batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(base_counts), *(pa.array(x, pa.int64()) for x in ends), *(pa.array(x, pa.string()) for x in texts), pa.array(score)],
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score"],
             )
 
