@@ -46,7 +46,7 @@ STAGES = [
     ("bpe", bpe_encoding),
 ]
 
-#: A fitted classifier and a tokenizer can't be expressed in SQL; the tests hold run() against brute force.
+#: A fitted classifier and a tokenizer can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
