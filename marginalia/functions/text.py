@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Words that carry no meaning in a question.
 STOPWORDS = "how did i the a to do my for without should what is are it in on of an and or from with be was".split()
 
+#: White space as Unicode has it, as a class of patterns.
+WHITE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 #: Letters with marks and the letters they are folded to.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -42,10 +45,18 @@ def heading_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) > 2) & ~w.isin(STOPWORDS)))
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def trimmed_end(text: Column) -> Column:
+    return F.regexp_replace(text, f"{WHITE}+$", "")
+
+
 def snippet(body: Column, width: int = 240) -> Column:
     """The trimmed text, cut at `width` characters with an ellipsis."""
-    text = F.regexp_replace(body, r"^\s+|\s+$", "")
-    return F.when(F.length(text) > width, F.concat(F.regexp_replace(F.substring(text, 1, width), r"\s+$", ""), F.lit("…"))).otherwise(text)
+    text = trimmed(body)
+    return F.when(F.length(text) > width, F.concat(trimmed_end(F.substring(text, 1, width)), F.lit("…"))).otherwise(text)
 
 
 def token_estimate(body: Column) -> Column:

@@ -29,10 +29,11 @@ def seeds(sections: DataFrame, questions: DataFrame, config: Search = Search(),
     return materialised(lexical.top_k(scores, config.lexical_limit), "seeds")  # read by the expansion and the fusion
 
 
-def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True) -> DataFrame:
+def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """Ranked rows of each question (qid, question): lexical seeds, expansion, fusion, status, truncation, then the boosts, which only reorder.
 
     A question without a searchable term has no rows. Without edges, or with the graph off, only the seeds count.
+    contexts has (qid, app, cwd), or (qid, wm_class, cwd) to be resolved with the aliases and the question.
     """
     lex = seeds(sections, questions, config, prefix_last)
     if config.graph.enabled and edges is not None:
@@ -46,16 +47,24 @@ def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame,
     rows = rows.withColumn("status_weight", weight).withColumn("score", F.col("score") * F.col("status_weight"))
     rows = fuse.boost_heading(fuse.ranked(rows, config.fused_limit), questions, config.boosts)
     if contexts is not None:
+        if "wm_class" in contexts.columns:
+            contexts = context.effective(contexts, questions, aliases or {})
         rows = context.boosted(rows.withColumnRenamed("note_title", "title"), contexts, config.boosts)
     return rows
 
 
+def looked_up(wanted: DataFrame, sections: DataFrame) -> DataFrame:
+    """(qid, place, uid, ...) of listed sections (qid, uids) that exist, in the order of the list; a uid that is listed twice stands at its last place."""
+    places = wanted.select("qid", F.posexplode("uids").alias("place", "uid")).groupBy("qid", "uid").agg(F.max("place").alias("place"))
+    return places.join(sections.withColumnRenamed("section_uid", "uid"), "uid")
+
+
 def prompts(rows: DataFrame, questions: DataFrame, budget_tokens: int, config: Search = Search()) -> DataFrame:
     """(qid, prompt, sources) of ranked rows with their sections' columns; questions below the confidence gate have none."""
-    sure = rows.groupBy("qid").agg(F.max("score").alias("top")).filter(F.col("top") >= config.min_confidence).select("qid")
+    sure = pack.gated(rows, questions, config.min_confidence).filter("confident").select("qid")
     heading = F.when(F.coalesce("heading_path", F.lit("")) == "", F.col("note_title")).otherwise(F.col("heading_path"))
     blocks = rows.join(sure, "qid").withColumn("block", pack.block(F.col("rank"), F.col("path"), heading, F.col("start_line"), pack.cut(pack.sanitised(F.col("body")))))
-    return pack.prompts(pack.packed(blocks, budget_tokens, config.context_sections), questions)
+    return pack.prompts(pack.packed(blocks, budget_tokens, config.context_sections), questions.join(sure, "qid", "left_semi"))
 
 
 def benchmark(sections: DataFrame, edges: DataFrame, questions: DataFrame, combos: list[dict[str, str]], config: Search = Search()) -> DataFrame:

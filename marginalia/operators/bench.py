@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.operators.numbering import numbered, running
+
 MISSING_RANK = 1000
 
 
@@ -24,16 +28,35 @@ def report(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Nearest-rank percentiles."""
-    return rows.groupBy(*(by or [])).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, q in quantiles.items()])
+    """Nearest-rank percentiles: the smallest value that so large a share of the rows doesn't pass. Null values don't count.
+
+    Values are counted before they are ordered, and ordered in ranges, so no task holds all values of a group.
+    """
+    by = by or []
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    every = running(counts, [*by, value], F.col("__n"), "__upto")
+    total = every.groupBy(*by).agg(F.min(F.col("__upto") - F.col("__n")).alias("__start"), F.sum("__n").alias("__all"))
+    if by:
+        same = [F.col(f"e.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+        every = every.alias("e").join(total.alias("t"), reduce(and_, same)).select("e.*", "__start", "__all")
+    else:
+        every = every.crossJoin(F.broadcast(total))
+    share = (F.col("__upto") - F.col("__start")) / F.col("__all")
+    return every.groupBy(*by).agg(*[F.min(F.when(share >= q, F.col(value))).alias(name) for name, q in quantiles.items()])
+
+
+def latency(rows: DataFrame, quantiles: dict[str, float], stages: list[str]) -> DataFrame:
+    """(stage, n, and the percentiles) of runs with a column of milliseconds for each stage; a null is a stage that a run didn't reach."""
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("ms")) for s in stages])).alias("x")).select("x.*").filter("ms IS NOT NULL")
+    return each.groupBy("stage").agg(F.count("*").alias("n")).join(percentiles(each, "ms", quantiles, ["stage"]), "stage")
 
 
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     """(place, question, was, now, delta) of questions in both whose rank changed, the worst first; ties in reverse order of `after` (question, rank, pos)."""
     both = after.select("question", F.col("rank").alias("now"), "pos").join(before.select("question", F.col("rank").alias("was")), "question").filter(~F.col("now").eqNullSafe(F.col("was")))
     delta = F.coalesce("now", F.lit(MISSING_RANK)) - F.coalesce("was", F.lit(MISSING_RANK))
-    out = both.withColumn("delta", delta)
-    return out.select(F.row_number().over(W.orderBy(F.desc("delta"), F.desc("pos"))).alias("place"), "question", "was", "now", "delta")
+    out = numbered(both.withColumn("delta", delta), [F.desc("delta"), F.desc("pos")], "place")
+    return out.select("place", "question", "was", "now", "delta")
 
 
 def best_combination(reports: DataFrame) -> DataFrame:

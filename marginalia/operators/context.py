@@ -15,30 +15,37 @@ PLAIN = ["agent", "app", "desktop", "bin", "gui"]
 
 
 def informal_name(wm_class: Column) -> Column:
-    """The last part of a dotted window class that says something; null if none does."""
+    """The last part of a dotted window class that says something, or the whole class if none does; null for an empty one."""
     parts = F.filter(F.split(F.lower(wm_class), r"\."), lambda p: (p != "") & ~p.isin(PLAIN))
-    return F.get(parts, F.size(parts) - 1)
+    return F.coalesce(F.get(parts, F.size(parts) - 1), F.nullif(F.lower(wm_class), F.lit("")))
 
 
 def alias_for(rows: DataFrame, aliases: dict[str, list[str]], column: str = "wm_class") -> DataFrame:
-    """rows with `app`: the first alias name, in order, of which a variant is the class or begins it before a dot; else the informal name."""
+    """rows with `app`: the first alias name, in order and lower-cased, of which a variant is the class or begins it before a dot; else the informal name."""
     low, app = F.lower(F.col(column)), F.lit(None).cast("string")
     for name in sorted(aliases, reverse=True):
         hit = F.lit(False)
         for variant in aliases[name]:
             hit = hit | (low == variant.lower()) | low.startswith(variant.lower() + ".")
-        app = F.when(hit, F.lit(name)).otherwise(app)
-    return rows.withColumn("app", F.coalesce(app, informal_name(F.col(column))))
+        app = F.when(hit, F.lit(name.lower())).otherwise(app)
+    return rows.withColumn("app", F.when(low != "", F.coalesce(app, informal_name(F.col(column)))))
 
 
 def app_named_in(question: Column, aliases: dict[str, list[str]]) -> Column:
-    """The first alias name that is a word of the question."""
+    """The first alias name, lower-cased, that is a word of the question."""
     words, out = F.split(F.lower(question), r"[^\p{L}\p{N}]+"), F.lit(None).cast("string")
     for name in sorted(aliases, reverse=True):
-        out = F.when(F.array_contains(words, name.lower()), F.lit(name)).otherwise(out)
+        out = F.when(F.array_contains(words, name.lower()), F.lit(name.lower())).otherwise(out)
     return out
 
 
+def effective(contexts: DataFrame, questions: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """(qid, app, cwd) of contexts (qid, wm_class, cwd): an application that the question names goes before the focused one."""
+    focused = alias_for(contexts.select("qid", "wm_class", "cwd"), aliases).withColumnRenamed("app", "__focused")
+    every = questions.select("qid", app_named_in(F.col("question"), aliases).alias("__named")).join(focused, "qid", "left")
+    return every.select("qid", F.coalesce("__named", "__focused").alias("app"), "cwd")
+
+
 def under(path: Column, cwd: Column) -> Column:
     """Whether a path is a folder or lies in it, by whole components; false without a folder."""
     folder = F.regexp_replace(cwd, "/+$", "")
@@ -46,8 +53,8 @@ def under(path: Column, cwd: Column) -> Column:
 
 
 def boosted(rows: DataFrame, contexts: DataFrame, config: Boosts = Boosts()) -> DataFrame:
-    """Ranked rows (title, path, body) lifted by the context (qid, app, cwd) of their question and ranked again; no row goes."""
-    text = F.lower(F.concat_ws("\n", "title", "path", "body"))
+    """Ranked rows (title, heading_path, body, path) lifted by the context (qid, app, cwd) of their question and ranked again; no row goes."""
+    text = F.lower(F.concat_ws(" ", "title", "heading_path", "body"))
     out = rows.join(contexts.select("qid", "app", "cwd"), "qid", "left")
     app = F.coalesce((F.col("app") != "") & text.contains(F.lower("app")), F.lit(False))
     project = under(F.col("path"), F.col("cwd"))

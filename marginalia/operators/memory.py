@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators.numbering import numbered
 
 FUZZY_THRESHOLD, STALE_FACTOR = 0.5, 0.8
 
@@ -85,6 +86,12 @@ def refreshed(corrections: DataFrame, sources: DataFrame, current: DataFrame) ->
     return out.withColumn("changed", F.col("__stale") != F.col("stale")).withColumn("stale", F.col("__stale")).drop("__stale")
 
 
+def listed(corrections: DataFrame) -> DataFrame:
+    """corrections with `place`, the newest first and equal ones by id, and `n_stale`, how many are stale in all."""
+    stale = corrections.agg(F.count_if(F.col("stale")).alias("n_stale"))
+    return numbered(corrections, [F.desc("created_at"), F.asc("id")], "place").crossJoin(F.broadcast(stale))
+
+
 def deleted(corrections: DataFrame, ids: DataFrame) -> DataFrame:
     return corrections.join(ids.select("id").distinct(), "id", "left_anti")
 
@@ -98,18 +105,30 @@ def jaccard(a: Column, b: Column) -> Column:
 def best_corrections(questions: DataFrame, corrections: DataFrame, threshold: float = FUZZY_THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """(qid, id, exact, score): the correction of each question. An equal normal form wins; else the highest word similarity, less if stale, the last id on ties.
 
-    Similar pairs share a word, so candidates come from a join on words; overlaps and set sizes give the similarity.
+    The sets of a pair whose similarity reaches the threshold t share a word among the first n - ceil(t n) + 1 of
+    each, if both are in one order. Words are ordered from the rarest among the corrections on, so candidates come
+    from a join on rare words and sets of near sizes, and the similarity is counted on the whole sets.
     """
-    q = questions.select("qid", T.normalized(F.col("question")).alias("n")).withColumn("w", F.array_distinct(F.filter(F.split("n", " "), lambda x: x != "")))
-    c = corrections.select("id", F.col("normalized").alias("n"), "stale").withColumn("w", F.array_distinct(F.filter(F.split("n", " "), lambda x: x != "")))
-    exact = q.join(c.select("id", "n"), "n").select("qid", "id", F.lit(True).alias("exact"), F.lit(1.0).alias("score"))
-    every = exact
+    words = F.array_distinct(F.filter(F.split("n", " "), lambda x: x != ""))
+    q = questions.select("qid", T.normalized(F.col("question")).alias("n")).withColumn("w", words)
+    c = corrections.select("id", F.col("normalized").alias("n"), "stale").withColumn("w", words)
+    every = q.join(c.select("id", "n"), "n").select("qid", "id", F.lit(True).alias("exact"), F.lit(1.0).alias("score"))
     if fuzzy:
-        qw = q.select("qid", F.size("w").alias("nq"), F.explode("w").alias("word"))
-        cw = c.select("id", "stale", F.size("w").alias("nc"), F.explode("w").alias("word"))
-        both = qw.join(cw, "word").groupBy("qid", "id", "nq", "nc", "stale").agg(F.count("*").alias("both"))
-        score = F.round(F.col("both") / (F.col("nq") + F.col("nc") - F.col("both")) * F.when(F.col("stale"), STALE_FACTOR).otherwise(1.0), 9)
-        every = exact.union(both.select("qid", "id", F.lit(False), score.alias("score")).filter(F.col("score") >= threshold))
+        if not 0 < threshold <= 1:
+            raise ValueError("the threshold lies above 0 and is 1 at most")
+        often = c.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+
+        def beginnings(rows: DataFrame, key: str) -> DataFrame:
+            """(key, n, word): the rarest words of each set, enough to meet every similar set in one."""
+            each = rows.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(often, "word", "left")
+            order = F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("often", F.lit(0)), "word"))
+            return each.withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1).select(F.col(key), F.col("n").alias(f"n_{key}"), "word")
+
+        near = (F.col("n_id") >= F.col("n_qid") * (threshold - 1e-9)) & (F.col("n_qid") >= F.col("n_id") * (threshold - 1e-9))
+        pairs = beginnings(q, "qid").join(beginnings(c, "id"), "word").filter(near).select("qid", "id").distinct()
+        whole = pairs.join(q.select("qid", F.col("w").alias("a")), "qid").join(c.select("id", "stale", F.col("w").alias("b")), "id")
+        score = F.round(jaccard(F.col("a"), F.col("b")) * F.when(F.col("stale"), STALE_FACTOR).otherwise(1.0), 9)
+        every = every.union(whole.select("qid", "id", F.lit(False), score.alias("score")).filter(F.col("score") >= threshold))
     place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("exact"), F.desc("score"), F.desc("id")))
     return every.withColumn("r", place).filter("r = 1").drop("r")
 

@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+
 LIMIT = 4000
 CUT_MARK = "\n[…truncated]"
 BYTES_PER_TOKEN = 3.6
 
 
 def sanitised(body: Column) -> Column:
-    """Without source fences and control characters other than line feeds and tabs."""
-    text = F.replace(F.replace(body, F.lit("</source>"), F.lit("")), F.lit("<source"), F.lit(""))
+    """With source fences escaped by a backslash, and without control characters other than line feeds and tabs."""
+    text = F.replace(F.replace(body, F.lit("</source>"), F.lit("<\\/source>")), F.lit("<source"), F.lit("<\\source"))
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", "")
 
 
 def cut(body: Column, limit: int = LIMIT) -> Column:
-    """At most `limit` characters, back to the last blank line if it lies past the half, with a mark."""
+    """At most `limit` characters, back to the last blank line if that lies past half the bytes, else to the last character that is no white space, with a mark."""
     head = F.substring(body, 1, limit)
-    back = F.length(head) - F.locate("\n\n", F.reverse(head)) - 1  # characters before the last blank line
-    whole = F.when((F.locate("\n\n", F.reverse(head)) > 0) & (back > limit / 2), F.substring(head, F.lit(1), back.cast("int"))).otherwise(head)
+    behind = F.locate("\n\n", F.reverse(head))
+    back = F.substring(head, F.lit(1), (F.length(head) - behind - 1).cast("int"))  # what stands before the last blank line
+    whole = F.when((behind > 0) & (F.octet_length(back) > F.floor(F.octet_length(head) / 2)), back).otherwise(T.trimmed_end(head))
     return F.when(F.length(body) > limit, F.concat(whole, F.lit(CUT_MARK))).otherwise(body)
 
 
@@ -46,10 +49,23 @@ def budget(context_tokens: int, max_output_tokens: int, reserve: int = 320) -> i
 
 
 def prompts(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, prompt, sources): the taken blocks of each question in order, then the question. At most `context_sections` blocks are gathered for a question."""
+    """(qid, prompt, sources): the taken blocks of each question in order, then the question; a fixed sentence for one without blocks.
+
+    At most `context_sections` blocks are gathered for a question.
+    """
     blocks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "")
     got = rows.groupBy("qid").agg(blocks.alias("b"), F.count("*").alias("sources"))
-    return got.join(questions.select("qid", "question"), "qid").select("qid", F.concat("b", F.lit("Question: "), "question").alias("prompt"), "sources")
+    every = questions.select("qid", "question").join(got, "qid", "left")
+    prompt = F.concat(F.coalesce("b", F.lit("No sources were found.\n\n")), F.lit("Question: "), sanitised(F.col("question")))
+    return every.select("qid", prompt.alias("prompt"), F.coalesce("sources", F.lit(0).cast("long")).alias("sources"))
+
+
+def gated(rows: DataFrame, questions: DataFrame, least: float, closest: int = 3) -> DataFrame:
+    """(qid, confident, closest): whether the best score of a question reaches the gate; if not, its first uids. A question without rows has none."""
+    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= closest, F.struct("rank", "uid")))), lambda x: x["uid"])
+    best = rows.groupBy("qid").agg(F.max_by("score", -F.col("rank")).alias("top"), first.alias("first"))
+    sure = F.coalesce(F.col("top") >= least, F.lit(False))
+    return questions.select("qid").join(best, "qid", "left").select("qid", sure.alias("confident"), F.when(~sure, F.coalesce("first", F.array())).alias("closest"))
 
 
 def with_correction(prompt: Column, block_: Column) -> Column:

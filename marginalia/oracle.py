@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS
+from marginalia.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS, WHITE
 from marginalia.queries import BUDGET, QUERY_EVERY
 
 STOPS = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -77,16 +77,24 @@ hm AS (SELECT tr.*, len(list_filter(terms, lambda t: contains(lower(heading), t)
 res AS (SELECT * EXCLUDE (score, before), s AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, before) AS rank FROM (SELECT *, score * CASE WHEN heading_match THEN 1.3 ELSE 1.0 END::DOUBLE AS s FROM hm))"""
 ALL_TERMS = """nt AS (SELECT qid, count(*) AS n FROM qt GROUP BY ALL),
 al AS (SELECT qid, uid FROM (SELECT qid, uid, count(*) AS h FROM lex_p JOIN (SELECT qid, term FROM qt) USING (term) GROUP BY ALL) JOIN nt USING (qid) WHERE h = n)"""
-CLEAN = r"regexp_replace(replace(replace(body, '</source>', ''), '<source', ''), '[\x00-\x08\x0B-\x1F\x7F-\x9F]', '', 'g')"
-# No document has blank lines, so a cut text ends at the limit unless the SQL below finds one.
-PACK = rf"""cl AS (SELECT *, {CLEAN} AS c FROM res), hd AS (SELECT *, substr(c, 1, 4000) AS h FROM cl),
-bk AS (SELECT *, CASE WHEN length(c) > 4000 THEN (CASE WHEN contains(h, chr(10) || chr(10)) AND length(h) - instr(reverse(h), chr(10) || chr(10)) - 1 > 2000 THEN substr(h, 1, length(h) - instr(reverse(h), chr(10) || chr(10)) - 1) ELSE h END) || chr(10) || '[…truncated]' ELSE c END AS b FROM hd),
+
+
+def clean(x: str) -> str:
+    return rf"regexp_replace(replace(replace({x}, '</source>', '<\/source>'), '<source', '<\source'), '[\x00-\x08\x0B-\x1F\x7F-\x9F]', '', 'g')"
+
+
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+PACK = rf"""cl AS (SELECT *, {clean("body")} AS c FROM res), hd AS (SELECT *, substr(c, 1, 4000) AS h FROM cl),
+bk AS (SELECT *, CASE WHEN length(c) > 4000 THEN (CASE WHEN contains(h, chr(10) || chr(10)) AND strlen(substr(h, 1, length(h) - instr(reverse(h), chr(10) || chr(10)) - 1)) > strlen(h) // 2 THEN substr(h, 1, length(h) - instr(reverse(h), chr(10) || chr(10)) - 1) ELSE regexp_replace(h, '{WHITE}+$', '') END) || chr(10) || '[…truncated]' ELSE c END AS b FROM hd),
 bl AS (SELECT *, '<source ' || rank || '>' || chr(10) || 'path: ' || path || chr(10) || 'heading: ' || heading || chr(10) || 'lines: 1' || chr(10) || b || chr(10) || '</source>' || chr(10) || chr(10) AS block FROM bk),
 pk AS (SELECT * FROM (SELECT *, sum(strlen(block)) OVER (PARTITION BY qid ORDER BY rank) AS bytes_used FROM bl) WHERE (bytes_used <= {BUDGET} * 3.6 OR rank = 1) AND rank <= 5)"""
 TWO = f"""{SEC}, {QT}, {bm25('lex', FULL)}, {ALL_TERMS}, {bm25('heads', {'heading': 8.0})}, {bm25('bodies', {'body': 1.0})},
 rk AS (SELECT q.qid, 0 AS combo, min(position + 1) AS rank FROM (SELECT item_id AS qid FROM benchmark) q LEFT JOIN (SELECT heads.* FROM heads JOIN al USING (qid, uid)) USING (qid) GROUP BY ALL
   UNION ALL SELECT q.qid, 1, min(position + 1) FROM (SELECT item_id AS qid FROM benchmark) q LEFT JOIN (SELECT bodies.* FROM bodies JOIN al USING (qid, uid)) USING (qid) GROUP BY ALL)"""
-HOST = "regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/?#]*)', 1)"
+HOST = "regexp_extract(url, '(?s)^(?:.*?://)?([^/]*)', 1)"
 COSINE = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
@@ -113,6 +121,15 @@ ASKED = "SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversation
 LABEL = "CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') ELSE lpad((s // 60)::VARCHAR, 2, '0') END || ':' || lpad((s % 60)::VARCHAR, 2, '0')"
 
 
+APPS = "ap AS (SELECT 'org.nation.' || upper(n_name[1]) || lower(n_name[2:]) AS app_id, upper(n_name[1]) || lower(n_name[2:]) AS app_name, lower(n_name) AS n FROM nation)"
+DECLARED = f"""dc AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'file' WHEN 'fr' THEN 'url' WHEN 'de' THEN 'app' WHEN 'es' THEN 'video' ELSE 'project' END AS kind, lang || '/' || source AS raw, CASE WHEN lang = 'de' THEN ['nation_7', 'org.nation.nation_13', 'nation_', 'nowhere'][doc_id % 4 + 1] END AS app FROM documents),
+dr AS (SELECT doc_id AS section_uid, kind, CASE kind WHEN 'file' THEN 1 WHEN 'video' THEN 2 WHEN 'app' THEN 3 WHEN 'project' THEN 4 ELSE 5 END AS slot,
+  CASE WHEN kind = 'app' THEN CASE doc_id % 4 WHEN 0 THEN 'org.nation.Nation_7' WHEN 1 THEN 'org.nation.Nation_13' ELSE app END ELSE raw END AS target,
+  CASE kind WHEN 'app' THEN CASE doc_id % 4 WHEN 0 THEN 'Nation_7' WHEN 1 THEN 'Nation_13' ELSE app END WHEN 'url' THEN split_part(raw, '/', 1) WHEN 'video' THEN '▶ ' || CASE WHEN doc_id % 2 = 0 THEN LABEL ELSE 'Video' END ELSE split_part(raw, '/', -1) END AS label,
+  CASE kind WHEN 'file' THEN raw IN (SELECT raw FROM dc WHERE kind = 'file' AND doc_id % 2 = 0) WHEN 'project' THEN raw IN (SELECT raw FROM dc WHERE kind = 'file' AND doc_id % 2 = 0) WHEN 'app' THEN doc_id % 4 < 2 ELSE true END AS enabled,
+  CASE WHEN kind = 'file' THEN greatest(doc_id % 9, 1) END AS line, CASE WHEN kind = 'video' AND doc_id % 2 = 0 THEN doc_id END AS seconds FROM dc)""".replace("LABEL", LABEL.replace("s //", "doc_id //").replace("s >=", "doc_id >=").replace("(s %", "(doc_id %").replace("s %", "doc_id %"))
+
+
 def oracle_sql() -> dict[str, str]:
     lex = f"WITH {SEC}, {QT}, {bm25('lex', FULL)}"
     return {
@@ -121,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "q_tokenize_stats": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {tok('text')} AS w FROM documents)",
         "q_phrase": f"""WITH {SEC}, p AS (SELECT item_id AS qid, {tok('text')}[1:3] AS p FROM benchmark), d AS (SELECT uid, {tok('body')} AS w FROM sec),
 x AS (SELECT uid, w, unnest(w) AS term, unnest(range(len(w))) AS "at" FROM d) SELECT qid, uid, "at" FROM x JOIN p ON term = p[1] AND w["at" + 1:"at" + len(p)] = p""",
-        "q_snippet": r"SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 240), '\s+$', '') || '…' ELSE t END AS snippet FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)",
+        "q_snippet": f"SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 240), '{WHITE}+$', '') || '…' ELSE t END AS snippet FROM (SELECT doc_id, {trim('text')} AS t FROM documents)",
         "q_no_answer": f"{lex}, {ALL_TERMS} SELECT item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM al)",
         "q_stats": f"WITH {COPIES} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '') AS sections, (SELECT count(*) FROM cp) AS relations",
         "parse_lines": "SELECT doc_id, count(*) AS n_lines, max(n)::BIGINT AS last_line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) WHERE l <> '' GROUP BY doc_id",
@@ -144,13 +161,13 @@ SELECT qid, uid, rank, round(score, 9) AS score, CASE WHEN e = '' THEN 'matched'
         "rank_rrf_sum": f"""WITH {SEC}, {QT}, {bm25('heads', {'heading': 8.0})}, {bm25('bodies', {'body': 1.0})},
 u AS (SELECT qid, uid, round(sum(s), 9) AS score FROM (SELECT qid, uid, 1.0::DOUBLE / (60 + position + 1) AS s FROM heads UNION ALL SELECT qid, uid, 0.5::DOUBLE / (60 + position + 1) FROM bodies) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM u) WHERE position < 20""",
-        "boost_context": f"""WITH {RETRIEVE}, c AS (SELECT *, contains(lower(concat_ws(chr(10), heading, path, body)), 'example') AS active_app, path = 'src' || (qid % 20) OR starts_with(path, 'src' || (qid % 20) || '/') AS current_project FROM res)
+        "boost_context": f"""WITH {RETRIEVE}, c AS (SELECT *, contains(lower(concat_ws(' ', heading, path, body)), 'example') AS active_app, path = 'src' || (qid % 20) OR starts_with(path, 'src' || (qid % 20) || '/') AS current_project FROM res)
 SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY score * CASE WHEN current_project THEN 1.35 ELSE 1.0 END::DOUBLE * CASE WHEN active_app THEN 1.25 ELSE 1.0 END::DOUBLE DESC, rank) AS rank, active_app, current_project FROM c""",
-        "ctx_informal_name": f"SELECT page_id, list_filter(string_split(lower({HOST}), '.'), lambda p: p <> '' AND p NOT IN ('agent', 'app', 'desktop', 'bin', 'gui'))[-1] AS app FROM pages",
+        "ctx_informal_name": f"SELECT page_id, coalesce(list_filter(string_split(lower({HOST}), '.'), lambda p: p <> '' AND p NOT IN ('agent', 'app', 'desktop', 'bin', 'gui'))[-1], nullif(lower({HOST}), '')) AS app FROM pages",
         "ctx_default": """WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'click' THEN nullif(props->>'$.k', '') END AS g FROM events)
 SELECT event_id, coalesce(g, last_value(g IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS effective_context FROM c""",
         "pack_greedy": f"WITH {RETRIEVE}, {PACK} SELECT qid, uid, rank, bytes_used::BIGINT AS bytes_used FROM pk",
-        "pack_prompts": f"WITH {RETRIEVE}, {PACK} SELECT qid, sha256(string_agg(block, '' ORDER BY rank) || 'Question: ' || any_value(text)) AS prompt_sha256, count(*) AS sources FROM pk JOIN benchmark ON qid = item_id GROUP BY qid",
+        "pack_prompts": f"WITH {RETRIEVE}, {PACK} SELECT item_id AS qid, sha256(coalesce(string_agg(block, '' ORDER BY rank), 'No sources were found.' || chr(10) || chr(10)) || 'Question: ' || {clean('any_value(text)')}) AS prompt_sha256, count(block) AS sources FROM benchmark LEFT JOIN pk ON qid = item_id GROUP BY item_id",
         "cache_key": f"WITH {RETRIEVE}, {PACK} SELECT qid, sha256(string_agg(uid || chr(1) || body || chr(1), '' ORDER BY rank) || concat_ws(chr(1), 'none', '1', '200', '0.200', '0')) AS key FROM pk GROUP BY qid",
         "cache_upsert": """WITH w AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q, conv_id * 1000 + turn AS seq FROM conversations), k AS (SELECT sha256(q) AS key, * FROM w WHERE role = 'assistant' AND q IS NOT NULL)
 SELECT key, arg_max(text, seq) AS answer, arg_min('m' || (conv_id % 3), seq) AS model, arg_max(conv_id, seq) AS created_at FROM k GROUP BY key""",
@@ -165,10 +182,56 @@ p AS (SELECT qid, id, q.n = c.n AS exact, list_distinct(string_split(q.n, ' '))
 s AS (SELECT qid, id, exact, CASE WHEN exact THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 9) END::DOUBLE AS score FROM p)
 SELECT qid, id, exact, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, score DESC, id DESC) AS r FROM s WHERE exact OR score >= 0.2) WHERE r = 1""",
         "corr_staleness": "SELECT source AS correction_id, bool_or(doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1)) AS stale FROM documents GROUP BY source",
-        "act_offered": f"""WITH {RETRIEVE}, dc AS (SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 5 WHEN 'de' THEN 3 ELSE 4 END AS slot, lang || '/' || source AS target FROM documents),
-a AS (SELECT qid, 0 AS slot, rank, 0 AS seq, path AS target FROM res UNION ALL SELECT qid, slot, rank, 1, target FROM res JOIN dc ON uid = doc_id),
-o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, target ORDER BY slot, rank, seq) AS r FROM a) WHERE r = 1)
-SELECT qid, id, slot::BIGINT AS slot, target FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, rank, seq, target) AS id FROM o) WHERE id <= 9""",
+        "act_offered": f"""WITH {RETRIEVE}, {DECLARED},
+a AS (SELECT qid, 0 AS slot, rank, 0 AS seq, heading AS label, 'file' AS type, path AS target, 1 AS line, NULL::BIGINT AS seconds, true AS enabled FROM res
+  UNION ALL SELECT qid, slot, rank, 1, label, kind, target, line, seconds, enabled FROM res JOIN dr ON uid = section_uid),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, type, target, line, seconds ORDER BY slot, rank, seq, label) AS r FROM a) WHERE r = 1)
+SELECT qid, id, slot::BIGINT AS slot, ['open_file', 'open_file', 'open_video', 'launch_desktop_app', 'open_project', 'open_url'][slot + 1] AS kind, label, target, enabled
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, rank, seq, label, type, target, line, seconds) AS id FROM o) WHERE id <= 9""",
+        "act_resolve": f"WITH {DECLARED} SELECT section_uid, kind, label, enabled, slot::BIGINT AS slot, target, line::BIGINT AS line, seconds FROM dr",
+        "act_app_resolve": f"""WITH {APPS}, w AS (SELECT DISTINCT ' ' || substr(n_name, 1, k) AS name, lower(substr(n_name, 1, k)) AS w FROM (SELECT n_name, unnest(range(1, length(n_name) + 1)) AS k FROM nation))
+SELECT name, CASE WHEN count_if(n = w) > 0 THEN min(app_id) FILTER (n = w) ELSE min(app_id) END AS app_id FROM w JOIN ap ON starts_with(n, w) GROUP BY name HAVING count_if(n = w) > 0 OR count(*) = 1""",
+        "act_expand": """WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 > 0 THEN page_id END AS s, page_id % 2 = 0 AS v FROM pages)
+SELECT page_id, CASE WHEN v THEN 'mpv --start=' || coalesce(s, 0) || ' ' || url ELSE 'mpv --start={seconds} ' || url END AS player,
+  'open ' || url || CASE WHEN v AND s IS NOT NULL THEN CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 't=' || s || 's' ELSE '' END AS opener FROM p""",
+        "act_template": f"""WITH {DECLARED} SELECT section_uid, CASE kind WHEN 'file' THEN CASE WHEN section_uid % 2 = 0 THEN 'nvim ' || target || '.MD' ELSE 'code -g ' || target || '.rs:' || line END
+  WHEN 'project' THEN 'code ' || target WHEN 'url' THEN 'open ' || target WHEN 'app' THEN 'gtk-launch ' || target ELSE 'mpv --start=' || coalesce(seconds, 0) || ' ' || target END AS argv FROM dr""",
+        "st_path_filter": """WITH p AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '/vault' ELSE '/v' END || CASE WHEN event_id % 11 = 0 THEN '' ELSE '/' || ['notes', '.git', 'target', 'src'][user_id % 4 + 1] || '/' || event_type || '.md' END AS path FROM events)
+SELECT event_id, path FROM p WHERE starts_with(path, '/v/') AND NOT contains(path, '/.git/') AND NOT contains(path, '/target/')""",
+        "st_stale_event_drop": """WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+a AS (SELECT user_id, n // 3 AS q, ts AS f, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, n // 3) AS t FROM r WHERE n % 3 = 1)
+SELECT event_id, q AS query_id FROM r JOIN a USING (user_id) WHERE q = floor((n - CASE WHEN event_id % 2 = 0 THEN 1 ELSE 4 END) / 3)::BIGINT AND ts >= f AND (t IS NULL OR ts < t)""",
+        "gen_think_filter": "SELECT conv_id, turn, sha256(CASE WHEN turn % 4 = 1 THEN text ELSE '' END) AS answer_sha256 FROM conversations WHERE role = 'assistant'",
+        "ctx_alias": f"""WITH h AS (SELECT page_id, lower({HOST}) AS h FROM pages) SELECT page_id, CASE WHEN h = '' THEN NULL WHEN h = 'www.example' OR starts_with(h, 'www.example.') THEN 'files'
+  WHEN h IN ('news', 'blog.example') OR starts_with(h, 'news.') OR starts_with(h, 'blog.example.') THEN 'news' WHEN h = 'docs.example.org' OR starts_with(h, 'docs.example.org.') THEN 'is'
+  ELSE coalesce(list_filter(string_split(h, '.'), lambda p: p <> '' AND p NOT IN ('agent', 'app', 'desktop', 'bin', 'gui'))[-1], h) END AS app FROM h""",
+        "ctx_app_in_query": rf"""WITH w AS (SELECT qid, regexp_split_to_array(lower(question), '[^\p{{L}}\p{{N}}]+') AS w FROM ({ASKED}))
+SELECT qid, CASE WHEN list_contains(w, 'the') THEN 'the' WHEN list_contains(w, 'zoo') THEN 'zoo' WHEN list_contains(w, 'data') THEN 'data' END AS app FROM w""",
+        "ctx_bucket": f"SELECT page_id, CASE WHEN page_id % 3 > 0 THEN {HOST} ELSE '-' END || '|' || CASE WHEN page_id % 2 > 0 THEN '/' || {HOST} ELSE '-' END AS bucket FROM pages",
+        "g_unresolved_contradictions": """SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 5 <> 0
+  AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic <> 1) AND doc_id + 1 NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic <> 1)""",
+        "g_neighbourhood": "SELECT 'region:' || n_regionkey AS node, 'parent' AS via, false AS backwards FROM nation WHERE n_nationkey = 7 UNION ALL SELECT 'customer:' || c_custkey, 'parent', true FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'supplier:' || s_suppkey, 'parent', true FROM supplier WHERE s_nationkey = 7",
+        "parse_edges": "SELECT 'd' || doc_id AS src, 'd' || doc_id + 1 AS dst, 'related' AS relation FROM documents UNION ALL SELECT 'd' || doc_id, source, 'link' FROM documents UNION ALL SELECT 'd' || doc_id, 'top', 'parent' FROM documents WHERE doc_id % 2 = 0",
+        "parse_actions": """SELECT doc_id AS section_uid, 'file' AS kind, 'src/' || source AS target, doc_id AS line, NULL::BIGINT AS seconds FROM documents
+UNION ALL SELECT doc_id, 'video', 'https://v.example/w', NULL, doc_id FROM documents UNION ALL SELECT doc_id, 'project', '/p/' || lang, NULL, NULL FROM documents""",
+        "parse_note_sections": """WITH n AS (SELECT 'n' || doc_id AS n, source AS s, lang AS l FROM documents)
+SELECT n || '#preamble' AS section_uid, NULL AS parent_uid, NULL AS heading, 'T' AS heading_path, 'intro' AS body, 5 AS start_line, 5 AS end_line, 'draft' AS status FROM n
+UNION ALL SELECT n || '#one', NULL, s, s, 'alpha', 6, 9, 'draft' FROM n
+UNION ALL SELECT n || '#' || l, n || '#one', l, s || ' > ' || l, '```' || chr(10) || '# no heading' || chr(10) || '```', 10, 14, 'draft' FROM n""",
+        "src_glob_count": """WITH c AS (SELECT 'en' AS source, count_if(regexp_matches(url, '^(?:.*/)?en/[^/]*$')) AS n FROM pages UNION ALL SELECT 'all', count(*) FROM pages UNION ALL SELECT 'none', count_if(regexp_matches(url, '^[^/]*\\.md$')) FROM pages
+UNION ALL SELECT 'plain', count_if(NOT regexp_matches(url, '^.*ref=.*$')) FROM pages) SELECT source, n, CASE WHEN n = 0 THEN 'its patterns match no file' END AS warning FROM c""",
+        "vec_queue": "SELECT doc_id AS section_uid FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0)",
+        "q_gate": f"WITH {RETRIEVE}, g AS (SELECT qid, max(score) AS top, string_agg(uid, ',' ORDER BY rank) FILTER (rank <= 3) AS c FROM res GROUP BY qid) SELECT item_id AS qid, coalesce(top >= 0.0213, false) AS confident, CASE WHEN NOT coalesce(top >= 0.0213, false) THEN coalesce(c, '') END AS closest FROM benchmark LEFT JOIN g ON qid = item_id",
+        "q_section_lookup": f"WITH {SEC}, w AS (SELECT item_id AS qid, item_id % 7 AS u, 3 AS place FROM benchmark UNION ALL SELECT item_id, item_id % 5, 2 FROM benchmark), m AS (SELECT qid, u, max(place) AS place FROM w GROUP BY ALL) SELECT qid, place::BIGINT AS place, uid, heading FROM m JOIN sec ON u = uid",
+        "pack_correction": "SELECT item_id AS qid, sha256('Question: none' || chr(10) || 'A correct answer given before: ' || (SELECT arg_max(x.text, x.item_id) FROM benchmark x WHERE NORM_X = NORM_B) || chr(10) || chr(10) || 'Question: ' || b.text) AS prompt_sha256 FROM benchmark b".replace("NORM_X", norm("x.text")).replace("NORM_B", norm("b.text")),
+        "cache_get": """WITH w AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q, conv_id * 1000 + turn AS seq FROM conversations), k AS (SELECT sha256(q) AS key, arg_max(text, seq) AS answer FROM w WHERE role = 'assistant' AND q IS NOT NULL GROUP BY ALL)
+SELECT conv_id, turn, sha256(answer) AS answer_sha256 FROM conversations LEFT JOIN k ON key = sha256(text)""",
+        "prov_rate": """WITH r AS (SELECT event_id % 500 AS id, arg_max(CASE WHEN value > 50 THEN 1 ELSE -1 END, (ts, event_id)) AS n FROM events GROUP BY 1),
+p AS (SELECT coalesce(n, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 END) AS rating FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN r ON doc_id = id) SELECT count(*) AS total, count_if(rating > 0) AS good, count_if(rating < 0) AS bad FROM p""",
+        "corr_list": f"WITH c AS (SELECT min(item_id) AS id, max(item_id) AS created_at FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n) SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, (SELECT count_if(id % 3 = 0) FROM c) AS n_stale FROM c",
+        "corr_delete": f"SELECT min(item_id) AS id, n AS normalized FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n HAVING min(item_id) % 2 <> 0",
+        "bench_latency": """WITH m AS (SELECT 'retrieval' AS stage, value AS ms FROM events UNION ALL SELECT 'generation', value * 2 FROM events WHERE event_id % 3 > 0)
+SELECT stage, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.99) AS p99 FROM m WHERE ms IS NOT NULL GROUP BY stage""",
         "act_labels": f"SELECT event_id, {LABEL} AS label FROM (SELECT event_id, floor(value * 100)::BIGINT AS s FROM events)",
         "act_urls": f"SELECT page_id, {HOST} AS host, url || CASE WHEN contains(url, '?') THEN '&t=' ELSE '?t=' END || page_id || 's' AS timed FROM pages",
         "bench_recall_mrr": f"""WITH {RETRIEVE}, {ALL_TERMS}, rk AS (SELECT q.qid, min(rank) AS rank FROM (SELECT item_id AS qid FROM benchmark) q LEFT JOIN (SELECT res.qid, res.rank FROM res JOIN al USING (qid, uid)) USING (qid) GROUP BY ALL)
@@ -186,7 +249,7 @@ q AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id
         "st_history": """WITH k AS (SELECT * FROM (SELECT event_id, user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM events) WHERE l IS NULL OR l <> event_type)
 SELECT event_id, user_id, age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM k) WHERE age <= 100""",
         "st_status": f"SELECT event_type, count(*) AS n, {time_text('max(ts)')} AS last_ts, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY event_type",
-        "st_token_batch": f"SELECT user_id, {time_text('t')} AS tick, count(*) AS n, string_agg(left(event_type, 1), '' ORDER BY ts, event_id) AS text FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS t FROM events) GROUP BY user_id, t",
+        "st_token_batch": f"SELECT user_id, {time_text('t')} AS tick, count(*) AS n, string_agg(event_type, '' ORDER BY ts, event_id) AS text FROM (SELECT *, time_bucket(INTERVAL 10 MINUTES, ts, TIMESTAMP '1970-01-01') AS t FROM events) GROUP BY user_id, t",
         "st_generation_poll": "SELECT event_id, g AS generation FROM (SELECT event_id, g, lag(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM (SELECT *, (props->>'$.k')::BIGINT AS g FROM events)) WHERE l IS NULL OR l <> g",
         "vec_topk": f"""WITH u AS (SELECT vec_id, {unit(COSINE)} AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS uid, round(list_dot_product(a.v, b.v), 5) AS score FROM u a, u b WHERE a.vec_id % {QUERY_EVERY} = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM s) WHERE position < 30""",

@@ -153,6 +153,46 @@ def g_contradictions(s, d):
     return graph.contradictions(edges)
 
 
+def g_unresolved_contradictions(s, d):
+    """Documents contradict the next one; every fifth supersedes it, and obsolete ones are settled."""
+    docs = documents(s, d).select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))
+    edges = docs.withColumn("relation", F.lit("contradicts")).union(docs.filter("src % 5 = 0").select("dst", "src", F.lit("supersedes")))
+    return graph.unresolved_contradictions(edges, sections(s, d))
+
+
+def g_neighbourhood(s, d):
+    return graph.neighbourhood(tables.foreign_keys(table(s, d, "nation"), table(s, d, "customer"), table(s, d, "supplier")), "nation:7")
+
+
+def parse_edges(s, d):
+    """Edges of bodies with a typed relation, a bare link and a section above."""
+    body = F.concat(F.lit("text\n  related:: [[d"), F.col("doc_id") + 1, F.lit("]]\nsee [["), "source", F.lit("]] and [["), "source", F.lit("]]"))
+    return vault.edges(documents(s, d).select(F.concat(F.lit("d"), "doc_id").alias("section_uid"), F.when(F.col("doc_id") % 2 == 0, F.lit("top")).alias("parent_uid"), body.alias("body")))
+
+
+def parse_actions(s, d):
+    body = F.concat(F.lit("@file src/"), "source", F.lit(":"), "doc_id", F.lit("\ntext @app no\n  @video https://v.example/w?t="), "doc_id", F.lit("s\n@project /p/"), "lang")
+    return vault.actions(documents(s, d).select(F.col("doc_id").alias("section_uid"), body.alias("body"))).withColumn("line", F.col("line").cast("long"))
+
+
+def parse_note_sections(s, d):
+    """A note of each document with two headings and text before them."""
+    content = F.concat(F.lit("---\ntitle: T\nstatus: draft\n---\nintro\n# "), "source", F.lit(" {#one}\n\nalpha\n\n## "), "lang", F.lit("\n```\n# no heading\n```\n"))
+    rows = vault.sections(documents(s, d).select(F.concat(F.lit("n"), "doc_id", F.lit(".md")).alias("path"), content.alias("content")))
+    return rows.select("section_uid", "parent_uid", "heading", "heading_path", "body", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "status")
+
+
+def src_glob_count(s, d):
+    """Pages that each source's patterns accept; a source without any shows a wrong pattern."""
+    sources = {"en": (["**/en/*"], []), "all": ([], []), "none": (["*.md"], []), "plain": (["**"], EXCLUDE)}
+    return vault.accepted_counts(table(s, d, "pages"), sources, "url")
+
+
+def vec_queue(s, d):
+    vectors_ = table(s, d, "embeddings").select(F.col("vec_id").alias("section_uid"), F.when(F.col("vec_id") % 3 == 0, "old").otherwise("new").alias("model"))
+    return vectors.missing(sections(s, d), vectors_, "new").select("section_uid")
+
+
 def retrieve_ranked(s, d):
     out = results(s, d)
     return out.select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), fuse.explain().alias("explain"))
@@ -174,7 +214,7 @@ def rank_rrf_sum(s, d):
 
 def boost_context(s, d):
     contexts = questions(s, d).select("qid", F.lit("example").alias("app"), F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("cwd"))
-    rows = results(s, d).withColumn("title", F.col("heading"))
+    rows = results(s, d).withColumn("title", F.col("heading")).withColumn("heading_path", F.col("path"))
     return context.boosted(rows, contexts).select("qid", "uid", F.col("rank").cast("long").alias("rank"), "active_app", "current_project")
 
 
@@ -196,6 +236,51 @@ def pack_prompts(s, d):
     return out.select("qid", F.sha2("prompt", 256).alias("prompt_sha256"), "sources")
 
 
+def q_gate(s, d):
+    """A high gate, so that some questions fall below it."""
+    return pack.gated(results(s, d), questions(s, d), 0.0213).select("qid", "confident", F.array_join("closest", ",").alias("closest"))
+
+
+def q_section_lookup(s, d):
+    """The sections of listed uids in the order of the list."""
+    wanted = questions(s, d).select("qid", F.array(F.col("qid") % 7, F.lit(-1).cast("long"), F.col("qid") % 5, F.col("qid") % 7).alias("uids"))
+    return job.looked_up(wanted, sections(s, d)).select("qid", F.col("place").cast("long").alias("place"), "uid", "heading")
+
+
+def pack_correction(s, d):
+    """The best correction of a question before the question of its prompt."""
+    best = memory.best_corrections(questions(s, d), corrections(s, d)).join(corrections(s, d).select("id", "answer", "stale"), "id")
+    plain = questions(s, d).select("qid", F.concat(F.lit("Question: none\n"), F.lit("Question: "), "question").alias("prompt"))
+    rows = plain.join(best, "qid", "left").withColumn("block", F.coalesce(memory.correction_block(F.col("answer"), F.col("stale")), F.lit("")))
+    return rows.select("qid", F.sha2(pack.with_correction(F.col("prompt"), F.col("block")), 256).alias("prompt_sha256"))
+
+
+def cache_get(s, d):
+    """Turns ask for the answers of their own texts."""
+    keys = turns(s, d).select("conv_id", "turn", F.sha2("text", 256).alias("key"))
+    return memory.lookup(keys, cache_upsert(s, d)).select("conv_id", "turn", F.sha2("answer", 256).alias("answer_sha256"))
+
+
+def prov_rate(s, d):
+    """Events rate documents; the last one of a document counts."""
+    ratings = stream(s, d).select((F.col("event_id") % 500).alias("id"), F.when(F.col("value") > 50, 1).otherwise(-1).alias("rating"), F.struct("ts", "event_id").alias("ts"))
+    return memory.rating_counts(memory.rate(provenance(s, d), ratings))
+
+
+def corr_list(s, d):
+    rows = corrections(s, d).withColumn("stale", F.col("id") % 3 == 0)
+    return memory.listed(rows).select(F.col("place").cast("long").alias("place"), "id", "n_stale")
+
+
+def corr_delete(s, d):
+    return memory.deleted(corrections(s, d), questions(s, d).filter("qid % 2 = 0").select(F.col("qid").alias("id"))).select("id", "normalized")
+
+
+def bench_latency(s, d):
+    rows = stream(s, d).select(F.col("value").alias("retrieval"), F.when(F.col("event_id") % 3 > 0, F.col("value") * 2).alias("generation"))
+    return bench.latency(rows, {"p50": 0.5, "p99": 0.99}, ["retrieval", "generation"])
+
+
 def cache_key(s, d):
     packed = pack.packed(_blocks(s, d), BUDGET, Search().context_sections)
     return memory.cache_keys(packed.select("qid", "rank", "uid", "body"), None, 1, 200, 0.2, 0)
@@ -241,11 +326,49 @@ def corr_staleness(s, d):
     return memory.staleness(docs, docs.join(gone, "section_uid", "left_anti"))
 
 
+def _declared(s, d):
+    """An action of each document: files exist for even numbers, and applications are named after nations."""
+    kind = F.expr("CASE lang WHEN 'en' THEN 'file' WHEN 'fr' THEN 'url' WHEN 'de' THEN 'app' WHEN 'es' THEN 'video' ELSE 'project' END")
+    target = F.when(F.col("lang") == "de", F.element_at(F.array(*map(F.lit, ("nation_7", "org.nation.nation_13", "nation_", "nowhere"))), (F.col("doc_id") % 4 + 1).cast("int"))).otherwise(F.concat_ws("/", "lang", "source"))
+    rows = documents(s, d).select(F.col("doc_id").alias("section_uid"), kind.alias("kind"), target.alias("target"), (F.col("doc_id") % 9).cast("int").alias("line"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("seconds"))
+    there = rows.filter("kind = 'file' AND section_uid % 2 = 0").select("target")
+    return actions.resolved(rows, there, _apps(s, d)).withColumn("seq", F.lit(1))
+
+
+def _apps(s, d):
+    return table(s, d, "nation").select(F.concat(F.lit("org.nation."), F.initcap("n_name")).alias("app_id"), F.initcap("n_name").alias("app_name"))
+
+
+def act_resolve(s, d):
+    return _declared(s, d).select("section_uid", "kind", "label", "enabled", F.col("slot").cast("long").alias("slot"), F.col("to.value").alias("target"), F.col("to.line").alias("line"), F.col("to.seconds").alias("seconds"))
+
+
+def act_app_resolve(s, d):
+    """Beginnings of the names of nations, of which some have one nation only."""
+    names = table(s, d, "nation").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("n_name")), lambda k: F.concat(F.lit(" "), F.substring("n_name", F.lit(1), k)))).alias("name")).distinct()
+    return actions.resolve_app(names, _apps(s, d))
+
+
+def act_expand(s, d):
+    pages = table(s, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 > 0, F.col("page_id")).alias("seconds"))
+    to = actions.typed(F.when(F.col("page_id") % 2 == 0, "video").otherwise("url"), F.col("url"), F.lit(1), F.col("seconds"))
+    argv = {"player": F.array(F.lit("mpv"), F.lit("--start={seconds}"), F.lit("{url}")), "opener": F.array(F.lit("open"), F.lit("{url}"))}
+    return pages.select("page_id", *[F.array_join(actions.expanded(a, to), " ").alias(name) for name, a in argv.items()])
+
+
+OPENERS = {"markdown": ["nvim", "{path}"], "text": ["code", "-g", "{path}:{line}"], "project": ["code", "{path}"], "url": ["open", "{url}"], "video": ["missing", "{url}"]}
+
+
+def act_template(s, d):
+    kinds = F.when(F.col("to.type") == "file", F.struct(F.lit("file").alias("type"), F.concat("to.value", F.when(F.col("section_uid") % 2 == 0, ".MD").otherwise(".rs")).alias("value"), "to.line", "to.seconds")).otherwise(F.col("to"))
+    rows = _declared(s, d).withColumn("to", kinds)
+    return rows.select("section_uid", F.array_join(actions.expanded(actions.template(F.col("to"), OPENERS, {"mpv"}), F.col("to")), " ").alias("argv"))
+
+
 def act_offered(s, d):
-    kind = F.expr("CASE lang WHEN 'en' THEN 'file' WHEN 'fr' THEN 'url' WHEN 'de' THEN 'app' ELSE 'project' END")
-    declared = documents(s, d).select(F.col("doc_id").alias("section_uid"), kind.alias("kind"), F.concat_ws("/", "lang", "source").alias("target"))
-    out = actions.offered(results(s, d).select("qid", "uid", "rank", "path"), declared)
-    return out.select("qid", F.col("id").cast("long").alias("id"), F.col("slot").cast("long").alias("slot"), "target")
+    declared = _declared(s, d)
+    out = actions.offered(results(s, d).select("qid", "uid", "rank", "path", "heading"), declared)
+    return out.select("qid", F.col("id").cast("long").alias("id"), F.col("slot").cast("long").alias("slot"), "kind", "label", F.col("to.value").alias("target"), "enabled")
 
 
 def act_labels(s, d):
@@ -309,8 +432,28 @@ def st_status(s, d):
 
 
 def st_token_batch(s, d):
-    rows = stream(s, d).withColumn("text", F.substring("event_type", 1, 1))
-    return st.token_batches(rows, ["user_id"], "1 day").select("user_id", utc("tick"), "n", "text")
+    rows = stream(s, d).withColumn("text", F.col("event_type"))
+    return st.token_batches(rows, ["user_id"], "10 minutes").select("user_id", utc("tick"), "n", "text")
+
+
+def st_path_filter(s, d):
+    """Events as changes of files: users are folders, of which some are hidden."""
+    folder = F.element_at(F.array(*map(F.lit, ("notes", ".git", "target", "src"))), (F.col("user_id") % 4 + 1).cast("int"))
+    paths = F.concat(F.when(F.col("event_id") % 7 == 0, "/vault").otherwise("/v"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("/"), folder, F.lit("/"), "event_type", F.lit(".md"))))
+    return st.relevant_paths(stream(s, d).withColumn("path", paths), "/v/").select("event_id", "path")
+
+
+def st_stale_event_drop(s, d):
+    """Every third event of a user asks a question; each event belongs to the one of its number or of the one before."""
+    rows = stream(s, d).withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    asks = rows.filter("n % 3 = 1").select(F.col("user_id").alias("conn"), F.floor(F.col("n") / 3).cast("long").alias("query_id"), "ts")
+    answers = rows.select("event_id", F.col("user_id").alias("conn"), F.floor((F.col("n") - F.when(F.col("event_id") % 2 == 0, 1).otherwise(4)) / 3).cast("long").alias("query_id"), "ts")
+    return st.current_events(answers, asks).select("event_id", "query_id")
+
+
+def gen_think_filter(s, d):
+    answers = turns(s, d).filter("role = 'assistant'").withColumn("raw", F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.when(F.col("turn") % 4 == 1, "</think>").otherwise(""), F.col("text")))
+    return answers.select("conv_id", "turn", F.sha2(T.without_thinking(F.col("raw")), 256).alias("answer_sha256"))
 
 
 def st_generation_poll(s, d):
@@ -318,6 +461,23 @@ def st_generation_poll(s, d):
     return st.generation_changes(rows, ["user_id"]).select("event_id", "generation")
 
 
+ALIASES = {"Files": ["www.example"], "News": ["news", "blog.example"], "is": ["docs.example.org"]}
+
+
+def ctx_alias(s, d):
+    rows = table(s, d, "pages").select("page_id", actions.host(F.col("url")).alias("wm_class"))
+    return context.alias_for(rows, ALIASES).select("page_id", "app")
+
+
+def ctx_app_in_query(s, d):
+    return asked(s, d).select("qid", context.app_named_in(F.col("question"), {"The": [], "data": [], "Zoo": []}).alias("app"))
+
+
+def ctx_bucket(s, d):
+    host = actions.host(F.col("url"))
+    return table(s, d, "pages").select("page_id", context.bucket(F.when(F.col("page_id") % 3 > 0, host), F.when(F.col("page_id") % 2 > 0, F.concat(F.lit("/"), host))).alias("bucket"))
+
+
 def ctx_default(s, d):
     rows = stream(s, d).withColumn("context", F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k")).otherwise(""))
     return context.with_default(rows, ["user_id"], ["ts", "event_id"]).select("event_id", "effective_context")
@@ -339,5 +499,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         rank_status rank_rrf_sum boost_context ctx_informal_name ctx_default pack_greedy pack_prompts cache_key cache_upsert prov_counts prov_rated
         prov_recent_ring corr_normalize corr_save corr_jaccard_best corr_staleness act_offered act_labels act_urls bench_recall_mrr
         bench_diff bench_sweep_best bench_percentiles st_debounce st_supersede st_settled st_history st_status st_token_batch
-        st_generation_poll vec_topk vec_mrl_truncate"""
+        st_generation_poll vec_topk vec_mrl_truncate act_resolve act_app_resolve act_expand act_template st_path_filter st_stale_event_drop
+        gen_think_filter ctx_alias ctx_app_in_query ctx_bucket g_unresolved_contradictions g_neighbourhood parse_edges parse_actions
+        parse_note_sections src_glob_count vec_queue q_gate q_section_lookup pack_correction cache_get prov_rate corr_list corr_delete
+        bench_latency"""
     return {name: globals()[name] for name in names.split()}

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -138,14 +138,25 @@ def absolute(path, root: str):
 def accepted(files: DataFrame, include: list[str], exclude: list[str], path: str = "path") -> DataFrame:
     """Files that no exclude pattern matches and, if there are any, an include pattern does. Patterns know *, ** and ?."""
 
-    def any_of(globs: list[str]):
+    return files.filter(_accepts(F.col(path), include, exclude))
+
+
+def _accepts(path: Column, include: list[str], exclude: list[str]) -> Column:
+    def any_of(globs: list[str]) -> Column:
         out = F.lit(False)
         for g in globs:
             pattern = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in re.split(r"(\*\*/|\*\*|\*|\?)", g) if p)
-            out = out | F.col(path).rlike(f"^{pattern}$")
+            out = out | path.rlike(f"^{pattern}$")
         return out
 
-    return files.filter(~any_of(exclude) & (any_of(include) if include else F.lit(True)))
+    return ~any_of(exclude) & (any_of(include) if include else F.lit(True))
+
+
+def accepted_counts(files: DataFrame, sources: dict[str, tuple[list[str], list[str]]], path: str = "path") -> DataFrame:
+    """(source, n, warning) for each source's (include, exclude) patterns over the files, in one pass; a source that accepts none has a warning."""
+    counts = files.agg(*[F.count_if(_accepts(F.col(path), *globs)).alias(name) for name, globs in sources.items()])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("source"), F.col(n).alias("n")) for n in sources])).alias("x")).select("x.*")
+    return rows.withColumn("warning", F.when(F.col("n") == 0, "its patterns match no file"))
 
 
 def change_gate(before: DataFrame, now: DataFrame) -> DataFrame:

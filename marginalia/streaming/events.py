@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+
 # Kinds of file events that don't change content, and folders that aren't watched.
 QUIET_KINDS = ["access", "metadata"]
 HIDDEN_FOLDERS = [".notes", ".git", "target", "node_modules"]
@@ -51,9 +53,9 @@ def settled(events: DataFrame, by: list[str], text: str, gap_seconds: float, ts:
 
 
 def history(rows: DataFrame, by: list[str], text: str, order: list[str], most: int = 100) -> DataFrame:
-    """Batch: submitted texts without blanks and repeats in a row, the last `most` of each group; `age` counts from the newest."""
+    """Batch: submitted texts, trimmed, without blanks and repeats in a row, the last `most` of each group; `age` counts from the newest."""
     w = W.partitionBy(*by).orderBy(*order)
-    kept = rows.filter(F.trim(text) != "").withColumn("__last", F.lag(text).over(w)).filter(F.col("__last").isNull() | (F.col("__last") != F.col(text))).drop("__last")
+    kept = rows.withColumn(text, T.trimmed(F.col(text))).filter(F.col(text) != "").withColumn("__last", F.lag(text).over(w)).filter(F.col("__last").isNull() | (F.col("__last") != F.col(text))).drop("__last")
     age = F.row_number().over(W.partitionBy(*by).orderBy(*[F.desc(c) for c in order]))
     return kept.withColumn("age", age).filter(F.col("age") <= most)
 
@@ -80,15 +82,22 @@ def reindex_stream(changes: DataFrame, rebuild: Callable[[DataFrame, int], None]
     """Starts a stream that calls rebuild(changed paths, generation) for each micro-batch that has changes.
 
     Triggers that come during a rebuild meet in the next micro-batch. Generations are batch numbers, so a batch
-    that is run again after a failure writes the same version. Nothing is rebuilt while paused().
+    that is run again after a failure writes the same version. The paths of a batch are written beside the
+    checkpoint first and deleted once a rebuild has taken them, so what changes while paused() holds, or before
+    a rebuild that fails, comes with the next rebuild.
     """
+    pending = f"{checkpoint}/pending"
 
     def each(batch: DataFrame, number: int) -> None:
-        if not paused():
-            paths = batch.select("path").distinct()
-            if not paths.isEmpty():
-                rebuild(paths, number + 1)
+        spark = batch.sparkSession
+        batch.select("path").distinct().write.mode("overwrite").parquet(f"{pending}/batch={number}")
+        if paused():
+            return
+        waiting = spark.read.schema("path string, batch long").parquet(pending)
+        paths = waiting.select("path").distinct()
+        if not paths.isEmpty():
+            rebuild(paths, number + 1)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(pending)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-

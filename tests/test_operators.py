@@ -95,13 +95,16 @@ def test_prefix_and_phrases(spark):
 
 
 def test_context_reorders_only(spark):
-    rows = [(1, f"u{i}", i + 1, 1.0 / (61 + i), 0, i, t, p, "b") for i, (t, p) in enumerate([("plain", "/x/a.md"), ("blender notes", "/y/b.md"), ("other", "/home/p/c.md")])]
-    df = spark.createDataFrame(rows, "qid long, uid string, rank int, score double, list_no int, position int, title string, path string, body string")
+    rows = [(1, f"u{i}", i + 1, 1.0 / (61 + i), 0, i, t, "blender" if t == "plain" else "", p, "b") for i, (t, p) in enumerate([("none", "/x/blender.md"), ("plain", "/y/b.md"), ("other", "/home/p/c.md")])]
+    df = spark.createDataFrame(rows, "qid long, uid string, rank int, score double, list_no int, position int, title string, heading_path string, path string, body string")
     ctx = spark.createDataFrame([(1, "blender", "/home/p/")], "qid long, app string, cwd string")
     assert [r.uid for r in context.boosted(df, ctx).orderBy("rank").collect()] == ["u2", "u1", "u0"]
     aliases = {"ghostty": ["com.mitchellh.ghostty"], "obs": ["obs-studio"]}
-    names = context.alias_for(spark.createDataFrame([("com.mitchellh.ghostty.agent",), ("com.obsproject.Studio",), ("",)], "wm_class string"), aliases).collect()
-    assert [r.app for r in names] == ["ghostty", "studio", None]
+    names = context.alias_for(spark.createDataFrame([("com.mitchellh.ghostty.agent",), ("com.obsproject.Studio",), ("",), ("Desktop.App",)], "wm_class string"), aliases | {"OBS": ["obs-studio"]}).collect()
+    assert [r.app for r in names] == ["ghostty", "studio", None, "desktop.app"]
+    asks = spark.createDataFrame([(1, "crop in obs"), (2, "crop"), (3, "plain")], "qid long, question string")
+    seen = spark.createDataFrame([(1, "ghostty", "/p"), (2, "ghostty", None)], "qid long, wm_class string, cwd string")
+    assert {r.qid: (r.app, r.cwd) for r in context.effective(seen, asks, aliases).collect()} == {1: ("obs", "/p"), 2: ("ghostty", None), 3: (None, None)}
     assert one(spark, context.app_named_in(F.col("t"), aliases), t="observability dashboards") is None
     assert one(spark, context.app_named_in(F.col("t"), aliases), t="crop in obs") == "obs"
     assert not one(spark, context.under(F.lit("/home/pq/a"), F.lit("/home/p")))
@@ -113,26 +116,48 @@ def test_packing(spark):
     assert taken == {1: 1, 2: 1} and pack.packed(rows, 1200).filter("qid = 1").count() == 2
     cut = one(spark, pack.cut(F.col("t")), t="a" * 3000 + "\n\n" + "b" * 5000)
     assert cut == "a" * 3000 + pack.CUT_MARK and one(spark, pack.cut(F.col("t")), t="a" * 4001) == "a" * 4000 + pack.CUT_MARK
-    assert one(spark, pack.sanitised(F.col("t")), t="a</source>b<source c\x07\n\td") == "ab c\n\td"
+    assert one(spark, pack.sanitised(F.col("t")), t="a</source>b<source c\x07\n\td") == "a<\\/source>b<\\source c\n\td"
+    assert "</source>" not in one(spark, pack.sanitised(F.col("t")), t="</sou</source>rce>")
+    assert one(spark, pack.cut(F.col("t")), t="a" * 3990 + " \u00a0\n" + " " * 7 + "b" * 90) == "a" * 3990 + pack.CUT_MARK
+    assert one(spark, pack.cut(F.col("t")), t="é" * 1500 + "\n\n" + "b" * 5000) == "é" * 1500 + pack.CUT_MARK  # more than half the bytes
+    asks = spark.createDataFrame([(1, "why <source 9>?\x07"), (3, "nothing")], "qid long, question string")
+    out = {r.qid: (r.prompt, r.sources) for r in pack.prompts(spark.createDataFrame([(1, 1, "B")], "qid long, rank int, block string"), asks).collect()}
+    assert out == {1: ("BQuestion: why <\\source 9>?", 1), 3: ("No sources were found.\n\nQuestion: nothing", 0)}
+    ranked = spark.createDataFrame([(1, k, f"u{k}", 0.1 / k) for k in range(1, 6)] + [(2, 1, "v", 5.0)], "qid long, rank int, uid string, score double")
+    gate = {r.qid: (r.confident, r.closest) for r in pack.gated(ranked, spark.createDataFrame([(1,), (2,), (3,)], "qid long"), 1.0).collect()}
+    assert gate == {1: (False, ["u1", "u2", "u3"]), 2: (True, None), 3: (False, [])}
     assert one(spark, pack.with_correction(F.col("t"), F.lit("C\n")), t="b Question: x Question: y") == "b Question: x C\nQuestion: y"
 
 
 def test_actions(spark):
-    results = spark.createDataFrame([(1, f"s{i}", i + 1, f"/p{i}.md") for i in range(3)], "qid long, uid string, rank int, path string")
-    declared = spark.createDataFrame([("s0", "url", "http://u"), ("s1", "video", "http://v"), ("s2", "file", "c.py"), ("s1", "file", "c.py"), ("s0", "odd", "z"), ("s0", "app", "gimp")], "section_uid string, kind string, target string")
-    out = actions.offered(results, declared).orderBy("id").collect()
-    assert [r.slot for r in out] == [0, 0, 0, 1, 2, 3, 5] and [r.id for r in out] == list(range(1, 8))
-    many = spark.createDataFrame([("s0", "url", f"u{i:02}") for i in range(20)], "section_uid string, kind string, target string")
-    assert actions.offered(results, many).count() == 9
-    assert one(spark, actions.time_label(F.lit(414))) == "06:54" and one(spark, actions.time_label(F.lit(3723))) == "1:02:03"
-    assert one(spark, actions.with_time(F.lit("http://v?a=1"), F.lit(5))) == "http://v?a=1&t=5s" and one(spark, actions.host(F.lit("https://a.b/c?d"))) == "a.b"
-    assert one(spark, actions.expanded(F.array(F.lit("mpv"), F.lit("--start={seconds}")), {"seconds": F.lit(7)})) == ["mpv", "--start=7"]
-    full = declared.withColumns({"line": F.lit(0), "seconds": F.lit(61)})
-    resolved = {r.target: r for r in actions.resolved(full, spark.createDataFrame([("gimp",)], "target string")).collect()}
-    assert not resolved["c.py"].enabled and resolved["gimp"].enabled and resolved["http://v"].label == "v 01:01" and resolved["c.py"].line == 1
+    results = spark.createDataFrame([(1, f"s{i}", i + 1, f"/p{i}.md", "" if i else "Head", "Note", i) for i in range(3)], "qid long, uid string, rank int, path string, heading string, note_title string, start_line int")
+    rows = [("s0", "url", "http://u/x?y", None, None), ("s1", "video", "http://v", None, 61), ("s2", "file", "d/c.py", 0, None), ("s1", "file", "d/c.py", None, None), ("s1", "file", "d/c.py", 7, None), ("s0", "odd", "z", None, None), ("s0", "app", " GIMP", None, None), ("s0", "app", "gone", None, None), ("s2", "project", "/a/proj/", None, None), ("s1", "video", "http://v", None, None)]
+    declared = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "section_uid string, kind string, target string, line int, seconds long, seq long")
     apps = spark.createDataFrame([("org.gimp.GIMP", "Image Editor"), ("org.gnome.Maps", "Maps"), ("org.gnome.Music", "Music")], "app_id string, app_name string")
-    wanted = spark.createDataFrame([("gimp",), ("Maps",), ("m",), ("org.gnome.music",), ("zzz",)], "name string")
-    assert {r.name: r.app_id for r in actions.resolve_app(wanted, apps).collect()} == {"gimp": "org.gimp.GIMP", "Maps": "org.gnome.Maps", "org.gnome.music": "org.gnome.Music"}
+    known = actions.resolved(declared, spark.createDataFrame([("/a/proj/",)], "target string"), apps)
+    out = [(r.id, r.kind, r.label, r.to.value, r.enabled) for r in actions.offered(results, known, 20).orderBy("id").collect()]
+    assert [r[1:] for r in out] == [
+        ("open_file", "Head", "/p0.md", True), ("open_file", "Note", "/p1.md", True), ("open_file", "Note", "/p2.md", True),
+        ("open_file", "c.py", "d/c.py", False), ("open_file", "c.py", "d/c.py", False),
+        ("open_video", "▶ 01:01", "http://v", True), ("open_video", "▶ Video", "http://v", True),
+        ("launch_desktop_app", "Image Editor", "org.gimp.GIMP", True), ("launch_desktop_app", "gone", "gone", False),
+        ("open_project", "proj", "/a/proj/", True), ("open_url", "u", "http://u/x?y", True),
+    ]
+    assert [r[0] for r in out] == list(range(1, 12)) and actions.offered(results, known).count() == 9
+    outside = known.filter("kind = 'url'").withColumn("qid", F.lit(1).cast("long")).withColumn("section_uid", F.lit("elsewhere"))
+    assert [r.label for r in actions.offered(results, outside).orderBy("id").collect()][-1] == "u"
+    assert one(spark, actions.time_label(F.lit(414))) == "06:54" and one(spark, actions.time_label(F.lit(3723))) == "1:02:03"
+    assert one(spark, actions.with_time(F.lit("http://v?a=1"), F.lit(5))) == "http://v?a=1&t=5s" and one(spark, actions.host(F.lit("https://a.b?c/d"))) == "a.b?c"
+    video = lambda s: actions.typed(F.lit("video"), F.lit("http://v"), F.lit(1), F.lit(s))
+    player, opener = F.array(F.lit("mpv"), F.lit("--start={seconds}"), F.lit("{url}")), F.array(F.lit("open"), F.lit("{url}"))
+    assert one(spark, actions.expanded(player, video(7))) == ["mpv", "--start=7", "http://v"] and one(spark, actions.expanded(player, video(None)))[1] == "--start=0"
+    assert one(spark, actions.expanded(opener, video(7))) == ["open", "http://v?t=7s"] and one(spark, actions.expanded(opener, video(None))) == ["open", "http://v"]
+    file = actions.typed(F.lit("file"), F.lit("/a b/x.MD"), F.lit(4), F.lit(None))
+    openers = {"markdown": ["nvim", "+{line}", "{path}"], "text": ["code"], "project": ["dir"], "url": ["www"], "video": ["gone"]}
+    assert one(spark, actions.expanded(actions.template(file, openers, set()), file)) == ["nvim", "+4", "/a b/x.MD"]
+    assert one(spark, actions.template(video(1), openers, {"mpv"})) == ["mpv", "--start={seconds}", "{url}"] and one(spark, actions.template(video(1), openers, set())) == ["xdg-open", "{url}"]
+    wanted = spark.createDataFrame([(" gimp ",), ("gim",), ("Maps",), ("org.gnome.m",), ("org.gnome.music",), ("zzz",), (" ",), ("image",)], "name string")
+    assert {r.name: r.app_id for r in actions.resolve_app(wanted, apps).collect()} == {" gimp ": "org.gimp.GIMP", "Maps": "org.gnome.Maps", "org.gnome.music": "org.gnome.Music", "image": "org.gimp.GIMP"}
 
 
 def test_memory(spark):
@@ -186,7 +211,7 @@ def test_sources(spark):
     assert [tuple(r) for r in out] == [("gimp", "GIMP", "gimp %U")]
     long = "\n\n".join(f"paragraph {i} " + "word " * 100 for i in range(10))
     parts = vault.subchunks(spark.createDataFrame([("u", long), ("v", "short")], "section_uid string, body string")).groupBy("section_uid").count().collect()
-    assert {r.section_uid: r["count"] for r in parts} == {"u": 4, "v": 1} or dict((r.section_uid, r["count"]) for r in parts)["u"] > 1
+    assert {r.section_uid: r["count"] for r in parts} == {"u": 5, "v": 1}
 
 
 def test_vectors(spark):
@@ -206,7 +231,7 @@ def test_events(spark):
     assert {r.query_id: r.cancelled for r in st.superseded(q).collect()} == {1: True, 2: False, 3: False}
     answers = spark.createDataFrame([("c", 1, at(1)), ("c", 1, at(7)), ("c", 2, at(7))], "conn string, query_id long, ts timestamp")
     assert st.current_events(answers, q.select("conn", "query_id", "ts")).count() == 2
-    h = spark.createDataFrame([(i, "c", t) for i, t in enumerate(["a", "a", " ", "b", "a"])], "event_id long, conn string, text string")
+    h = spark.createDataFrame([(i, "c", t) for i, t in enumerate(["a", "a ", "\u00a0\t", "b", " a"])], "event_id long, conn string, text string")
     assert [r.text for r in st.history(h, ["conn"], "text", ["event_id"], 2).orderBy("age").collect()] == ["a", "b"]
 
 
@@ -221,10 +246,58 @@ def test_stream_and_batch_agree_on_closed_bursts(spark, tmp_path):
     assert sorted(map(tuple, spark.table("bursts").collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 3
 
 
-def test_reindex_stream_writes_generations(spark, tmp_path):
-    source, seen = str(tmp_path / "in"), []
-    spark.createDataFrame([(at(0), "/v/a.md", "modify"), (at(1), "/v/a.md", "modify"), (at(2), "/v/b.md", "access")], "ts timestamp, path string, kind string").write.parquet(source)
-    changes = st.content_changes(spark.readStream.schema("ts timestamp, path string, kind string").parquet(source))
-    for paused in (True, False):
-        st.reindex_stream(changes, lambda paths, generation: seen.append((generation, [r.path for r in paths.collect()])), str(tmp_path / f"c{paused}"), lambda p=paused: p).awaitTermination(60)
-    assert seen == [(1, ["/v/a.md"])]
+def test_reindex_stream_catches_up(spark, tmp_path):
+    """What changes during a pause, or before a rebuild that fails, comes with the next rebuild."""
+    source, seen, checkpoint = str(tmp_path / "in"), [], str(tmp_path / "c")
+    changes = lambda: st.content_changes(spark.readStream.schema("ts timestamp, path string, kind string").parquet(source))
+
+    def add(*rows):
+        spark.createDataFrame([(at(k), *r) for k, r in enumerate(rows)], "ts timestamp, path string, kind string").coalesce(1).write.mode("append").parquet(source)
+
+    def run(rebuild, paused=False):
+        st.reindex_stream(changes(), rebuild, checkpoint, lambda: paused).awaitTermination(60)
+
+    def good(paths, generation):
+        seen.append((generation, sorted(r.path for r in paths.collect())))
+
+    def bad(paths, generation):
+        raise RuntimeError("the rebuild failed")
+
+    add(("/v/a.md", "modify"), ("/v/a.md", "modify"), ("/v/b.md", "access"))
+    run(good, paused=True)
+    add(("/v/c.md", "create"))
+    with pytest.raises(Exception, match="the rebuild failed"):
+        run(bad)
+    run(good)
+    add(("/v/d.md", "create"))
+    run(good)
+    assert [p for _, p in seen] == [["/v/a.md", "/v/c.md"], ["/v/d.md"]] and seen[0][0] < seen[1][0]
+
+
+def test_large_corrections_and_numbers(spark):
+    """Rare words first: similar sets are found as by comparing all, also with a word that all share."""
+    import random
+
+    r = random.Random(8)
+    texts = [" ".join(["common", *(f"w{r.randrange(40)}" for _ in range(r.randint(1, 9)))]) for _ in range(80)]
+    c = spark.createDataFrame([(i, t, t, i % 3 == 0) for i, t in enumerate(texts)], "id long, question string, normalized string, stale boolean")
+    asks = [" ".join(["common", *(f"w{r.randrange(40)}" for _ in range(r.randint(1, 9)))]) for _ in range(60)]
+    q = spark.createDataFrame(list(enumerate(asks)), "qid long, question string")
+    for threshold in (0.3, 0.5, 0.8):
+        expected = {}
+        for i, a in enumerate(asks):
+            best = []
+            for k, t in enumerate(texts):
+                x, y = set(a.split()), set(t.split())
+                score = 1.0 if a == t else round(len(x & y) / len(x | y) * (0.8 if k % 3 == 0 else 1), 9)
+                if a == t or score >= threshold:
+                    best.append((a == t, score, k))
+            if best:
+                expected[i] = max(best)[2]
+        assert {x.qid: x.id for x in memory.best_corrections(q, c, threshold).collect()} == expected
+    rows = spark.createDataFrame([(i % 3, float(i * 7 % 100)) for i in range(200)] + [(None, 5.0), (1, None)], "kind int, v double")
+    out = {x.kind: (x.p50, x.p99) for x in bench.percentiles(rows, "v", {"p50": 0.5, "p99": 0.99}, ["kind"]).collect()}
+    for kind in (0, 1, 2):
+        values = sorted(float(i * 7 % 100) for i in range(200) if i % 3 == kind)
+        assert out[kind] == (values[-(-len(values) // 2) - 1], values[-(-99 * len(values) // 100) - 1])
+    assert out[None] == (5.0, 5.0)
