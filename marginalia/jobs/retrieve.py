@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.config import Search, with_override
+from marginalia.jobs.index import Index, build
 from marginalia.operators import bench, context, fuse, graph, lexical, pack
-from marginalia.sources.store import materialised
+from marginalia.sources.store import materialised, shared_folder
 
 COLUMNS = ["qid", "uid", "rank", "score", "list_no", "position", "hops", "via", "backwards", "status_weight", "heading_match"]
 
@@ -21,21 +23,22 @@ def column_weights(sections: DataFrame, config: Search) -> dict[str, float]:
     return {c: w for c, w in every.items() if c in sections.columns}
 
 
-def seeds(sections: DataFrame, questions: DataFrame, config: Search = Search(), prefix_last: bool = True) -> DataFrame:
-    """(qid, uid, score, position): the best lexical hits."""
-    weights = column_weights(sections, config)
-    posts = materialised(lexical.postings(sections, weights), "postings")  # read for the vocabulary, the matches and their counts
-    scores = lexical.bm25(posts, lexical.lengths(sections, weights), lexical.query_terms(questions), config.bm25, prefix_last)
+def seeds(sections: DataFrame, questions: DataFrame, config: Search = Search(), prefix_last: bool = True, index: Index | None = None) -> DataFrame:
+    """(qid, uid, score, position): the best lexical hits by an index; without one, an index is built for these questions."""
+    if index is None:
+        index = build(sections, column_weights(sections, config), f"{shared_folder(sections.sparkSession)}/index-{uuid.uuid4().hex}")
+    keys = index.keys if prefix_last else None
+    scores = lexical.bm25(index.postings, index.stats, lexical.query_terms(questions), config.bm25, keys)
     return materialised(lexical.top_k(scores, config.lexical_limit), "seeds")  # read by the expansion and the fusion
 
 
-def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True, aliases: dict[str, list[str]] | None = None, index: Index | None = None) -> DataFrame:
     """Ranked rows of each question (qid, question): lexical seeds, expansion, fusion, status, truncation, then the boosts, which only reorder.
 
     A question without a searchable term has no rows. Without edges, or with the graph off, only the seeds count.
     contexts has (qid, app, cwd), or (qid, wm_class, cwd) to be resolved with the aliases and the question.
     """
-    lex = seeds(sections, questions, config, prefix_last)
+    lex = seeds(sections, questions, config, prefix_last, index)
     if config.graph.enabled and edges is not None:
         roots = graph.seed_roots(lex, config.graph.seed_count)
         more = graph.new_nodes(graph.expand(roots, edges, config.graph), lex, config.graph)
@@ -69,11 +72,14 @@ def prompts(rows: DataFrame, questions: DataFrame, budget_tokens: int, config: S
 
 def benchmark(sections: DataFrame, edges: DataFrame, questions: DataFrame, combos: list[dict[str, str]], config: Search = Search()) -> DataFrame:
     """(combo, n, recall_1, recall_3, recall_5, mrr) of questions (qid, question, expected) under each combination of overrides."""
-    out = None
+    out, indexes = None, {}
     for number, combo in enumerate(combos):
         settings = replace(config)
         for key, value in combo.items():
             settings = with_override(settings, key, value)
-        found = bench.ranks(questions, retrieve(sections, edges, questions, settings)).withColumn("combo", F.lit(number))
+        weights = tuple(column_weights(sections, settings).items())
+        if weights not in indexes:
+            indexes[weights] = build(sections, dict(weights), f"{shared_folder(sections.sparkSession)}/index-{uuid.uuid4().hex}")
+        found = bench.ranks(questions, retrieve(sections, edges, questions, settings, index=indexes[weights])).withColumn("combo", F.lit(number))
         out = found if out is None else out.union(found)
     return bench.report(out, ["combo"])

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from marginalia.config import Search
 from marginalia.functions import text as T
+from marginalia.jobs import index
 from marginalia.jobs import retrieve as job
 from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
 from marginalia.sources import tables, vault
+from marginalia.sources.store import shared_folder
 from marginalia.sources.tables import table
 from marginalia.streaming import events as st
 
@@ -22,7 +24,13 @@ QUERY_EVERY = 50
 
 
 def documents(s, d):
-    return table(s, d, "documents")
+    return tables.spread(table(s, d, "documents"))
+
+
+def _index(s, d, columns=("heading", "body")):
+    """The index of the documents, which all questions of a session share."""
+    weights = {c: w for c, w in job.column_weights(sections(s, d), Search()).items() if c in columns}
+    return index.current(table(s, d, "documents"), sections(s, d), weights, shared_folder(s))
 
 
 def sections(s, d):
@@ -62,7 +70,7 @@ def stream(s, d):
 
 
 def results(s, d):
-    return job.retrieve(sections(s, d), copies(s, d), questions(s, d))
+    return job.retrieve(sections(s, d), copies(s, d), questions(s, d), index=_index(s, d))
 
 
 def corrections(s, d):
@@ -75,12 +83,11 @@ def utc(column: str):
 
 
 def lex_bm25_topk(s, d):
-    return job.seeds(sections(s, d), questions(s, d))
+    return job.seeds(sections(s, d), questions(s, d), index=_index(s, d))
 
 
 def lex_all_terms(s, d):
-    sec = sections(s, d)
-    return lexical.all_terms(lexical.postings(sec, {"heading": 8.0, "body": 1.0}), lexical.query_terms(questions(s, d)))
+    return lexical.all_terms(_index(s, d).postings, lexical.query_terms(questions(s, d)))
 
 
 def q_tokenize_stats(s, d):
@@ -205,7 +212,7 @@ def rank_status(s, d):
 
 def _lists(s, d):
     sec, q = sections(s, d), questions(s, d)
-    return [job.seeds(sec.select("section_uid", column), q) for column in ("heading", "body")]
+    return [job.seeds(sec.select("section_uid", column), q, index=_index(s, d, (column,))) for column in ("heading", "body")]
 
 
 def rank_rrf_sum(s, d):

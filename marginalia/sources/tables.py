@@ -10,6 +10,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if their files make fewer tasks than there are cores; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def status_of(quality: str = "quality", toxic: str = "toxic"):
     """Toxic texts are archived, good ones current, bad ones obsolete; unlabelled ones have no status."""
     return F.when(F.col(toxic) == 1, "archived").when(F.col(quality) == 1, "current").when(F.col(quality) == 0, "obsolete")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import Search, sweep, with_override
 from marginalia.functions import text as T
+from marginalia.jobs import index
 from marginalia.jobs import retrieve as job
 from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
 from marginalia.sources import vault
@@ -72,6 +73,27 @@ def test_obsolete_is_demoted_and_headings_lift(spark):
     assert out[0].uid == "n#heading" and "matched heading" in out[0].explain
 
 
+def test_index_follows_changes(spark, tmp_path, monkeypatch):
+    """An update equals a new build, tokenizes only what has changed, and a failed one leaves the generation before."""
+    weights, folder = {"heading": 8.0, "body": 1.0}, str(tmp_path / "index")
+    make = lambda rows: spark.createDataFrame(rows, "section_uid string, heading string, body string")
+    before = [("a", "Deploy", "to the host"), ("b", None, "alpha beta"), ("c", "Gone", "soon"), ("e", "", "")]
+    after = [("a", "Deploy", "to the host"), ("b", "New", "alpha gamma"), ("d", "Fresh", "delta"), ("e", "", "")]
+    assert index.latest(spark, folder) is None
+    index.build(make(before), weights, folder)
+    assert index.update(make(before), weights, folder)[0] == 1
+    rows = lambda i: [sorted(map(tuple, x.collect()), key=repr) for x in (i.postings.select("uid", "term", "dl", "tf"), i.keys.select("key", "term"), i.stats, i.rows)]
+    seen, postings = [], lexical.postings
+    monkeypatch.setattr(lexical, "postings", lambda s, *a: seen.append(sorted(r.section_uid for r in s.collect())) or postings(s, *a))
+    number, updated = index.update(make(after), weights, folder)
+    assert number == 2 and seen == [["b", "d"]]
+    assert rows(updated) == rows(index.build(make(after), weights, str(tmp_path / "other"))) == rows(index.latest(spark, folder)[1])
+    monkeypatch.setattr(lexical, "prefix_keys", lambda _: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.update(make(before), weights, folder)
+    assert index.latest(spark, folder)[0] == 2 and rows(index.latest(spark, folder)[1]) == rows(updated)
+
+
 def test_expansion_limits(spark):
     edges = spark.createDataFrame([("a", "b", "related"), ("b", "c", "related"), ("c", "d", "related"), ("a", "c", "parent"), ("a", "z", "unknown")], "src string, dst string, relation string")
     roots = spark.createDataFrame([(1, "a", 1.0), (1, "nowhere", 1.0)], "qid long, node string, score double")
