@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from marginalia.sources.tables import spread
+
 from . import bpe, decontaminate, license_scan, neardup, pii, quality, rules, shards, token_files, unigram_counts
 
 #: The tokenizer of the queries; the operators take any path of this format.
@@ -19,45 +21,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+    return license_scan.scan(documents(spark, sf_dir)).drop("matches")
 
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(documents(spark, sf_dir))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.written_index(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+    return token_files.written_index(documents(spark, sf_dir), TOKENIZER, end_id=2)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.assigned(table(spark, sf_dir, "documents"), n_shards=24)
+    return shards.assigned(documents(spark, sf_dir), n_shards=24)
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.graded(docs, quality.trained(docs, quality.ratings(table(spark, sf_dir, "labels"))))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return neardup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
 def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judged(table(spark, sf_dir, "documents"))
+    return rules.judged(documents(spark, sf_dir))
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.round_trip_digests(documents(spark, sf_dir), TOKENIZER)
 
 
 def op10_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
+    return unigram_counts.token_counts(documents(spark, sf_dir), PIECES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
