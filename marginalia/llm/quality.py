@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, Block, Words, mix64, per_text, pieces
+from .bytetext import ALNUM, Block, Words, mix64, per_text, pieces, release_memory
 from .storage import discard, saved
 
 BITS = 18
@@ -28,7 +28,7 @@ PREFIXES = range(3, 9)
 MOST = 3
 #: Rated documents that are fitted at most, those with the smallest hashes of id and text, and their features in all: the
 #: first ones in this order are taken that have no more together.
-SAMPLE, SAMPLE_FEATURES = 4000, 16_000_000
+SAMPLE, SAMPLE_FEATURES = 4000, 8_000_000
 #: Least probability of the best grade from which a document is kept. The cut lies higher where CLEAN allows it.
 LEAST = 0.5
 #: Share of the held-out documents of the best grade that the cut keeps, and the fewest that set a cut.
@@ -93,7 +93,7 @@ class Model:
 
 def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int) -> Model:
     """Maximum likelihood with weight decay by Adam. Thresholds stay ordered: all but the first are sums of positive gaps."""
-    n, row = len(grades), np.repeat(np.arange(len(grades)), np.diff(first))
+    n, row = len(grades), np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(first))
     share = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] + 1.0
     odds = np.log(share / (n + n_grades - share))
     # Word buckets are scaled by their log ratio between documents of the best grade and the rest, drawn towards 0
@@ -127,7 +127,7 @@ def thresholds(params: np.ndarray) -> np.ndarray:
 
 def loss(params: np.ndarray, index: np.ndarray, value: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int) -> tuple[float, np.ndarray]:
     """(mean negative log likelihood with weight decay, its gradient) of weights, the first threshold and the logs of the gaps after it."""
-    n, row, cut = len(grades), np.repeat(np.arange(len(grades)), np.diff(first)), len(params) - (n_grades - 1)
+    n, row, cut = len(grades), np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(first)), len(params) - (n_grades - 1)
     t = thresholds(params[cut:])
     s = np.add.reduceat(np.append(params[index] * value, 0.0), first[:-1]) * (np.diff(first) > 0)
     below = 1 / (1 + np.exp(-np.clip(np.concatenate((t, [np.inf]))[grades] - s, -500, 500)))
@@ -199,10 +199,14 @@ def trained(docs: DataFrame, graded: DataFrame, n_grades: int = 3, sample: int =
     discard(rated, found)
     if not rows:
         return None
-    index = np.frombuffer(b"".join(r["index"] for r in rows), "<i4").astype(np.int64)
-    value = np.frombuffer(b"".join(r["value"] for r in rows), "<f4").astype(float)
+    index, value = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("index", "<i4"), ("value", "<f4")))
     first = np.concatenate(([0], np.cumsum([len(r["index"]) // 4 for r in rows])))
-    return fit_with_cut(index, value, first, np.array([r["grade"] for r in rows]), n_grades)
+    grades = np.array([r["grade"] for r in rows])
+    del rows
+    model = fit_with_cut(index, value, first, grades, n_grades)
+    del index, value
+    release_memory()
+    return model
 
 
 def _grade(model, least: float | None):
