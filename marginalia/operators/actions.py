@@ -139,3 +139,9 @@ def resolve_app(wanted: DataFrame, apps: DataFrame) -> DataFrame:
     best = pairs.withColumn("level", level).filter("level IS NOT NULL").groupBy("name", "level").agg(F.min("app_id").alias("app_id"), F.countDistinct("app_id").alias("n"))
     top = best.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("level"))).filter("r = 1")
     return top.filter("level < 2 OR n = 1").select("name", "app_id")
+
+
+def looked_up(wanted: DataFrame, declared: DataFrame) -> DataFrame:
+    """The declared actions of listed sections (qid, uids), once for each question and section; sections without any have no row."""
+    uids = wanted.select("qid", F.explode(F.array_distinct("uids")).alias("section_uid"))
+    return uids.join(declared, "section_uid")

@@ -62,3 +62,9 @@ def explain(context: bool = False) -> Column:
     around = [F.when(F.col("current_project"), "in the current project"), F.when(F.col("active_app"), "matches the focused app")] if context else []
     parts = F.concat_ws(" · ", found, F.when(F.col("via").isNotNull(), path), *around, F.when(F.col("status_weight") < 1, "superseded"))
     return F.when(parts == "", "matched").otherwise(parts)
+
+
+def source_refs(rows: DataFrame) -> DataFrame:
+    """Ranked rows as sources of an answer: a place of one line, a snippet and the reason; the number is open, since uids name sections."""
+    line = F.col("start_line")
+    return rows.select("qid", "rank", F.lit(0).cast("long").alias("section_id"), F.col("uid").alias("section_uid"), "path", "heading_path", line.alias("start_line"), line.alias("end_line"), "score", T.snippet(F.col("body")).alias("snippet"), explain("active_app" in rows.columns).alias("explain"))

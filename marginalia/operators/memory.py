@@ -36,6 +36,13 @@ def rate(provenance: DataFrame, ratings: DataFrame) -> DataFrame:
     return provenance.join(last, "id", "left").withColumn("rating", F.coalesce("__new", "rating")).drop("__new")
 
 
+def recorded(provenance: DataFrame, answers: DataFrame) -> DataFrame:
+    """provenance with a row for each of answers (query, section_uids, model, seq), whose ids follow the greatest one in the order of seq; none is rated yet."""
+    last = provenance.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    new = numbered(answers, ["seq"], "id").crossJoin(F.broadcast(last)).withColumn("id", F.col("id") + F.col("__last"))
+    return provenance.unionByName(new.drop("__last", "seq"), allowMissingColumns=True)
+
+
 def rated(provenance: DataFrame) -> DataFrame:
     return provenance.filter(F.col("rating").isNotNull())
 
@@ -92,6 +99,15 @@ def listed(corrections: DataFrame) -> DataFrame:
     return numbered(corrections, [F.desc("created_at"), F.asc("id")], "place").crossJoin(F.broadcast(stale))
 
 
+def stale_count(corrections: DataFrame) -> DataFrame:
+    return corrections.agg(F.count_if(F.col("stale")).alias("n_stale"))
+
+
+def version(corrections: DataFrame) -> DataFrame:
+    """(version): the number of all writes, 0 before the first."""
+    return corrections.agg(F.coalesce(F.sum("writes"), F.lit(0)).alias("version"))
+
+
 def deleted(corrections: DataFrame, ids: DataFrame) -> DataFrame:
     return corrections.join(ids.select("id").distinct(), "id", "left_anti")
 

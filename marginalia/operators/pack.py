@@ -44,6 +44,26 @@ def packed(rows: DataFrame, budget_tokens: int, most: int | None = None) -> Data
     return sized.filter(keep & (F.col("n") <= most if most else F.lit(True))).drop("n")
 
 
+def without_parents(rows: DataFrame) -> DataFrame:
+    """Rows (qid, uid, parent_uid, heading_path) without those of which a part is there too; the part shows the heading path of the whole."""
+    parts = rows.filter("parent_uid IS NOT NULL").select("qid", F.col("parent_uid").alias("uid")).distinct()
+    whole = rows.select("qid", F.col("uid").alias("parent_uid"), F.col("heading_path").alias("__above"))
+    kept = rows.join(parts, ["qid", "uid"], "left_anti").join(whole, ["qid", "parent_uid"], "left")
+    return kept.withColumn("heading_path", F.coalesce("__above", "heading_path")).drop("__above")
+
+
+def merged_adjacent(rows: DataFrame) -> DataFrame:
+    """(qid, path, first, n, rank, body): rows (qid, path, order_index, rank, body) that follow each other in a document as one, at their best rank.
+
+    The bodies that are gathered for a row are those of a run in one document.
+    """
+    order = W.partitionBy("qid", "path").orderBy("order_index")
+    runs = rows.withColumn("__run", F.col("order_index") - F.row_number().over(order))
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("order_index", "body"))), lambda x: x["body"])
+    found = runs.groupBy("qid", "path", "__run").agg(F.min("order_index").alias("first"), F.count("*").alias("n"), F.min("rank").alias("rank"), F.array_join(bodies, "\n\n").alias("body"))
+    return found.drop("__run")
+
+
 def budget(context_tokens: int, max_output_tokens: int, reserve: int = 320) -> int:
     return max(0, context_tokens - max_output_tokens - reserve)
 

@@ -79,6 +79,11 @@ ALL_TERMS = """nt AS (SELECT qid, count(*) AS n FROM qt GROUP BY ALL),
 al AS (SELECT qid, uid FROM (SELECT qid, uid, count(*) AS h FROM lex_p JOIN (SELECT qid, term FROM qt) USING (term) GROUP BY ALL) JOIN nt USING (qid) WHERE h = n)"""
 
 
+EXPLAIN = """concat_ws(' · ', CASE WHEN heading_match THEN 'matched heading' WHEN list_no = 0 THEN 'matched text' END,
+  CASE WHEN via IS NOT NULL THEN hops || CASE WHEN hops = 1 THEN ' hop ' ELSE ' hops ' END || CASE WHEN backwards THEN 'back to ' ELSE 'to ' END || via END, CASE WHEN status_weight < 1 THEN 'superseded' END)"""
+FOUND_LINES = "ln AS (SELECT doc_id, l, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) WHERE l <> '' AND n % 3 > 0)"
+
+
 def clean(x: str) -> str:
     return rf"regexp_replace(replace(replace({x}, '</source>', '<\/source>'), '<source', '<\source'), '[\x00-\x08\x0B-\x1F\x7F-\x9F]', '', 'g')"
 
@@ -154,8 +159,7 @@ SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed'
 SELECT qid, node, round(score, 9) AS score, hops::BIGINT AS hops, via, backwards FROM ex""",
         "g_pagerank_10": pagerank(10),
         "g_contradictions": f"WITH {SEC}, g AS (SELECT heading, min(uid) AS dst FROM sec WHERE status = 'current' GROUP BY heading) SELECT DISTINCT least(uid, dst) AS a, greatest(uid, dst) AS b FROM sec JOIN g USING (heading) WHERE status = 'obsolete'",
-        "retrieve_ranked": f"""WITH {RETRIEVE}, x AS (SELECT *, concat_ws(' · ', CASE WHEN heading_match THEN 'matched heading' WHEN list_no = 0 THEN 'matched text' END,
-  CASE WHEN via IS NOT NULL THEN hops || CASE WHEN hops = 1 THEN ' hop ' ELSE ' hops ' END || CASE WHEN backwards THEN 'back to ' ELSE 'to ' END || via END, CASE WHEN status_weight < 1 THEN 'superseded' END) AS e FROM res)
+        "retrieve_ranked": f"""WITH {RETRIEVE}, x AS (SELECT *, {EXPLAIN} AS e FROM res)
 SELECT qid, uid, rank, round(score, 9) AS score, CASE WHEN e = '' THEN 'matched' ELSE e END AS explain FROM x""",
         "rank_status": f"WITH {SEC} SELECT coalesce(status, 'none') AS status, count(*) AS n, max({STATUS}) AS weight FROM sec GROUP BY 1",
         "rank_rrf_sum": f"""WITH {SEC}, {QT}, {bm25('heads', {'heading': 8.0})}, {bm25('bodies', {'body': 1.0})},
@@ -232,6 +236,28 @@ p AS (SELECT coalesce(n, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 END) AS ratin
         "corr_delete": f"SELECT min(item_id) AS id, n AS normalized FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n HAVING min(item_id) % 2 <> 0",
         "bench_latency": """WITH m AS (SELECT 'retrieval' AS stage, value AS ms FROM events UNION ALL SELECT 'generation', value * 2 FROM events WHERE event_id % 3 > 0)
 SELECT stage, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.99) AS p99 FROM m WHERE ms IS NOT NULL GROUP BY stage""",
+        "sink_jsonl": """WITH t AS (SELECT *, (conv_id + turn) % 7 = 0 AS b FROM conversations)
+SELECT CASE WHEN NOT b THEN conv_id END AS conv_id, b AS malformed, count(*) AS n, sum(CASE WHEN NOT b THEN turn END)::BIGINT AS turns, sum(CASE WHEN NOT b THEN length(text) END)::BIGINT AS chars FROM t GROUP BY 1, 2""",
+        "sink_json_report": f"""WITH {TWO} SELECT combo::BIGINT AS combo, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 9) AS recall_3,
+  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM rk GROUP BY combo""",
+        "sink_bench_export": "SELECT source AS question, doc_id || ',' || (doc_id + 1) AS expected, NULL::VARCHAR AS context, NULL::VARCHAR AS note FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 3 > 0",
+        "q_source_refs": f"""WITH {RETRIEVE}, x AS (SELECT *, {trim('body')} AS t, {EXPLAIN} AS e FROM res)
+SELECT qid, rank, 0::BIGINT AS section_id, uid AS section_uid, path, heading AS heading_path, 1::BIGINT AS start_line, 1::BIGINT AS end_line, round(score, 9) AS score,
+  CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 240), '{WHITE}+$', '') || '…' ELSE t END AS snippet, CASE WHEN e = '' THEN 'matched' ELSE e END AS explain FROM x""",
+        "q_actions_lookup": f"WITH {DECLARED}, w AS (SELECT item_id AS qid, item_id % 7 AS u FROM benchmark UNION SELECT item_id, item_id % 5 FROM benchmark) SELECT qid, section_uid, kind, label, enabled FROM w JOIN dr ON u = section_uid",
+        "prov_record": f"""SELECT doc_id AS id, source AS query, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 END::INTEGER AS rating FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY qid), question, NULL FROM ({ASKED})""",
+        "corr_stale_count": f"SELECT count_if(id % 3 = 0) AS n_stale FROM (SELECT min(item_id) AS id FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n)",
+        "corr_version": "SELECT count(*) AS version FROM benchmark",
+        "src_desktop_entries": """SELECT 'app' || c_custkey AS app_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Shared ' || c_custkey END AS app_name, CASE WHEN c_custkey % 2 = 0 THEN 'own %U' ELSE 'shared %U' END AS exec
+FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 <> 0 ELSE c_custkey % 3 <> 0 END""",
+        "src_path_absolutise": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/else/' ELSE '/vault/notes/' END || page_id AS path FROM pages",
+        "pack_merge_adjacent": f"""WITH {FOUND_LINES}, r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM ln)
+SELECT doc_id AS qid, min(n) AS first, count(*) AS n, -max(n) AS rank, sha256(string_agg(l, chr(10) || chr(10) ORDER BY r.n)) AS body_sha256 FROM r GROUP BY doc_id, run""",
+        "pack_parent_dedupe": f"""WITH {FOUND_LINES} SELECT a.doc_id AS qid, a.n AS uid, 'line ' || coalesce(b.n, a.n) AS heading_path FROM ln a LEFT JOIN ln b ON a.doc_id = b.doc_id AND a.n % 2 = 0 AND b.n = a.n - 1
+WHERE NOT (a.n % 2 = 1 AND (a.doc_id, a.n + 1) IN (SELECT (doc_id, n) FROM ln))""",
+        "parse_front_matter": """SELECT doc_id AS path, CASE WHEN ok THEN 'n' || doc_id END AS id, CASE WHEN ok THEN 'A: ' || lang END AS title, NULL::VARCHAR AS topic, CASE WHEN ok THEN 'a,' || source END AS tags, CASE WHEN ok THEN 0 END::BIGINT AS n_apps,
+  NULL::VARCHAR AS project, CASE WHEN ok THEN 'current' END AS status, CASE WHEN ok AND doc_id % 2 = 0 THEN 'old' END AS supersedes FROM (SELECT *, doc_id % 5 > 0 AS ok FROM documents)""",
         "act_labels": f"SELECT event_id, {LABEL} AS label FROM (SELECT event_id, floor(value * 100)::BIGINT AS s FROM events)",
         "act_urls": f"SELECT page_id, {HOST} AS host, url || CASE WHEN contains(url, '?') THEN '&t=' ELSE '?t=' END || page_id || 's' AS timed FROM pages",
         "bench_recall_mrr": f"""WITH {RETRIEVE}, {ALL_TERMS}, rk AS (SELECT q.qid, min(rank) AS rank FROM (SELECT item_id AS qid FROM benchmark) q LEFT JOIN (SELECT res.qid, res.rank FROM res JOIN al USING (qid, uid)) USING (qid) GROUP BY ALL)

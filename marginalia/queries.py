@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from marginalia.functions import text as T
 from marginalia.jobs import index
 from marginalia.jobs import retrieve as job
 from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
-from marginalia.sources import tables, vault
+from marginalia.sources import lines, tables, vault
 from marginalia.sources.store import shared_folder
 from marginalia.sources.tables import table
 from marginalia.streaming import events as st
@@ -500,6 +501,95 @@ def vec_mrl_truncate(s, d):
     return cut.select("vec_id", F.size("vector").cast("long").alias("dims"), F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.get("vector", F.lit(31)), 6).alias("last"))
 
 
+def sink_jsonl(s, d):
+    """Turns as lines and back; some lines are broken off."""
+    sent = turns(s, d).select("conv_id", "turn", "text", ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("broken"))
+    text = lines.to_lines(sent.select("conv_id", "turn", "text"))
+    broken = lines.to_lines(sent.filter("broken").select("conv_id", "turn", "text")).select(F.expr("substring(value, 1, length(value) - 2)").alias("value"))
+    whole = text.filter((F.get_json_object("value", "$.conv_id").cast("long") + F.get_json_object("value", "$.turn").cast("long")) % 7 != 0)
+    got = lines.from_lines(whole.union(broken), "conv_id long, turn long, text string")
+    return got.groupBy("conv_id", "malformed").agg(F.count("*").alias("n"), F.sum("turn").alias("turns"), F.sum(F.length("text")).alias("chars"))
+
+
+def _path(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def sink_json_report(s, d):
+    """The report of two combinations, written and read as a baseline."""
+    path, every = _path(s, "report"), [_outcomes(s, d, x.withColumn("rank", F.col("position") + 1)).withColumn("combo", F.lit(k)) for k, x in enumerate(_lists(s, d))]
+    lines.write_report(bench.report(every[0].union(every[1]), ["combo"]), path)
+    return lines.read_report(s, path).select("combo", "n", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")])
+
+
+def sink_bench_export(s, d):
+    """Well-rated answers as a question file, which is read back."""
+    uids = F.when(F.col("id") % 3 > 0, F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string"))).otherwise(F.array().cast("array<string>"))
+    path = _path(s, "questions")
+    lines.write_questions(memory.exported(provenance(s, d).withColumn("section_uids", uids)), path)
+    return lines.read_questions(s, path).select("question", F.array_join("expected", ",").alias("expected"), "context", "note")
+
+
+def q_source_refs(s, d):
+    rows = results(s, d).withColumn("heading_path", F.col("heading")).withColumn("start_line", F.lit(1).cast("long"))
+    return fuse.source_refs(rows).withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
+
+
+def q_actions_lookup(s, d):
+    wanted = questions(s, d).select("qid", F.array(F.col("qid") % 7, F.col("qid") % 5, F.lit(-1).cast("long")).alias("uids"))
+    return actions.looked_up(wanted, _declared(s, d)).select("qid", "section_uid", "kind", "label", "enabled")
+
+
+def prov_record(s, d):
+    """User turns are recorded after the documents."""
+    new = asked(s, d).select(F.col("question").alias("query"), F.col("qid").alias("seq"))
+    return memory.recorded(provenance(s, d), new).select("id", "query", "rating")
+
+
+def corr_stale_count(s, d):
+    return memory.stale_count(corrections(s, d).withColumn("stale", F.col("id") % 3 == 0))
+
+
+def corr_version(s, d):
+    return memory.version(corrections(s, d))
+
+
+def src_desktop_entries(s, d):
+    """Entries of customers in a folder of all and in one of the even ones, which comes first."""
+    text = lambda *parts: F.concat(F.lit("[Desktop Entry]\n"), *parts, F.lit("\n[Desktop Action new]\nName=Other\nNoDisplay=true\n"))
+    rows = table(s, d, "customer").select(F.concat(F.lit("app"), "c_custkey").alias("app_id"), "c_custkey", "c_name")
+    own = rows.filter("c_custkey % 2 = 0").select(F.lit(0).alias("dir_rank"), "app_id", text(F.lit("Name="), "c_name", F.lit("\nExec=own %U"), F.when(F.col("c_custkey") % 10 == 0, "\nHidden=true").otherwise("")).alias("content"))
+    shared = rows.select(F.lit(1).alias("dir_rank"), "app_id", text(F.lit("Exec=shared %U\nName = Shared "), "c_custkey", F.when(F.col("c_custkey") % 3 == 0, "\nNoDisplay=true").otherwise("")).alias("content"))
+    return vault.desktop_entries(own.union(shared))
+
+
+def src_path_absolutise(s, d):
+    paths = F.concat(F.when(F.col("page_id") % 3 == 0, "/else/").otherwise("notes/"), "page_id")
+    return table(s, d, "pages").select("page_id", vault.absolute(paths, "/vault/").alias("path"))
+
+
+def _lines_as_results(s, d):
+    """Lines of documents as the sections that were found for a question about each document; each third line is missing."""
+    rows = tables.line_sections(documents(s, d)).filter("line % 3 > 0").withColumn("line", F.col("line").cast("long"))
+    return rows.select(F.col("doc_id").alias("qid"), F.lit("note").alias("path"), F.col("line").alias("order_index"), (-F.col("line")).alias("rank"), "body")
+
+
+def pack_merge_adjacent(s, d):
+    return pack.merged_adjacent(_lines_as_results(s, d)).select("qid", "first", "n", "rank", F.sha2("body", 256).alias("body_sha256"))
+
+
+def pack_parent_dedupe(s, d):
+    """Lines of even numbers are parts of the line before."""
+    rows = _lines_as_results(s, d).select("qid", F.col("order_index").alias("uid"), F.when(F.col("order_index") % 2 == 0, F.col("order_index") - 1).alias("parent_uid"), F.concat(F.lit("line "), "order_index").alias("heading_path"))
+    return pack.without_parents(rows).select("qid", "uid", "heading_path")
+
+
+def parse_front_matter(s, d):
+    content = F.concat(F.lit('---\nid: n'), "doc_id", F.lit('\ntitle: "A: '), "lang", F.lit('"\ntags: [a, '), "source", F.lit(', ]\napps: []\n'), F.when(F.col("doc_id") % 2 == 0, F.lit("supersedes: old\nstatus: draft\n")).otherwise(""), F.lit("status:  current \n"), F.when(F.col("doc_id") % 5 > 0, "---\n").otherwise(""), F.lit("project: none\n# Text"))
+    rows = vault.note_fields(documents(s, d).select(F.col("doc_id").alias("path"), content.alias("content")))
+    return rows.select("path", "id", "title", "topic", F.array_join("tags", ",").alias("tags"), F.size("apps").cast("long").alias("n_apps"), "project", "status", "supersedes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """lex_bm25_topk lex_all_terms q_tokenize_stats q_phrase q_snippet q_no_answer q_stats parse_lines parse_token_estimate
         src_page_sections src_page_links src_glob_filter src_change_gate g_expand_2hop g_pagerank_10 g_contradictions retrieve_ranked
@@ -509,5 +599,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         st_generation_poll vec_topk vec_mrl_truncate act_resolve act_app_resolve act_expand act_template st_path_filter st_stale_event_drop
         gen_think_filter ctx_alias ctx_app_in_query ctx_bucket g_unresolved_contradictions g_neighbourhood parse_edges parse_actions
         parse_note_sections src_glob_count vec_queue q_gate q_section_lookup pack_correction cache_get prov_rate corr_list corr_delete
-        bench_latency"""
+        bench_latency sink_jsonl sink_json_report sink_bench_export q_source_refs q_actions_lookup prov_record corr_stale_count corr_version
+        src_desktop_entries src_path_absolutise pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
     return {name: globals()[name] for name in names.split()}

@@ -78,6 +78,28 @@ def sections(notes: DataFrame) -> DataFrame:
     return notes.select("path", "content").mapInPandas(run, SECTIONS)
 
 
+def note_fields(notes: DataFrame) -> DataFrame:
+    """(path, id, title, topic, tags, apps, project, status, supersedes) of the block between --- lines at the start of notes (path, content); null where a field is missing.
+
+    Lists are written [a, b]; a key that is written twice has its last value.
+    """
+    block = F.regexp_extract(F.regexp_replace("content", "\r\n", "\n"), r"(?s)\A---[ \t]*\n(.*?)(?:\A|(?<=\n))---[ \t]*(?:\n|\z)", 1)
+    line = r"(?m)^([A-Za-z_]+):[ \t]*(.*)$"
+    pairs = F.arrays_zip(F.regexp_extract_all("b", F.lit(line), F.lit(1)).alias("k"), F.regexp_extract_all("b", F.lit(line), F.lit(2)).alias("v"))
+    rows = notes.select("path", block.alias("b")).withColumn("x", F.reverse(pairs))
+
+    def field(name: str) -> Column:
+        value = F.get(F.filter("x", lambda p: p["k"] == name), F.lit(0))["v"]
+        return F.regexp_replace(F.trim(value), r"^[\"']+|[\"']+$", "")
+
+    def items(name: str) -> Column:
+        parts = F.split(F.regexp_replace(field(name), r"^\[+|\]+$", ""), ",")
+        return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+    plain = {n: field(n).alias(n) for n in ("id", "title", "topic", "project", "status", "supersedes")}
+    return rows.select("path", plain["id"], plain["title"], plain["topic"], items("tags").alias("tags"), items("apps").alias("apps"), plain["project"], plain["status"], plain["supersedes"])
+
+
 def edges(rows: DataFrame) -> DataFrame:
     """(src, dst, relation): written relations "type:: [[uid]]", bare links [[uid]], and `parent` edges to the section above."""
     typed = r"(?m)^\s*([a-z]+)::\s*\[\[([^\]]+)\]\]"

@@ -10,7 +10,7 @@ from marginalia.functions import text as T
 from marginalia.jobs import index
 from marginalia.jobs import retrieve as job
 from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
-from marginalia.sources import vault
+from marginalia.sources import lines, vault
 from marginalia.streaming import events as st
 
 
@@ -323,3 +323,51 @@ def test_large_corrections_and_numbers(spark):
         values = sorted(float(i * 7 % 100) for i in range(200) if i % 3 == kind)
         assert out[kind] == (values[-(-len(values) // 2) - 1], values[-(-99 * len(values) // 100) - 1])
     assert out[None] == (5.0, 5.0)
+
+
+def test_lines(spark, tmp_path):
+    sent = spark.createDataFrame([(1, "a\nb\"c"), (2, None), (None, "ü")], "id long, text string")
+    text = lines.to_lines(sent)
+    assert all("\n" not in r.value for r in text.collect())
+    odd = spark.createDataFrame([('{"id": 3, "text": "x',), ("",), (None,), ("[1]",), ('{"id": "word"}',), ('{"id": 4, "text": "' + "y" * 100 + '"}',)], "value string")
+    got = lines.from_lines(text.union(odd), "id long, text string", most=60).collect()
+    assert [tuple(r) for r in got[:3]] == [(1, 'a\nb"c', False), (2, None, False), (None, "ü", False)]
+    assert all(r.id is None and r.text is None for r in got[3:]) and all(r.malformed for r in got[3:])
+    asks = spark.createDataFrame([("q", ["a#b"]), ("r", [])], "question string, expected array<string>")
+    lines.write_questions(asks, str(tmp_path / "q"))
+    assert sorted(tuple(r) for r in lines.read_questions(spark, str(tmp_path / "q")).collect()) == [("q", ["a#b"], None, None), ("r", [], None, None)]
+    (tmp_path / "bad.json").write_text('{"question": "q", "expected": [')
+    with pytest.raises(Exception):  # noqa: B017
+        lines.read_questions(spark, str(tmp_path / "bad.json")).collect()
+    few = spark.createDataFrame([("q", 1, ["a"]), ("r", 1, []), ("s", -1, ["b"])], "query string, rating int, section_uids array<string>")
+    assert [tuple(r) for r in memory.exported(few, 1).collect()] == [("q", ["a"])]
+    with pytest.raises(ValueError):
+        memory.exported(few, 2)
+
+
+def test_note_fields(spark):
+    notes = [("a", "---\nid: x\ntags: [p, 'q r', ]\n---\nstatus: later"), ("b", "status: none\n---\nid: y\n---"), ("c", "---\n---\n"), ("d", None), ("e", "---\r\ntitle: \"T: u\"\r\n---")]
+    out = {r.path: r for r in vault.note_fields(spark.createDataFrame(notes, "path string, content string")).collect()}
+    assert out["a"].id == "x" and out["a"].status is None and out["a"].tags[0] == "p" and len(out["a"].tags) == 2
+    assert all(out[k].id is None and out[k].status is None for k in "bcd") and out["e"].title == "T: u"
+
+
+def test_parts_and_neighbours(spark):
+    rows = [(1, "a", None, "A"), (1, "a/1", "a", "x"), (1, "b/1", "b", "y"), (2, "a", None, "A")]
+    out = pack.without_parents(spark.createDataFrame(rows, "qid long, uid string, parent_uid string, heading_path string"))
+    assert sorted((r.qid, r.uid, r.heading_path) for r in out.collect()) == [(1, "a/1", "A"), (1, "b/1", "y"), (2, "a", "A")]
+    rows = [(1, "n", 3, 1, "c"), (1, "n", 2, 5, "b"), (1, "n", 5, 2, "e"), (1, "m", 4, 3, "z"), (2, "n", 4, 1, "d")]
+    out = pack.merged_adjacent(spark.createDataFrame(rows, "qid long, path string, order_index long, rank long, body string"))
+    assert sorted((r.qid, r.path, r["first"], r.n, r["rank"], r.body) for r in out.collect()) == [(1, "m", 4, 1, 3, "z"), (1, "n", 2, 2, 1, "b\n\nc"), (1, "n", 5, 1, 2, "e"), (2, "n", 4, 1, 1, "d")]
+
+
+def test_records_and_counts(spark):
+    before = spark.createDataFrame([(7, "old", 1)], "id long, query string, rating int")
+    new = spark.createDataFrame([("b", ["s"], None, 2), ("a", [], "m", 1)], "query string, section_uids array<string>, model string, seq long")
+    assert sorted((r.id, r.query, r.rating) for r in memory.recorded(before, new).collect()) == [(7, "old", 1), (8, "a", None), (9, "b", None)]
+    assert sorted(r.id for r in memory.recorded(before.filter("id < 0"), new).collect()) == [1, 2] and memory.recorded(before, new.filter("seq < 0")).count() == 1
+    none = spark.createDataFrame([], "writes long, stale boolean")
+    assert memory.version(none).first().version == 0 and memory.stale_count(none).first().n_stale == 0
+    known = spark.createDataFrame([("u", "file"), ("u", "url")], "section_uid string, kind string")
+    asks = spark.createDataFrame([(1, ["u", "u", "v"]), (2, [])], "qid long, uids array<string>")
+    assert sorted(r.kind for r in actions.looked_up(asks, known).collect()) == ["file", "url"]
