@@ -10,7 +10,7 @@ import public_tokenizers
 
 from marginalia.sources.tables import spread
 
-from . import alignment, bpe, decontaminate, license_scan, neardup, pii, quality, rules, shards, token_files, unigram_counts
+from . import alignment, bpe, decontaminate, license_scan, neardup, pii, quality, rules, secret_scan, shards, token_files, unigram_counts
 
 #: The tokenizer of the queries; the operators take any path of this format.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,10 @@ def op10_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(documents(spark, sf_dir), PIECES)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_counts(documents(spark, sf_dir), TOKENIZER, PIECES)
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rule_cascade": op8_rule_cascade,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_unigram_counts": op10_unigram_counts,
+        "op11_secret_scan": op11_secret_scan,
         "op12_tokenizer_alignment": op12_tokenizer_alignment,
     }
 
