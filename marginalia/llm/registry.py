@@ -10,7 +10,7 @@ import public_tokenizers
 
 from marginalia.sources.tables import spread
 
-from . import alignment, bpe, decontaminate, license_scan, neardup, pii, quality, rules, secret_scan, shards, token_files, unigram_counts
+from . import alignment, bpe, decontaminate, license_scan, neardup, pii, prefix_trie, quality, rules, secret_scan, shards, token_files, unigram_counts
 
 #: The tokenizer of the queries; the operators take any path of this format.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_counts(documents(spark, sf_dir), TOKENIZER, PIECES)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spread(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_unigram_counts": op10_unigram_counts,
         "op11_secret_scan": op11_secret_scan,
         "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -97,4 +102,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontaminate.ORACLE_SQL,
         "op7_minhash_near_dedup": neardup.oracle_sql(2, 80),
         "op8_rule_cascade": rules.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }
