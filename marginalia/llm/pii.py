@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     while k + 3 < len(runs):
         parts = runs[k : k + 4]
         if all(b[0] - a[1] == 1 and text[a[1]] == "." for a, b in zip(parts, parts[1:])):
-            if all(e - s < 20 and int(text[s:e]) <= 255 or not text[s:e].lstrip("0") for s, e in parts):
+            if all(len(x := text[s:e].lstrip("0")) <= 3 and int(x or 0) <= 255 for s, e in parts):
                 out.append((parts[0][0], 1, parts[3][1]))
             k += 4
         else:
@@ -473,7 +473,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each whole text.
 
     Counts and digest are those of the fixed patterns, spans holds the field's as well. A null text counts as
-    empty and has none. Rows are independent of each other; other columns change nothing.
+    empty and has none. Rows are independent of each other; other columns change nothing. An empty table gives
+    no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -491,7 +492,11 @@ def masked(text: str, spans) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """docs with the spans of text_col masked, and with the new length in chars_col if one is named. Null texts stay null."""
+    """docs with the spans of text_col masked, and with the new length in chars_col if one is named.
+
+    Null texts stay null and have no length. Rows are masked one by one, so repeated rows stay equal; all other
+    columns are kept, and an empty table stays empty.
+    """
     weights = fitted()
 
     def run(batches):
