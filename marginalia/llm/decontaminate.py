@@ -2,21 +2,23 @@
 
 Words are the runs of letters, digits and non-ASCII characters after A-Z are
 lower-cased.  A window is SIZE consecutive words of a benchmark item, or a whole
-shorter item.  The hashes of all windows form a sorted array; each task hashes
-the windows of its documents, looks them up, and compares the words of every hit
-with those of the item.
+shorter item.  The hashes of the distinct windows form a sorted array; each task
+hashes the windows of its documents, looks them up, and compares the words of
+every hit with those of the window once, however many items and places have it.
 
 The benchmark's size is summed before anything is sent.  Items that hold more
-than BLOCK_BYTES of text are dealt into blocks of about that size, and the
-documents pass them one after the other.  A task looks at CHAIN blocks at most;
+than BLOCK_BYTES of text are dealt into blocks of about that size, an item beyond
+it in parts that overlap by a window less one word, and the
+documents pass the blocks one after the other.  A task looks at CHAIN blocks at most;
 then the documents are written with what was found, and the next blocks begin.  So
-a task's memory has a bound for any benchmark, but for a single huge item, and a
+a task's memory has a bound for any benchmark, and a
 benchmark of n blocks costs n / CHAIN passes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,49 +37,105 @@ _SIEVE_BITS = 20
 
 
 class Windows:
-    """The windows of some items, sorted by hash for each window size."""
+    """The distinct windows of some items and the items that have each, sorted by hash for each window size."""
 
     def __init__(self, items: list[tuple[str | None, str]], size: int = SIZE):
         self.items = [i for i, _ in items]
-        self.words = words = Words(Block(pa.array([t for _, t in items], pa.string())), ALNUM)
+        words = Words(Block(pa.array([t for _, t in items], pa.string())), ALNUM)
         hashes, first = words.hashes(), words.first
+        self.numbers, distinct = words.numbers()
+        numbers, self.number_of = self.numbers, dict(zip(distinct, range(len(distinct))))
         length = np.diff(first)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
         for n in sorted({min(x, size) for x in length.tolist() if x}):
-            every = window_hashes(hashes, n)
             which = np.flatnonzero((length >= n) if n == size else (length == n))
             counts = length[which] - n + 1
             owner = np.repeat(which, counts)
             start = np.arange(counts.sum()) + np.repeat(first[which] - np.cumsum(counts) + counts, counts)
-            keys = every[start]
+            # Windows are numbered by their words, one word after the other; a window's items are listed once.
+            window = numbers[start]
+            for j in range(1, n):
+                window = np.unique(window * len(numbers) + numbers[start + j], return_inverse=True)[1]
+            _, at, window = np.unique(window, return_index=True, return_inverse=True)
+            pairs = np.unique(window * len(items) + owner)
+            keys = window_hashes(hashes, n)[start[at]]
             order = np.argsort(keys, kind="stable")
+            low = np.searchsorted(pairs, order * len(items))
+            high = np.searchsorted(pairs, (order + 1) * len(items))
             sieve = np.zeros(1 << _SIEVE_BITS, bool)
             sieve[keys >> np.uint64(64 - _SIEVE_BITS)] = True
-            self.by_size[n] = (keys[order], start[order], owner[order], sieve)
-
-    def hits(self, words: Words) -> list[tuple[int, int, int]]:
-        """(first word, size, item) of each window of the items that occurs in a text of `words`."""
-        hashes, out = words.hashes(), []
-        last = np.repeat(words.first[1:], np.diff(words.first))  # where the text of each word ends
-        for n, (keys, start, owner, sieve) in self.by_size.items():
+            self.by_size[n] = (keys[order], start[at[order]], low, high, pairs % len(items), sieve)
+
+    def hits(self, words: Words) -> tuple[list[tuple[int, int, int]], set[tuple[int, int]]]:
+        """((text, first word, size) of each place where a window of the items stands, (text, item) of the items that have it).
+
+        The hashes only say where to look: the words of a place are compared by their numbers among the words of the items.
+        """
+        hashes, mine = words.hashes(), None
+        text_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        last = words.first[1:][text_of]  # where the text of each word ends
+        places, found = [], set()
+        for n, (keys, start, low, high, owners, sieve) in self.by_size.items():
             every = window_hashes(hashes, n)
             at = np.flatnonzero(sieve[every >> np.uint64(64 - _SIEVE_BITS)])
             at = at[at + n <= last[at]]
-            low, high = np.searchsorted(keys, every[at]), np.searchsorted(keys, every[at], "right")
-            for i, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                text = words.text(i, i + n)
-                out += [(i, n, int(owner[k])) for k in range(a, b) if self.words.text(int(start[k]), int(start[k]) + n) == text]
-        return out
+            a, b = np.searchsorted(keys, every[at]), np.searchsorted(keys, every[at], "right")
+            if not (a < b).any():
+                continue
+            if mine is None:
+                numbers, distinct = words.numbers()
+                mine = np.array([self.number_of.get(w, -1) for w in distinct], np.int64)[numbers]
+            sizes = b - a
+            at, window = np.repeat(at, sizes), np.arange(sizes.sum()) + np.repeat(a - np.cumsum(sizes) + sizes, sizes)
+            same = np.ones(len(at), bool)
+            for j in range(n):
+                same &= mine[at + j] == self.numbers[start[window] + j]
+            at, window = at[same], window[same]
+            texts = text_of[at]
+            places += zip(texts.tolist(), (at - words.first[texts]).tolist(), [n] * len(at))
+            for pair in np.unique(texts * len(keys) + window).tolist():
+                text, k = divmod(pair, len(keys))
+                found.update((text, i) for i in owners[low[k] : high[k]].tolist())
+        return places, found
+
+
+def cut(benchmark: DataFrame, id_col: str, text_col: str, size: int, part_bytes: int) -> DataFrame:
+    """(item, text): the items, those of more than part_bytes in parts that share size - 1 words, so that each window lies in a part and no other arises."""
 
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str | None, str]]]:
-    """The items in blocks of about block_bytes, one block on the driver at a time if there are several."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    def run(batches):
+        for batch, column in pieces(batches, "text"):
+            which, texts = [], []
+            for k, text in enumerate(column.to_pylist()):
+                if len(text) * 4 > part_bytes and len(raw := text.encode()) > part_bytes:
+                    words = Words(Block(pa.array([text])), ALNUM)
+                    a, n = 0, len(words.starts)
+                    while n > size and a < n:
+                        b = max(int(np.searchsorted(words.ends, words.starts[a] + part_bytes, "right")), a + size)
+                        b = n if n - b < size else b
+                        which.append(k)
+                        texts.append(raw[words.starts[a] : words.ends[b - 1]].decode())
+                        a = b - size + 1 if b < n else n
+                    if n > size:
+                        continue
+                which.append(k)
+                texts.append(text)
+            yield pa.record_batch([batch.column(0).take(pa.array(which, pa.int64())), pa.array(texts, pa.string())], names=["item", "text"])
+
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
+    return items.mapInArrow(run, "item string, text string")
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in blocks of about block_bytes, one block on the driver at a time."""
+    items = cut(benchmark, id_col, text_col, size, block_bytes)
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = -(-total // block_bytes)
-    dealt = items.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(max(n, 1))))
+    if n > 1:
+        items = saved(items.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "items")
     for b in range(n):
-        yield [(r["item"], r["text"]) for r in dealt.filter(F.col("b") == b).select("item", "text").collect()]
+        yield [(r["item"], r["text"]) for r in (items.filter(F.col("b") == b) if n > 1 else items).select("item", "text").collect()]
+    if n > 1:
+        discard(items)
 
 
 def _scan(windows, then=None):
@@ -89,9 +147,10 @@ def _scan(windows, then=None):
             words = Words(Block(column), ALNUM)
             spans: list[list[int]] = [list(x or ()) for x in batch.column("__spans").to_pylist()]
             items: list[set] = [set(x or ()) for x in batch.column("__items").to_pylist()]
-            for i, n, item in known.hits(words):
-                doc = int(np.searchsorted(words.first, i, "right")) - 1
-                spans[doc] += (i - int(words.first[doc]), n)
+            places, found = known.hits(words)
+            for doc, i, n in places:
+                spans[doc] += (i, n)
+            for doc, item in found:
                 if known.items[item] is not None:
                     items[doc].add(known.items[item])
             columns = dict(zip(batch.schema.names, batch.columns))
@@ -128,7 +187,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, then, schema, size: int = SIZ
     """What `then` makes of docs: the struct `row` of their columns, __id, __text, __spans (the words hit) and __items (the items found)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.lit(None)
     out = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), F.array().cast("array<int>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    every, spark, before, chained, written = blocks(benchmark, item_col, item_text_col, block_bytes), docs.sparkSession, None, 0, []
+    every, spark, before, chained, written = blocks(benchmark, item_col, item_text_col, size, block_bytes), docs.sparkSession, None, 0, []
     for items in every:
         if before is not None:
             out, chained = out.mapInArrow(_scan(before), out.schema), chained + 1
@@ -154,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, **col
 
     A null text has no words and a null item no windows; an empty benchmark hits nothing. An item without
     an id marks words but isn't counted; items that share an id count once. Rows are judged one by one, so
-    repeated or null doc_ids and other columns change nothing.
+    repeated or null doc_ids and other columns change nothing. An empty table gives no rows.
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
     docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col))])
