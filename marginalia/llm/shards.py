@@ -1,9 +1,9 @@
 """Sharding over fixed virtual slots.
 
-A record belongs to one of SLOTS slots for good, by a hash of its id.  A small
-table maps slots to shards; it is stored by version, and rebalancing appends a new
-version that moves as few slots as it needs.  Bytes are summed by slot, so the
-map is worked out on SLOTS rows whatever the size of the corpus.
+A record belongs to one of SLOTS slots for good, by a hash of its id and text, and its further copies to the
+slots behind that one.  A small table maps slots to shards; it is stored by version, and rebalancing appends a
+new version that moves as few slots as it needs.  Bytes are summed by slot, so the map is worked out on SLOTS
+rows whatever the size of the corpus.
 
 Records that are equal in all that is returned are counted before they are
 shuffled and dealt out again at the end, and a slot with many records is numbered
@@ -31,19 +31,23 @@ COPIES = 100_000
 
 
 def slot_of(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record: by its id, or by its text where it has none."""
-    return F.pmod(F.when(doc_id.isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(text)), F.lit(slots))
+    """The slot of a record by its id and text."""
+    return F.pmod(F.xxhash64(doc_id, text), F.lit(slots))
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot, copies): the distinct records and how often they occur.
+    """(doc_id, size, text_crc32, own, vslot, copies): the distinct records, and how often they occur in a slot.
 
-    size is the UTF-8 bytes of the text plus 8; a null text has none and the crc32 of nothing.
+    The first copy of a record is in its own slot, the second in the next one, and so on around. size is the
+    UTF-8 bytes of the text plus 8; a null text has none and the crc32 of nothing.
     """
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(doc_id, text, slots).alias("vslot"))
-    return rows.groupBy("doc_id", "size", "text_crc32", "vslot").agg(F.count("*").alias("copies"))
+    rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(doc_id, text, slots).alias("own"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "own").agg(F.count("*").alias("c"))
+    each = counted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("c"), F.lit(slots)) - 1)))
+    copies = F.floor((F.col("c") - F.col("k") - 1) / slots) + 1
+    return each.select("doc_id", "size", "text_crc32", "own", F.pmod(F.col("own") + F.col("k"), F.lit(slots)).alias("vslot"), copies.alias("copies"))
 
 
 def first_map(spark, n_shards: int, slots: int = SLOTS) -> DataFrame:
@@ -101,9 +105,9 @@ def assigned(docs: DataFrame, n_shards: int = 24, folder: str | None = None, id_
 
     vslot is the fixed virtual slot, slot the gapless place of the row in its shard. The map is stored in
     `folder`: if one is named, its latest version holds; else a new one of the shared folder gets the first map
-    and the one rebalanced by the bytes of docs. grown_shard is null under this law. Null ids are dealt by their
-    texts; repeated rows share a virtual slot and have places of their own. Other columns of docs change
-    nothing. An empty table gives no rows.
+    and the one rebalanced by the bytes of docs. grown_shard is null under this law. Records without id and those
+    that share one are dealt by their texts; equal rows go around the virtual slots and have places of their own.
+    Other columns of docs change nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = saved(records(docs, id_col, text_col), "records")
@@ -119,7 +123,7 @@ def assigned(docs: DataFrame, n_shards: int = 24, folder: str | None = None, id_
     placed = rows.groupBy("vslot", "part").agg(F.sum("copies").alias("n")).join(F.broadcast(latest), "vslot")
     begin = F.sum("n").over(W.partitionBy("shard").orderBy("vslot", "part")) - F.col("n")
     placed = placed.select("vslot", "part", "shard", "version", begin.alias("begin"))
-    order = W.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size")
+    order = W.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "own")
     numbered = rows.withColumn("inside", F.sum("copies").over(order) - F.col("copies")).join(F.broadcast(placed), ["vslot", "part"])
     numbered = numbered.select("doc_id", "size", "text_crc32", "shard", "vslot", "version", "copies", (F.col("begin") + F.col("inside")).alias("at"))
     return dealt(numbered).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("at").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
