@@ -19,7 +19,9 @@ chunk in which two paths come closer than CLOSE.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -83,9 +85,9 @@ class Vocabulary:
     def best(self, text: str) -> tuple[int, float, bool]:
         """(tokens, score, close) of the best segmentation; `close` if two paths to a place nearly tie."""
         n, close, watch = len(text), False, not self.exact_chars
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        score, count = array("d", bytes(8 * n + 8)), array("q", bytes(8 * n + 8))
         single, unknown, at = self.single, self.unknown, 0  # the best paths to positions before `at` are final
-        for end, (length, value) in [*self.automaton.iter(text), (n, (0, 0.0))]:
+        for end, (length, value) in chain(self.automaton.iter(text), [(n, (0, 0.0))]):
             if end >= at:
                 if at and text[at - 1] not in single:  # a path by a character that is no piece is tried last
                     s = score[at - 1] + unknown
@@ -166,7 +168,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     The file may hold any kind of model: its pieces and scores are read as a unigram vocabulary.
     A space in front is added and spaces are written as U+2581, as the file's tokenizers do. A null or empty
-    text has no tokens and score 0. Rows are independent of each other; other columns change nothing.
+    text has no tokens and score 0. Rows are independent of each other; other columns change nothing. An empty
+    table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_count(path), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_chars long, n_tokens long, score double")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -124,3 +125,13 @@ def test_unigram_counts_with_fractions_and_ties():
         memo = token_files.Memo(unigram_counts._Counts(unigram_counts.Vocabulary(list(scored.items()))), 100)
         texts = ["".join(r.choice("abcd ") for _ in range(r.randint(1, 120))) for _ in range(60)]
         assert unigram_counts.totals(texts, memo)[0] == [len(library.encode(t).ids) for t in texts]
+
+
+def test_unbroken_text_takes_bounded_memory():
+    words = unigram_counts.vocabulary(PIECES)
+    text = "abcdefghij" * 30_000
+    tracemalloc.start()
+    words.best(text)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 40 * len(text)

@@ -93,7 +93,7 @@ def base_spans(text):
 
 def test_base_spans_are_the_patterns(spark, frame):
     r = random.Random(3)
-    parts = [*"0123456789+-. @()a%_é", "12", "255", "256", "1.2.3.4", "+1", "@a.b", "4785380592391139", "a@b", "  "]
+    parts = [*"0123456789+-. @()a%_é", "12", "255", "256", "1.2.3.4", "0" * 25, "000", "+1", "@a.b", "4785380592391139", "a@b", "  "]
     rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for i in range(5000)] + [(d and d + 9000, t) for d, t in ODD]
     assert all(pii.base_spans(t or "") == base_spans(t or "") for _, t in rows)
     for row, (_, text) in zip(sorted(pii.report(frame(rows[:300])).collect()), rows):
@@ -309,6 +309,26 @@ def test_contamination(spark, frame, block_bytes):
     assert decontaminate.decontaminated(frame([]), benchmark).count() == 0
 
 
+def test_repeated_windows_are_compared_once():
+    text = "haha " * 100_000
+    began = time.perf_counter()
+    known = decontaminate.Windows([("1", text), ("2", text + "end"), ("3", "of its own " * 13), (None, text)])
+    places, found = known.hits(decontaminate.Words(decontaminate.Block(pa.array([text, "no", text])), decontaminate.ALNUM))
+    assert time.perf_counter() - began < 2
+    assert len(places) == 2 * (100_000 - 12) and found == {(k, i) for k in (0, 2) for i in (0, 1, 3)}
+    assert len(known.by_size[13][0]) == 2 + 3
+
+
+def test_huge_items_are_cut_between_words(spark):
+    r = random.Random(8)
+    items = [(1, " ".join(f"w{r.randint(0, 400)}é" for _ in range(900))), (2, "x" * 5000), (3, "a b " + "y" * 3000), (None, "null " * 700), (4, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    parts = decontaminate.cut(benchmark, "item_id", "text", 13, 400).collect()
+    assert max(len(p.text.encode()) for p in parts if p.item == "1") <= 400 and len(parts) > 20
+    whole, cut = windows([(str(i or None), t) for i, t in items if t]), windows([(str(p.item), p.text) for p in parts])
+    assert whole == cut
+
+
 def test_contamination_without_benchmark(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(frame(ODD), none).filter("n_hit > 0 OR contaminated").count() == 0
@@ -481,12 +501,22 @@ def test_shards(spark, frame, monkeypatch, part_rows, copies):
     assert shards.assigned(frame([]), 24).count() == 0
 
 
+@pytest.mark.parametrize("hot", [(None, "x" * 1000), (5, "x" * 1000), (5, None)])
+def test_equal_rows_and_ids_spread_over_the_shards(spark, hot):
+    doc_id, text = hot
+    rows = [(doc_id, text or f"{i}" * 200) for i in range(6000)] + [(100 + i, f"{i % 9}" * 1000) for i in range(6000)]
+    out = shards.assigned(spark.createDataFrame(rows, "doc_id long, text string"), 24)
+    loads = [r.b for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 24 and max(loads) < 1.1 * sum(loads) / 24
+    assert out.groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("m"), F.count("*").alias("c")).filter("n <> c OR m <> c - 1").isEmpty()
+
+
 def test_stored_maps(spark, frame, tmp_path):
     folder, rows = str(tmp_path / "map"), [(i, "x" * (i % 50)) for i in range(3000)]
     shards.append_version(shards.first_map(spark, 4), folder)
     first = {r.doc_id: (r.shard, r.vslot, r.version) for r in shards.assigned(frame(rows), 4, folder).collect()}
     assert {v for _, _, v in first.values()} == {1}
-    size = shards.records(frame(rows)).groupBy("vslot").agg(F.sum("size").alias("bytes"))
+    size = shards.records(frame(rows)).groupBy("vslot").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"))
     assert shards.rebalance(folder, size, 5).first().version == 2
     after = {r.doc_id: (r.shard, r.vslot, r.version) for r in shards.assigned(frame(rows), 5, folder).collect()}
     assert {v for _, _, v in after.values()} == {2} and {s for s, _, _ in after.values()} == set(range(5))
