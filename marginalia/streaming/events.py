@@ -65,11 +65,33 @@ def status(events: DataFrame, by: list[str], value: str, ts: str = "ts", order:
     return events.groupBy(*by).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"), F.max_by(value, F.struct(ts, order)).alias("last_value"))
 
 
-def token_batches(tokens: DataFrame, by: list[str], tick: str = "33 milliseconds", ts: str = "ts") -> DataFrame:
-    """(by, tick, n, text): the tokens of each tick, joined in order. A tick holds few tokens of a query."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct(ts, "event_id", "text"))), lambda x: x["text"])
-    out = tokens.groupBy(F.window(F.col(ts), tick).alias("w"), *by).agg(F.count("*").alias("n"), F.array_join(parts, "").alias("text"))
-    return out.select(*by, F.col("w.start").alias("tick"), "n", "text")
+def token_batches(events: DataFrame, by: str, tick_millis: int = 33, most: int = 24, ts: str = "ts", order: str = "event_id", query: str = "query_id", text: str = "text") -> DataFrame:
+    """Batch: (by, query, started, n, text), the tokens as they are shown: once they have `most` bytes, at the next tick, or before another event.
+
+    Rows without text are other events. The first token of another query drops what waits of the one before.
+    Tokens of one query between two ticks or other events are gathered: a tick holds few.
+    """
+    w = W.partitionBy(by).orderBy(ts, order)
+    tick = F.floor(F.unix_micros(F.col(ts)) / (tick_millis * 1000))
+    rows = events.select(by, ts, order, F.col(query).alias("query"), F.col(text).alias("text"), tick.alias("tick"))
+    other = lambda shift: ~(shift("query").over(w).eqNullSafe(F.col("query")))
+    apart = F.lag("text").over(w).isNull() | (F.lag("tick").over(w) != F.col("tick")) | other(F.lag)
+    dropped = F.lead("text").over(w).isNotNull() & (F.lead("tick").over(w) == F.col("tick")) & other(F.lead)
+    runs = rows.withColumns({"apart": apart, "dropped": dropped}).filter("text IS NOT NULL").withColumn("run", F.count_if("apart").over(w))
+    gathered = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(order).alias("order"), "text")))
+    lists = runs.groupBy(by, "run").agg(F.first("query").alias("query"), gathered.alias("x"), F.max_by("dropped", F.struct(ts, order)).alias("dropped"))
+    none = F.array().cast("array<struct<started:timestamp,n:bigint,text:string>>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("timestamp").alias("started"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("text"))
+
+    def take(acc, x):
+        started, n, whole = F.when(acc["n"] == 0, x["ts"]).otherwise(acc["started"]), acc["n"] + 1, F.concat(acc["text"], x["text"])
+        full = F.octet_length(whole) >= most
+        done = F.when(full, F.concat(acc["done"], F.array(F.struct(started.alias("started"), n.alias("n"), whole.alias("text"))))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), started.alias("started"), F.when(full, F.lit(0).cast("bigint")).otherwise(n).alias("n"), F.when(full, "").otherwise(whole).alias("text"))
+
+    end = lists.withColumn("acc", F.aggregate("x", start, take))
+    rest = F.when((F.col("acc.n") > 0) & ~F.col("dropped"), F.array(F.struct("acc.started", "acc.n", "acc.text"))).otherwise(none)
+    return end.select(by, "query", F.explode(F.concat("acc.done", rest)).alias("b")).select(by, F.col("query").alias(query), "b.started", "b.n", "b.text")
 
 
 def generation_changes(polls: DataFrame, by: list[str], generation: str = "generation", ts: str = "ts", order: str = "event_id") -> DataFrame:
