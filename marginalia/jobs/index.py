@@ -1,40 +1,64 @@
-"""A lexical index: built once, read by all questions, and brought up to date by what has changed.
+"""An index of sections and their relations: built once, read by all questions, and brought up to date by what has changed.
 
 A generation is a set of tables beside those of other generations:
 
-* postings (term, uid, dl, tf), in ranges of terms, so that readers skip the files of other terms,
+* postings (term, blk, most, least, mask, posts): blocks of postings in ranges of (term, blk), so that readers
+  skip the files of other terms and a frequent term lies in many files,
 * keys (key, term): the beginnings of each term, for prefixes,
-* rows (uid, content_hash): what the change gate compares,
-* stats (n, avg_dl): one row, written last; a generation counts once it is there.
+* rows (uid, num, content_hash): what the change gate compares, and the number by which a row is in its block,
+* stats (n, avg_dl): one row.
 
-So a build that fails leaves the generation before in place.
+A generation counts once it stands in `finished`, which is written last; so a build that fails leaves the one
+before in place.  The graph is a snapshot of its own,
+
+* edges (owner, src, dst, relation), steps (at, to, via, backwards, salt), hubs (at, salts), degrees (node, degree),
+
+and if its build fails, the new generation keeps the snapshot of the one before: losing a few relations is better
+than losing the index.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators import lexical
+from marginalia.operators import graph, lexical
 from marginalia.sources import vault
 from marginalia.sources.store import discard, materialised
 
+_LOG = logging.getLogger(__name__)
+#: Makes (owner, src, dst, relation) from sections alone; an owner is the section whose change makes the edge anew.
+Links = Callable[[DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
     folder: str
+    generation: int = 1
+    graph_folder: str | None = None
+    graph_generation: int | None = None
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def _graph(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.graph_folder}/{name}")
+
     @property
-    def postings(self) -> DataFrame:
+    def blocks(self) -> DataFrame:
         return self._table("postings")
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, slot, uid, tf, dl)."""
+        return self.blocks.select("term", F.inline("posts"))
+
     @property
     def keys(self) -> DataFrame:
         return self._table("keys")
@@ -47,6 +71,18 @@ class Index:
     def stats(self) -> DataFrame:
         return self._table("stats")
 
+    @property
+    def edges(self) -> DataFrame:
+        return self._graph("edges")
+
+    @property
+    def degrees(self) -> DataFrame:
+        return self._graph("degrees")
+
+    @property
+    def steps(self) -> graph.Steps | None:
+        return graph.dealt(self._graph("steps"), hubs=self._graph("hubs")) if self.graph_folder else None
+
 
 def signature(rows: DataFrame) -> str:
     """A name for the files that a table is read from, with their sizes and times."""
@@ -55,23 +91,47 @@ def signature(rows: DataFrame) -> str:
     return f"{x.n}-{x.h & (1 << 64) - 1:016x}"
 
 
-def _hash(weights: dict[str, float]) -> Column:
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in weights])), 256)
+def _hash(sections: DataFrame, uid: str) -> Column:
+    """Of all that a section holds, since edges come from more than the weighted columns."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sections.columns if c != uid])), 256)
+
+
+def _numbered(sections: DataFrame, weights: dict[str, float], uid: str, first: int) -> DataFrame:
+    """Tokenized sections with numbers from `first` on in the order of their lengths, so that the rows of a block are alike and its bounds close."""
+    rows = lexical.tokenized(sections, weights, uid, _hash(sections, uid).alias("content_hash"))
+    ordered = rows.repartitionByRange("dl", "uid").sortWithinPartitions("dl", "uid")
+    return materialised(ordered.withColumn("num", F.monotonically_increasing_id() + first), "tokenized")
+
 
+def _write_graph(path: str, edges: DataFrame) -> None:
+    edges.write.parquet(f"{path}/edges")
+    edges = edges.sparkSession.read.parquet(f"{path}/edges")
+    steps = graph.dealt(graph.both_ways(edges))
+    steps.rows.write.parquet(f"{path}/steps")
+    steps.hubs.write.parquet(f"{path}/hubs")
+    steps.rows.groupBy(F.col("at").alias("node")).agg(F.count("*").alias("degree")).write.parquet(f"{path}/degrees")
 
-def _write(spark: SparkSession, folder: str, generation: int, postings: DataFrame, rows: DataFrame) -> Index:
+
+def _write(spark: SparkSession, folder: str, generation: int, blocks: list[DataFrame], rows: DataFrame, edges: Callable[[DataFrame], DataFrame] | None, before: Index | None = None) -> Index:
     """One generation in a directory of its own; an unfinished one of the same number has another name and is never read."""
     path = f"{folder}/generation={generation}/{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings.repartitionByRange(n, "term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    rows.write.parquet(f"{path}/rows")
-    index = Index(spark, path)
-    lexical.prefix_keys(index.postings.select("term").distinct()).repartitionByRange(n, "key").sortWithinPartitions("key").write.parquet(f"{path}/keys")
-    total = index.postings.groupBy("uid").agg(F.max("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
-    count = index.rows.agg(F.count("*").alias("n"))
-    count.crossJoin(total).select("n", (F.col("total") / F.col("n")).alias("avg_dl")).coalesce(1).write.parquet(f"{path}/stats")
-    spark.createDataFrame([(generation, path)], "generation long, path string").coalesce(1).write.mode("append").parquet(f"{folder}/finished")
-    return index
+    for part in blocks:
+        part.write.mode("append").parquet(f"{path}/postings")
+    rows.select("uid", "num", "dl", "content_hash").write.parquet(f"{path}/rows")
+    index = Index(spark, path, generation)
+    lexical.prefix_keys(index.blocks.select("term").distinct()).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{path}/keys")
+    stats = index.rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    stats.select("n", (F.col("total") / F.col("n")).alias("avg_dl")).coalesce(1).write.parquet(f"{path}/stats")
+    shown = (before.graph_folder, before.graph_generation) if before else (None, None)
+    if edges is not None:
+        try:
+            _write_graph(f"{path}/graph", edges(index.rows))
+            shown = f"{path}/graph", generation
+        except Exception:
+            _LOG.warning("generation %d keeps the graph of generation %s", generation, shown[1], exc_info=True)
+    finished = spark.createDataFrame([(generation, path, *shown)], "generation long, path string, graph_path string, graph_generation long")
+    finished.coalesce(1).write.mode("append").parquet(f"{folder}/finished")
+    return Index(spark, path, generation, *shown)
 
 
 def latest(spark: SparkSession, folder: str) -> tuple[int, Index] | None:
@@ -80,39 +140,84 @@ def latest(spark: SparkSession, folder: str) -> tuple[int, Index] | None:
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
     last = spark.read.parquet(f"{folder}/finished").orderBy(F.desc("generation"), "path").first()
-    return last.generation, Index(spark, last.path)
+    return last.generation, Index(spark, last.path, last.generation, last.graph_path, last.graph_generation)
 
 
-def build(sections: DataFrame, weights: dict[str, float], folder: str, uid: str = "section_uid") -> Index:
-    """The first generation, of all sections."""
-    rows = sections.select(F.col(uid).alias("uid"), _hash(weights).alias("content_hash"))
-    return _write(sections.sparkSession, folder, 1, lexical.postings(sections, weights, uid), rows)
+def build(sections: DataFrame, weights: dict[str, float], folder: str, uid: str = "section_uid", links: Links | None = None, derived: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+    """The first generation, of all sections. `links` makes edges of sections, `derived` those that follow from rows (uid, content_hash) of all."""
+    fresh = _numbered(sections, weights, uid, 0)
+    edges = _edges(None, (lambda: links(sections)) if links else None, None, derived) if links or derived else None
+    index = _write(sections.sparkSession, folder, 1, [lexical.blocked(lexical.counted(fresh, "num"))], fresh, edges)
+    discard(fresh)
+    return index
 
 
-def update(sections: DataFrame, weights: dict[str, float], folder: str, uid: str = "section_uid") -> tuple[int, Index]:
-    """(number, index) after what has changed since the last generation: only added and changed sections are tokenized, the postings of the others are copied.
+def _edges(old: DataFrame | None, fresh: Callable[[], DataFrame] | None, gone: DataFrame | None, derived: Callable[[DataFrame], DataFrame] | None) -> Callable[[DataFrame], DataFrame]:
+    """Makes the edges of a generation: those of owners that haven't changed, those of fresh sections, and those derived from all rows."""
 
-    Nothing is written if nothing has changed.
+    def make(rows: DataFrame) -> DataFrame:
+        parts = []
+        if old is not None:
+            parts.append(old.filter("owner IS NOT NULL").join(gone, "owner", "left_anti"))
+        if fresh is not None:
+            parts.append(fresh())
+        if derived is not None:
+            parts.append(derived(rows))
+        out = parts[0].select("owner", "src", "dst", "relation")
+        for part in parts[1:]:
+            out = out.unionByName(part.select("owner", "src", "dst", "relation"))
+        return out
+
+    return make
+
+
+def update(sections: DataFrame, weights: dict[str, float], folder: str, uid: str = "section_uid", links: Links | None = None, derived: Callable[[DataFrame], DataFrame] | None = None) -> tuple[int, Index]:
+    """(number, index) after what has changed since the last generation.
+
+    Only added and changed sections are tokenized, and only their edges are made anew. They get numbers behind the others, so
+    blocks without a removed or changed row are copied as they are, and the rest are put together from what is
+    left of them. Nothing is written if nothing has changed.
     """
     spark, before = sections.sparkSession, latest(sections.sparkSession, folder)
     if before is None:
-        return 1, build(sections, weights, folder, uid)
+        return 1, build(sections, weights, folder, uid, links, derived)
     number, old = before
-    now = materialised(sections.select(F.col(uid).alias("uid"), _hash(weights).alias("content_hash")), "rows")
+    now = materialised(sections.select(F.col(uid).alias("uid"), _hash(sections, uid).alias("content_hash")), "rows")
     gate = vault.change_gate(old.rows.withColumnRenamed("uid", "path"), now.withColumnRenamed("uid", "path"))
     changes = materialised(gate.filter("change <> 'unchanged'"), "changes")
     if changes.isEmpty():
         discard(now, changes)
         return before
-    fresh = sections.join(changes.filter("change <> 'removed'").select(F.col("path").alias(uid)), uid, "left_semi")
-    kept = old.postings.join(changes.filter("change <> 'added'").select(F.col("path").alias("uid")), "uid", "left_anti")
-    index = _write(spark, folder, number + 1, kept.unionByName(lexical.postings(fresh, weights, uid)), now)
-    discard(now, changes)
+    added = sections.join(changes.filter("change <> 'removed'").select(F.col("path").alias(uid)), uid, "left_semi")
+    last = old.rows.agg(F.max("num")).first()[0]
+    fresh = _numbered(added, weights, uid, 0 if last is None else (last // lexical.BLOCK + 1) * lexical.BLOCK)
+    gone = materialised(old.rows.join(changes.filter("change <> 'added'").select(F.col("path").alias("uid")), "uid", "left_semi").select("uid", F.floor(F.col("num") / lexical.BLOCK).alias("blk")), "gone")
+    touched = gone.select("blk").distinct()
+    left = old.blocks.join(touched, "blk", "left_semi").select("term", "blk", F.inline("posts")).join(gone.select("uid"), "uid", "left_anti")
+    left = left.select((F.col("blk") * lexical.BLOCK + F.col("slot")).alias("num"), "uid", "dl", "term", "tf")
+    again = lexical.blocked(left.unionByName(lexical.counted(fresh, "num").select(left.columns)))
+    rows = old.rows.join(gone.select("uid"), "uid", "left_anti").unionByName(fresh.select("uid", "num", "dl", "content_hash"))
+    edges, changed = None, changes.filter("change <> 'added'").select(F.col("path").alias("owner"))
+    if links and old.graph_generation == number:
+        edges = _edges(old.edges, lambda: links(added), changed, derived)
+    elif links or derived:  # without a snapshot of these rows, all edges are made anew
+        edges = _edges(None, (lambda: links(sections)) if links else None, None, derived)
+    index = _write(spark, folder, number + 1, [old.blocks.join(touched, "blk", "left_anti").select(again.columns), again], rows, edges, old)
+    discard(now, changes, gone, fresh)
     return number + 1, index
 
 
-def current(source: DataFrame, sections: DataFrame, weights: dict[str, float], folder: str) -> Index:
+def current(source: DataFrame, sections: DataFrame, weights: dict[str, float], folder: str, links: Links | None = None, derived: Callable[[DataFrame], DataFrame] | None = None) -> Index:
     """The index of sections that are made from the files of `source`: the one in the folder if these files have one, else a new one."""
     own = f"{folder}/index-{signature(source)}-{'-'.join(f'{c}-{w:g}' for c, w in weights.items())}"
     found = latest(source.sparkSession, own)
-    return found[1] if found else build(sections, weights, own)
+    return found[1] if found else build(sections, weights, own, links=links, derived=derived)
+
+
+def counts(index: Index, documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """(documents, sections, relations, generation): how many there are, with the relations and the number of a generation."""
+    relations = index.edges if index.graph_folder else index.rows.limit(0)
+    one = documents.agg(F.count("*").alias("documents"))
+    for name, rows in (("sections", sections), ("relations", relations)):
+        one = one.crossJoin(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return one.withColumn("generation", F.lit(index.generation).cast("long"))

@@ -13,6 +13,8 @@ from marginalia.jobs.index import Index, build
 from marginalia.operators import bench, context, fuse, graph, lexical, pack
 from marginalia.sources.store import materialised, shared_folder
 
+#: Sections up to which their uids are broadcast, at about 50 bytes each.
+BROADCAST_ROWS = 200_000
 COLUMNS = ["qid", "uid", "rank", "score", "list_no", "position", "hops", "via", "backwards", "status_weight", "heading_match"]
 
 
@@ -28,15 +30,30 @@ def seeds(sections: DataFrame, questions: DataFrame, config: Search = Search(),
     if index is None:
         index = build(sections, column_weights(sections, config), f"{shared_folder(sections.sparkSession)}/index-{uuid.uuid4().hex}")
     keys = index.keys if prefix_last else None
-    scores = lexical.bm25(index.postings, index.stats, lexical.query_terms(questions), config.bm25, keys)
-    return materialised(lexical.top_k(scores, config.lexical_limit), "seeds")  # read by the expansion and the fusion
+    best = lexical.best(index.blocks, index.stats, lexical.query_terms(questions), config.lexical_limit, config.bm25, keys)
+    return materialised(best, "seeds")  # read by the expansion and the fusion
 
 
-def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True, aliases: dict[str, list[str]] | None = None, index: Index | None = None) -> DataFrame:
+def of_few(sections: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sections that rows (uid) name. Up to BROADCAST_ROWS uids go to the tasks that read the sections, so no other section leaves them; beyond that they meet by a shuffle."""
+    named = materialised(rows.select("uid").distinct(), "uids")
+    small = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sections.withColumnRenamed("section_uid", "uid").join(F.broadcast(named) if small else named, "uid", "left_semi")
+
+
+def with_columns(rows: DataFrame, sections: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (uid, ...) with further columns of their sections, which are read for these rows only."""
+    return rows.join(of_few(sections, rows).select("uid", *columns), "uid")
+
+
+def retrieve(sections: DataFrame, edges: DataFrame | graph.Steps | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True, aliases: dict[str, list[str]] | None = None, index: Index | None = None, body: bool = True) -> DataFrame:
     """Ranked rows of each question (qid, question): lexical seeds, expansion, fusion, status, truncation, then the boosts, which only reorder.
 
     A question without a searchable term has no rows. Without edges, or with the graph off, only the seeds count.
     contexts has (qid, app, cwd), or (qid, wm_class, cwd) to be resolved with the aliases and the question.
+
+    The fused rows are written before anything is read of the sections: what orders them is read for these
+    only, and bodies, unless they aren't wanted, for those that are left at the end.
     """
     lex = seeds(sections, questions, config, prefix_last, index)
     if config.graph.enabled and edges is not None:
@@ -44,8 +61,11 @@ def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame,
         more = graph.new_nodes(graph.expand(roots, edges, config.graph), lex, config.graph)
     else:
         more = lex.select("qid", F.col("uid").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("backwards"), "position").filter("false")
-    names = [c for c in ("heading", "status", "note_title", "path", "body", "heading_path", "start_line") if c in sections.columns]
-    rows = fuse.rrf_union(lex, more, config.fusion).join(sections.select(F.col("section_uid").alias("uid"), *names), "uid")
+    fused = materialised(fuse.rrf_union(lex, more, config.fusion), "fused")
+    names = [c for c in ("heading", "status", "note_title", "path", "heading_path", "start_line") if c in sections.columns]
+    if contexts is not None:  # the boosts look into bodies
+        names.append("body")
+    rows = with_columns(fused, sections, names)
     weight = fuse.status_weight(F.col("status"), config.status) if "status" in names else F.lit(1.0)
     rows = rows.withColumn("status_weight", weight).withColumn("score", F.col("score") * F.col("status_weight"))
     rows = fuse.boost_heading(fuse.ranked(rows, config.fused_limit), questions, config.boosts)
@@ -53,13 +73,13 @@ def retrieve(sections: DataFrame, edges: DataFrame | None, questions: DataFrame,
         if "wm_class" in contexts.columns:
             contexts = context.effective(contexts, questions, aliases or {})
         rows = context.boosted(rows.withColumnRenamed("note_title", "title"), contexts, config.boosts)
-    return rows
+    return with_columns(materialised(rows, "ranked"), sections, ["body"]) if body and "body" in sections.columns and "body" not in names else rows
 
 
 def looked_up(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     """(qid, place, uid, ...) of listed sections (qid, uids) that exist, in the order of the list; a uid that is listed twice stands at its last place."""
     places = wanted.select("qid", F.posexplode("uids").alias("place", "uid")).groupBy("qid", "uid").agg(F.max("place").alias("place"))
-    return places.join(sections.withColumnRenamed("section_uid", "uid"), "uid")
+    return with_columns(places, sections, [c for c in sections.columns if c != "section_uid"])
 
 
 def prompts(rows: DataFrame, questions: DataFrame, budget_tokens: int, config: Search = Search()) -> DataFrame:
@@ -80,6 +100,6 @@ def benchmark(sections: DataFrame, edges: DataFrame, questions: DataFrame, combo
         weights = tuple(column_weights(sections, settings).items())
         if weights not in indexes:
             indexes[weights] = build(sections, dict(weights), f"{shared_folder(sections.sparkSession)}/index-{uuid.uuid4().hex}")
-        found = bench.ranks(questions, retrieve(sections, edges, questions, settings, index=indexes[weights])).withColumn("combo", F.lit(number))
+        found = bench.ranks(questions, retrieve(sections, edges, questions, settings, index=indexes[weights], body=False)).withColumn("combo", F.lit(number))
         out = found if out is None else out.union(found)
     return bench.report(out, ["combo"])

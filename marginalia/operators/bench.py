@@ -6,9 +6,11 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.operators.numbering import numbered, running
+from marginalia.sources.store import materialised
 
 MISSING_RANK = 1000
 
@@ -45,10 +47,22 @@ def percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], by: li
     return every.groupBy(*by).agg(*[F.min(F.when(share >= q, F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
-def latency(rows: DataFrame, quantiles: dict[str, float], stages: list[str]) -> DataFrame:
-    """(stage, n, and the percentiles) of runs with a column of milliseconds for each stage; a null is a stage that a run didn't reach."""
-    each = rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("ms")) for s in stages])).alias("x")).select("x.*").filter("ms IS NOT NULL")
-    return each.groupBy("stage").agg(F.count("*").alias("n")).join(percentiles(each, "ms", quantiles, ["stage"]), "stage")
+def latency(runs: DataFrame) -> DataFrame:
+    """(question, n, p50, p99, max, ttft_p50, ttft_p99, tokens_per_second) of runs (question, run, total_ms, ttft_ms, generation_ms, output_tokens).
+
+    The first run of each question is a warm-up and doesn't count. A question of "" stands for all together. Runs
+    without a first token, or without generation or output, don't count for the columns of those; where
+    none counts there are zeros.
+    """
+    order = F.row_number().over(W.partitionBy("question").orderBy("run"))
+    warm = runs.withColumn("__nth", order).filter("__nth > 1").drop("__nth")
+    every = materialised(warm.withColumn("question", F.explode(F.array("question", F.lit("")))), "runs")
+    rate = F.when((F.col("generation_ms") > 0) & (F.col("output_tokens") > 0), F.col("output_tokens") / (F.col("generation_ms") / 1000))
+    out = every.groupBy("question").agg(F.count("*").alias("n"), F.max("total_ms").alias("max"), F.coalesce(F.avg(rate), F.lit(0.0)).alias("tokens_per_second"))
+    out = out.join(percentiles(every, "total_ms", {"p50": 0.5, "p99": 0.99}, ["question"]), "question")
+    first = percentiles(every.filter("ttft_ms > 0"), "ttft_ms", {"ttft_p50": 0.5, "ttft_p99": 0.99}, ["question"])
+    out = out.join(first, "question", "left")
+    return out.select("question", "n", "p50", "p99", "max", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ttft_p50", "ttft_p99")], "tokens_per_second")
 
 
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:

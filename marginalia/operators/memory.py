@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators.numbering import numbered
+from marginalia.sources.store import materialised
 
 FUZZY_THRESHOLD, STALE_FACTOR = 0.5, 0.8
 
@@ -66,8 +67,58 @@ def exported(provenance: DataFrame, least: int = 20) -> DataFrame:
     return out
 
 
+def corrections_log(log: DataFrame) -> DataFrame:
+    """The log of corrections (seq, kind, question, answer, created_at, id) with its `normalized` form, `own` and `prior`.
+
+    The log is only ever appended to. A save of a form that has no correction makes one, whose id is the save's seq (`own`);
+    a save of a form that has one replaces it and keeps its id. A delete is a tombstone for an id, and hits if that
+    correction is there. `prior` is what last happened to the form before, so a save is a first one unless that was a save.
+    Deletes that miss are left out.
+    """
+    saves = log.filter("kind = 'save'").withColumn("normalized", T.normalized(F.col("question")))
+    forms = saves.select(F.col("seq").alias("id"), "normalized")
+    deletes = log.filter("kind = 'delete'").join(forms, "id").filter("seq > id")
+    deletes = deletes.groupBy("id", "normalized").agg(F.min("seq").alias("seq"))  # only the first can hit
+    order = W.partitionBy("normalized").orderBy("seq")
+    while True:
+        deletes = materialised(deletes, "deletes")
+        every = saves.select("seq", "kind", "normalized", "question", "answer", "created_at", F.lit(None).cast("long").alias("id"))
+        every = every.unionByName(deletes.select("seq", F.lit("delete").alias("kind"), "normalized", "id"), allowMissingColumns=True)
+        every = every.withColumn("prior", F.lag("kind").over(order))
+        # A delete of a save that was no first one names no correction; others may have been taken for first ones behind it.
+        first = every.filter("kind = 'save' AND coalesce(prior, 'delete') = 'delete'").select(F.col("seq").alias("id"))
+        named = materialised(deletes.join(first, "id", "left_semi"), "named")
+        if named.count() == deletes.count():
+            break
+        deletes = named
+    starts = F.last(F.when((F.col("kind") == "save") & (F.coalesce("prior", F.lit("delete")) == "delete"), F.col("seq")), ignorenulls=True)
+    return every.withColumn("own", starts.over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def standing(log: DataFrame) -> DataFrame:
+    """(id, normalized, question, answer, created_at, writes, stale): the corrections after all of a corrections_log, fresh; writes counts the saves of each since it was made."""
+    rows = log.groupBy("normalized", "own").agg(F.max_by(F.struct("kind", "seq"), "seq").alias("last"), F.max_by(F.struct("question", "answer", "created_at"), F.when(F.col("kind") == "save", F.col("seq"))).alias("x"), F.count_if(F.col("kind") == "save").alias("writes"))
+    return rows.filter("last.kind = 'save'").select(F.col("own").alias("id"), "normalized", "x.question", "x.answer", "x.created_at", "writes", F.lit(False).alias("stale"))
+
+
+def version(log: DataFrame) -> DataFrame:
+    """(version): one for each save and each delete that hit, of a corrections_log; so it never falls, and no earlier state has the same."""
+    return log.agg(F.count("*").alias("version"))
+
+
+def saves(writes: DataFrame) -> DataFrame:
+    """Writes (question, answer, created_at, seq) as rows of a log."""
+    return writes.select("seq", F.lit("save").alias("kind"), "question", "answer", "created_at", F.lit(None).cast("long").alias("id"))
+
+
+def deletes(ids: DataFrame) -> DataFrame:
+    """Deletes (id, seq) as rows of a log."""
+    nothing = F.lit(None).cast("string")
+    return ids.select("seq", F.lit("delete").alias("kind"), nothing.alias("question"), nothing.alias("answer"), F.lit(None).cast("long").alias("created_at"), "id")
+
+
 def saved_corrections(writes: DataFrame) -> DataFrame:
-    """Corrections after all writes (question, answer, created_at, seq): the last of each normal form, fresh; its version is the number of writes."""
+    """Corrections after writes (question, answer, created_at, seq) alone: the last of each normal form, fresh."""
     keyed = writes.withColumn("normalized", T.normalized(F.col("question")))
     last = F.max_by(F.struct("question", "answer", "created_at"), "seq")
     return keyed.groupBy("normalized").agg(last.alias("x"), F.count("*").alias("writes"), F.min("seq").alias("id")).select("id", "normalized", "x.question", "x.answer", "x.created_at", "writes", F.lit(False).alias("stale"))
@@ -103,23 +154,14 @@ def stale_count(corrections: DataFrame) -> DataFrame:
     return corrections.agg(F.count_if(F.col("stale")).alias("n_stale"))
 
 
-def version(corrections: DataFrame) -> DataFrame:
-    """(version): the number of all writes, 0 before the first."""
-    return corrections.agg(F.coalesce(F.sum("writes"), F.lit(0)).alias("version"))
-
-
-def deleted(corrections: DataFrame, ids: DataFrame) -> DataFrame:
-    return corrections.join(ids.select("id").distinct(), "id", "left_anti")
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
     either = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def best_corrections(questions: DataFrame, corrections: DataFrame, threshold: float = FUZZY_THRESHOLD, fuzzy: bool = True) -> DataFrame:
-    """(qid, id, exact, score): the correction of each question. An equal normal form wins; else the highest word similarity, less if stale, the last id on ties.
+def best_corrections(questions: DataFrame, corrections: DataFrame, threshold: float = FUZZY_THRESHOLD, fuzzy: bool = False) -> DataFrame:
+    """(qid, id, exact, score): the correction of each question. An equal normal form wins; else, if `fuzzy`, the highest word similarity, less if stale, the last id on ties.
 
     The sets of a pair whose similarity reaches the threshold t share a word among the first n - ceil(t n) + 1 of
     each, if both are in one order. Words are ordered from the rarest among the corrections on, so candidates come

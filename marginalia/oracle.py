@@ -135,17 +135,26 @@ dr AS (SELECT doc_id AS section_uid, kind, CASE kind WHEN 'file' THEN 1 WHEN 'vi
   CASE WHEN kind = 'file' THEN greatest(doc_id % 9, 1) END AS line, CASE WHEN kind = 'video' AND doc_id % 2 = 0 THEN doc_id END AS seconds FROM dc)""".replace("LABEL", LABEL.replace("s //", "doc_id //").replace("s >=", "doc_id >=").replace("(s %", "(doc_id %").replace("s %", "doc_id %"))
 
 
+#: The log of corrections, folded one event after the other: `live` is the id of the form's correction after it, `was` before it.
+LOG = f"""WITH RECURSIVE sv AS (SELECT item_id * 10 AS seq, {norm('text')} AS n FROM benchmark UNION ALL SELECT item_id * 10 + 7, {norm('text')} FROM benchmark WHERE item_id % 4 = 0),
+dl AS (SELECT item_id * 10 + k AS seq, CASE WHEN item_id % 14 = 0 THEN -item_id * 10 ELSE item_id * 10 END AS id FROM benchmark, (VALUES (5), (6)) v(k) WHERE item_id % 2 = 0),
+ev AS (SELECT seq, 'save' AS kind, n, NULL::BIGINT AS id FROM sv UNION ALL SELECT dl.seq, 'delete', n, dl.id FROM dl JOIN sv ON sv.seq = dl.id),
+eo AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY seq) AS r FROM ev),
+f AS (SELECT n, r, seq, kind, NULL::BIGINT AS was, CASE WHEN kind = 'save' THEN seq END AS live, false AS hit FROM eo WHERE r = 1
+  UNION ALL SELECT e.n, e.r, e.seq, e.kind, f.live, CASE WHEN e.kind = 'save' THEN coalesce(f.live, e.seq) WHEN e.id = f.live THEN NULL ELSE f.live END, coalesce(e.kind = 'delete' AND e.id = f.live, false) FROM f JOIN eo e ON e.n = f.n AND e.r = f.r + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     lex = f"WITH {SEC}, {QT}, {bm25('lex', FULL)}"
     return {
         "lex_bm25_topk": f"{lex} SELECT qid, uid, score, position FROM lex",
         "lex_all_terms": f"{lex}, {ALL_TERMS} SELECT qid, uid FROM al",
         "q_tokenize_stats": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {tok('text')} AS w FROM documents)",
-        "q_phrase": f"""WITH {SEC}, p AS (SELECT item_id AS qid, {tok('text')}[1:3] AS p FROM benchmark), d AS (SELECT uid, {tok('body')} AS w FROM sec),
+        "q_phrase": f"""WITH {SEC}, p AS (SELECT item_id AS qid, {tok('text')}[1:3] AS p FROM benchmark UNION ALL SELECT item_id + 1000000, {tok('text')} FROM benchmark), d AS (SELECT uid, {tok('body')} AS w FROM sec),
 x AS (SELECT uid, w, unnest(w) AS term, unnest(range(len(w))) AS "at" FROM d) SELECT qid, uid, "at" FROM x JOIN p ON term = p[1] AND w["at" + 1:"at" + len(p)] = p""",
         "q_snippet": f"SELECT doc_id, CASE WHEN length(t) > 240 THEN regexp_replace(substr(t, 1, 240), '{WHITE}+$', '') || '…' ELSE t END AS snippet FROM (SELECT doc_id, {trim('text')} AS t FROM documents)",
         "q_no_answer": f"{lex}, {ALL_TERMS} SELECT item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM al)",
-        "q_stats": f"WITH {COPIES} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '') AS sections, (SELECT count(*) FROM cp) AS relations",
+        "q_stats": f"WITH {COPIES} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '') AS sections, (SELECT count(*) FROM cp) AS relations, 1::BIGINT AS generation",
         "parse_lines": "SELECT doc_id, count(*) AS n_lines, max(n)::BIGINT AS last_line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) WHERE l <> '' GROUP BY doc_id",
         "parse_token_estimate": "SELECT doc_id, round(strlen(text) / 3.6::DOUBLE, 3) AS tokens FROM documents",
         "src_page_sections": rf"""SELECT page_id, regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g') AS heading,
@@ -233,9 +242,12 @@ SELECT conv_id, turn, sha256(answer) AS answer_sha256 FROM conversations LEFT JO
         "prov_rate": """WITH r AS (SELECT event_id % 500 AS id, arg_max(CASE WHEN value > 50 THEN 1 ELSE -1 END, (ts, event_id)) AS n FROM events GROUP BY 1),
 p AS (SELECT coalesce(n, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 END) AS rating FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN r ON doc_id = id) SELECT count(*) AS total, count_if(rating > 0) AS good, count_if(rating < 0) AS bad FROM p""",
         "corr_list": f"WITH c AS (SELECT min(item_id) AS id, max(item_id) AS created_at FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n) SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, (SELECT count_if(id % 3 = 0) FROM c) AS n_stale FROM c",
-        "corr_delete": f"SELECT min(item_id) AS id, n AS normalized FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n HAVING min(item_id) % 2 <> 0",
-        "bench_latency": """WITH m AS (SELECT 'retrieval' AS stage, value AS ms FROM events UNION ALL SELECT 'generation', value * 2 FROM events WHERE event_id % 3 > 0)
-SELECT stage, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.99) AS p99 FROM m WHERE ms IS NOT NULL GROUP BY stage""",
+        "corr_delete": f"{LOG} SELECT l AS id, n AS normalized, arg_max(seq, seq) FILTER (WHERE kind = 'save') AS created_at, count(*) FILTER (WHERE kind = 'save') AS writes FROM (SELECT *, coalesce(live, was) AS l FROM f) GROUP BY n, l HAVING arg_max(kind, seq) FILTER (WHERE kind = 'save' OR hit) = 'save'",
+        "bench_latency": """WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth FROM events) WHERE nth > 1),
+m AS (SELECT event_type AS question, value, event_id FROM w UNION ALL SELECT '', value, event_id FROM w)
+SELECT question, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, max(value) AS max,
+  coalesce(quantile_disc(floor(value / 2), 0.5) FILTER (WHERE event_id % 3 > 0 AND floor(value / 2) > 0), 0) AS ttft_p50, coalesce(quantile_disc(floor(value / 2), 0.99) FILTER (WHERE event_id % 3 > 0 AND floor(value / 2) > 0), 0) AS ttft_p99,
+  round(coalesce(avg((event_id % 50) / (value / 1000)) FILTER (WHERE event_id % 3 > 0 AND value > 0 AND event_id % 50 > 0), 0), 6) AS tokens_per_second FROM m GROUP BY question""",
         "sink_jsonl": """WITH t AS (SELECT *, (conv_id + turn) % 7 = 0 AS b FROM conversations)
 SELECT CASE WHEN NOT b THEN conv_id END AS conv_id, b AS malformed, count(*) AS n, sum(CASE WHEN NOT b THEN turn END)::BIGINT AS turns, sum(CASE WHEN NOT b THEN length(text) END)::BIGINT AS chars FROM t GROUP BY 1, 2""",
         "sink_json_report": f"""WITH {TWO} SELECT combo::BIGINT AS combo, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 9) AS recall_3,
@@ -248,7 +260,7 @@ SELECT qid, rank, 0::BIGINT AS section_id, uid AS section_uid, path, heading AS
         "prov_record": f"""SELECT doc_id AS id, source AS query, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 END::INTEGER AS rating FROM documents LEFT JOIN labels USING (doc_id)
 UNION ALL SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY qid), question, NULL FROM ({ASKED})""",
         "corr_stale_count": f"SELECT count_if(id % 3 = 0) AS n_stale FROM (SELECT min(item_id) AS id FROM (SELECT item_id, {norm('text')} AS n FROM benchmark) GROUP BY n)",
-        "corr_version": "SELECT count(*) AS version FROM benchmark",
+        "corr_version": f"{LOG} SELECT count(*) FILTER (WHERE kind = 'save' OR hit) AS version FROM f",
         "src_desktop_entries": """SELECT 'app' || c_custkey AS app_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Shared ' || c_custkey END AS app_name, CASE WHEN c_custkey % 2 = 0 THEN 'own %U' ELSE 'shared %U' END AS exec
 FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 <> 0 ELSE c_custkey % 3 <> 0 END""",
         "src_path_absolutise": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/else/' ELSE '/vault/notes/' END || page_id AS path FROM pages",
@@ -275,7 +287,13 @@ q AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id
         "st_history": """WITH k AS (SELECT * FROM (SELECT event_id, user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM events) WHERE l IS NULL OR l <> event_type)
 SELECT event_id, user_id, age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM k) WHERE age <= 100""",
         "st_status": f"SELECT event_type, count(*) AS n, {time_text('max(ts)')} AS last_ts, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY event_type",
-        "st_token_batch": f"SELECT user_id, {time_text('t')} AS tick, count(*) AS n, string_agg(event_type, '' ORDER BY ts, event_id) AS text FROM (SELECT *, time_bucket(INTERVAL 10 MINUTES, ts, TIMESTAMP '1970-01-01') AS t FROM events) GROUP BY user_id, t",
+        "st_token_batch": f"""WITH RECURSIVE e AS (SELECT user_id, ts, CASE WHEN event_type <> 'error' THEN event_type END AS x, hour(ts)::VARCHAR AS q, epoch_us(ts) // 10800000000 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+z AS (SELECT user_id, 0 AS r, NULL::VARCHAR AS cq, NULL::BIGINT AS ck, NULL::TIMESTAMP AS st, '' AS t, 0::BIGINT AS n, NULL::STRUCT(q VARCHAR, s TIMESTAMP, n BIGINT, t VARCHAR) AS a, NULL::STRUCT(q VARCHAR, s TIMESTAMP, n BIGINT, t VARCHAR) AS b FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, r, CASE WHEN x IS NULL THEN cq ELSE q END, k, CASE WHEN m = 0 THEN ts ELSE st END, CASE WHEN x IS NULL OR full_ THEN '' ELSE w END, CASE WHEN x IS NULL OR full_ THEN 0 ELSE m + 1 END,
+    CASE WHEN n > 0 AND (ck <> k OR x IS NULL) THEN {{'q': cq, 's': st, 'n': n, 't': t}} END, CASE WHEN full_ THEN {{'q': q, 's': CASE WHEN m = 0 THEN ts ELSE st END, 'n': m + 1, 't': w}} END
+  FROM (SELECT *, x IS NOT NULL AND strlen(w) >= 24 AS full_ FROM (SELECT *, CASE WHEN m > 0 THEN t ELSE '' END || coalesce(x, '') AS w FROM (SELECT e.*, z.cq, z.ck, z.st, z.t, z.n, CASE WHEN z.ck = e.k AND z.cq = e.q AND e.x IS NOT NULL THEN z.n ELSE 0 END AS m FROM z JOIN e ON e.user_id = z.user_id AND e.r = z.r + 1)))),
+l AS (SELECT user_id, a AS v FROM z UNION ALL SELECT user_id, b FROM z UNION ALL SELECT user_id, {{'q': cq, 's': st, 'n': n, 't': t}} FROM z JOIN (SELECT user_id, max(r) AS r FROM e GROUP BY user_id) USING (user_id, r) WHERE n > 0)
+SELECT user_id, v.q AS query_id, strftime(v.s, '%Y-%m-%d %H:%M:%S.%f') AS started, v.n AS n, v.t AS text FROM l WHERE v IS NOT NULL""",
         "st_generation_poll": "SELECT event_id, g AS generation FROM (SELECT event_id, g, lag(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM (SELECT *, (props->>'$.k')::BIGINT AS g FROM events)) WHERE l IS NULL OR l <> g",
         "vec_topk": f"""WITH u AS (SELECT vec_id, {unit(COSINE)} AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS uid, round(list_dot_product(a.v, b.v), 5) AS score FROM u a, u b WHERE a.vec_id % {QUERY_EVERY} = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM s) WHERE position < 30""",

@@ -30,14 +30,24 @@ def documents(s, d):
 
 def _index(s, d, columns=("heading", "body")):
     """The index of the documents, which all questions of a session share."""
-    weights = {c: w for c, w in job.column_weights(sections(s, d), Search()).items() if c in columns}
-    return index.current(table(s, d, "documents"), sections(s, d), weights, shared_folder(s))
+    rows = tables.document_sections(documents(s, d))
+    weights = {c: w for c, w in job.column_weights(rows, Search()).items() if c in columns}
+    return index.current(table(s, d, "documents"), rows, weights, shared_folder(s), derived=lambda _: copies(s, d).withColumn("owner", F.lit(None).cast("long")))
 
 
 def sections(s, d):
     """Documents as sections with the status that their labels give."""
+    return _labelled(s, d, documents(s, d))
+
+
+def _labelled(s, d, docs):
     labels = table(s, d, "labels").select(F.col("doc_id").alias("section_uid"), tables.status_of().alias("status"))
-    return tables.document_sections(documents(s, d)).join(labels, "section_uid", "left")
+    return tables.document_sections(docs).join(labels, "section_uid", "left")
+
+
+def looked_at(s, d):
+    """The sections for jobs that read few of them, where they lie."""
+    return _labelled(s, d, table(s, d, "documents"))
 
 
 def questions(s, d):
@@ -70,8 +80,9 @@ def stream(s, d):
     return table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def results(s, d):
-    return job.retrieve(sections(s, d), copies(s, d), questions(s, d), index=_index(s, d))
+def results(s, d, body=False):
+    index_ = _index(s, d)
+    return job.retrieve(looked_at(s, d), index_.steps, questions(s, d), index=index_, body=body)
 
 
 def corrections(s, d):
@@ -79,6 +90,17 @@ def corrections(s, d):
     return memory.saved_corrections(writes)
 
 
+def corrections_log(s, d):
+    """Items are saved; every second one is deleted, twice, and half of those are saved again. A delete may name an id that never was."""
+    at = F.col("qid") * 10
+    rows = questions(s, d).select("qid", "question", at.alias("seq"))
+    write = lambda rows: memory.saves(rows.select("question", F.col("question").alias("answer"), F.col("seq").alias("created_at"), "seq"))
+    even = rows.filter("qid % 2 = 0").withColumn("id", F.when(F.col("qid") % 14 == 0, -F.col("seq")).otherwise(F.col("seq")))
+    gone = even.select("id", F.explode(F.array(F.col("seq") + 5, F.col("seq") + 6)).alias("seq"))
+    again = rows.filter("qid % 4 = 0").withColumn("seq", F.col("seq") + 7)
+    return memory.corrections_log(write(rows).unionByName(memory.deletes(gone)).unionByName(write(again)))
+
+
 def utc(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
 
@@ -97,8 +119,10 @@ def q_tokenize_stats(s, d):
 
 
 def q_phrase(s, d):
-    first = questions(s, d).select("qid", F.array_join(F.slice(T.tokens(F.col("question")), 1, 3), " ").alias("phrase"))
-    return lexical.phrase(sections(s, d), first).select("qid", "uid", F.col("at").cast("long").alias("at"))
+    """The beginnings of items of three tokens, and whole items."""
+    first = F.array_join(F.slice(T.tokens(F.col("question")), 1, 3), " ")
+    every = questions(s, d).select(F.explode(F.array(F.struct("qid", first.alias("phrase")), F.struct((F.col("qid") + 1_000_000).alias("qid"), F.col("question").alias("phrase")))).alias("x")).select("x.*")
+    return lexical.phrase(sections(s, d), every).select("qid", "uid", F.col("at").cast("long").alias("at"))
 
 
 def q_snippet(s, d):
@@ -110,10 +134,8 @@ def q_no_answer(s, d):
 
 
 def q_stats(s, d):
-    docs = documents(s, d).agg(F.count("*").alias("documents"))
-    secs = tables.line_sections(documents(s, d)).agg(F.count("*").alias("sections"))
-    rels = copies(s, d).agg(F.count("*").alias("relations"))
-    return docs.crossJoin(secs).crossJoin(rels)
+    """Counts of the index and its generation."""
+    return index.counts(_index(s, d), table(s, d, "documents"), tables.line_sections(documents(s, d)))
 
 
 def parse_lines(s, d):
@@ -222,7 +244,7 @@ def rank_rrf_sum(s, d):
 
 def boost_context(s, d):
     contexts = questions(s, d).select("qid", F.lit("example").alias("app"), F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("cwd"))
-    rows = results(s, d).withColumn("title", F.col("heading")).withColumn("heading_path", F.col("path"))
+    rows = results(s, d, body=True).withColumn("title", F.col("heading")).withColumn("heading_path", F.col("path"))
     return context.boosted(rows, contexts).select("qid", "uid", F.col("rank").cast("long").alias("rank"), "active_app", "current_project")
 
 
@@ -232,7 +254,7 @@ def ctx_informal_name(s, d):
 
 def _blocks(s, d):
     body = pack.cut(pack.sanitised(F.col("body")))
-    return results(s, d).withColumn("block", pack.block(F.col("rank"), F.col("path"), F.col("heading"), F.lit(1), body))
+    return results(s, d, body=True).withColumn("block", pack.block(F.col("rank"), F.col("path"), F.col("heading"), F.lit(1), body))
 
 
 def pack_greedy(s, d):
@@ -252,12 +274,12 @@ def q_gate(s, d):
 def q_section_lookup(s, d):
     """The sections of listed uids in the order of the list."""
     wanted = questions(s, d).select("qid", F.array(F.col("qid") % 7, F.lit(-1).cast("long"), F.col("qid") % 5, F.col("qid") % 7).alias("uids"))
-    return job.looked_up(wanted, sections(s, d)).select("qid", F.col("place").cast("long").alias("place"), "uid", "heading")
+    return job.looked_up(wanted, looked_at(s, d)).select("qid", F.col("place").cast("long").alias("place"), "uid", "heading")
 
 
 def pack_correction(s, d):
     """The best correction of a question before the question of its prompt."""
-    best = memory.best_corrections(questions(s, d), corrections(s, d)).join(corrections(s, d).select("id", "answer", "stale"), "id")
+    best = memory.best_corrections(questions(s, d), corrections(s, d), fuzzy=True).join(corrections(s, d).select("id", "answer", "stale"), "id")
     plain = questions(s, d).select("qid", F.concat(F.lit("Question: none\n"), F.lit("Question: "), "question").alias("prompt"))
     rows = plain.join(best, "qid", "left").withColumn("block", F.coalesce(memory.correction_block(F.col("answer"), F.col("stale")), F.lit("")))
     return rows.select("qid", F.sha2(pack.with_correction(F.col("prompt"), F.col("block")), 256).alias("prompt_sha256"))
@@ -281,12 +303,14 @@ def corr_list(s, d):
 
 
 def corr_delete(s, d):
-    return memory.deleted(corrections(s, d), questions(s, d).filter("qid % 2 = 0").select(F.col("qid").alias("id"))).select("id", "normalized")
+    return memory.standing(corrections_log(s, d)).select("id", "normalized", "created_at", "writes")
 
 
 def bench_latency(s, d):
-    rows = stream(s, d).select(F.col("value").alias("retrieval"), F.when(F.col("event_id") % 3 > 0, F.col("value") * 2).alias("generation"))
-    return bench.latency(rows, {"p50": 0.5, "p99": 0.99}, ["retrieval", "generation"])
+    """Events as runs of the question of their type; some don't reach generation."""
+    reached = F.col("event_id") % 3 > 0
+    runs = stream(s, d).select(F.col("event_type").alias("question"), F.struct("ts", "event_id").alias("run"), F.col("value").alias("total_ms"), F.when(reached, F.floor(F.col("value") / 2)).otherwise(0).cast("double").alias("ttft_ms"), F.when(reached, F.col("value")).otherwise(0.0).alias("generation_ms"), (F.col("event_id") % 50).alias("output_tokens"))
+    return bench.latency(runs).withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
 def cache_key(s, d):
@@ -325,7 +349,7 @@ def corr_save(s, d):
 def corr_jaccard_best(s, d):
     """The benchmark items are the corrections, and asked again; so are the user turns."""
     every = questions(s, d).union(asked(s, d).select(F.col("qid") + 1_000_000, "question"))
-    return memory.best_corrections(every, corrections(s, d), 0.2)
+    return memory.best_corrections(every, corrections(s, d), 0.2, fuzzy=True)
 
 
 def corr_staleness(s, d):
@@ -440,8 +464,9 @@ def st_status(s, d):
 
 
 def st_token_batch(s, d):
-    rows = stream(s, d).withColumn("text", F.col("event_type"))
-    return st.token_batches(rows, ["user_id"], "10 minutes").select("user_id", utc("tick"), "n", "text")
+    """Events as tokens of the query of their hour; errors are other events, and ticks come every three hours."""
+    rows = stream(s, d).withColumn("text", F.when(F.col("event_type") != "error", F.col("event_type"))).withColumn("query_id", F.hour("ts").cast("string"))
+    return st.token_batches(rows, "user_id", 3 * 3_600_000).select("user_id", "query_id", utc("started"), "n", "text")
 
 
 def st_path_filter(s, d):
@@ -531,7 +556,7 @@ def sink_bench_export(s, d):
 
 
 def q_source_refs(s, d):
-    rows = results(s, d).withColumn("heading_path", F.col("heading")).withColumn("start_line", F.lit(1).cast("long"))
+    rows = results(s, d, body=True).withColumn("heading_path", F.col("heading")).withColumn("start_line", F.lit(1).cast("long"))
     return fuse.source_refs(rows).withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
 
 
@@ -551,7 +576,7 @@ def corr_stale_count(s, d):
 
 
 def corr_version(s, d):
-    return memory.version(corrections(s, d))
+    return memory.version(corrections_log(s, d))
 
 
 def src_desktop_entries(s, d):

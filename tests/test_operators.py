@@ -1,6 +1,7 @@
 """Ranking, context, packing, actions, memory, benchmark and stream operators on small cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,11 +83,13 @@ def test_index_follows_changes(spark, tmp_path, monkeypatch):
     assert index.latest(spark, folder) is None
     index.build(make(before), weights, folder)
     assert index.update(make(before), weights, folder)[0] == 1
-    rows = lambda i: [sorted(map(tuple, x.collect()), key=repr) for x in (i.postings.select("uid", "term", "dl", "tf"), i.keys.select("key", "term"), i.stats, i.rows)]
-    seen, postings = [], lexical.postings
-    monkeypatch.setattr(lexical, "postings", lambda s, *a: seen.append(sorted(r.section_uid for r in s.collect())) or postings(s, *a))
+    rows = lambda i: [sorted(map(tuple, x.collect()), key=repr) for x in (i.postings.select("uid", "term", "dl", "tf"), i.keys.select("key", "term"), i.stats, i.rows.select("uid", "content_hash"))]
+    seen, tokenized = [], lexical.tokenized
+    monkeypatch.setattr(lexical, "tokenized", lambda s, *a: seen.append(sorted(r.section_uid for r in s.collect())) or tokenized(s, *a))
     number, updated = index.update(make(after), weights, folder)
     assert number == 2 and seen == [["b", "d"]]
+    slots = [(r.blk, r.slot) for r in updated.blocks.select("blk", F.inline("posts")).select("blk", "slot", "uid").distinct().collect()]
+    assert len(slots) == len(set(slots)) == 3 and updated.blocks.filter(F.bit_count("mask") != F.size("posts")).isEmpty()
     assert rows(updated) == rows(index.build(make(after), weights, str(tmp_path / "other"))) == rows(index.latest(spark, folder)[1])
     monkeypatch.setattr(lexical, "prefix_keys", lambda _: 1 / 0)
     with pytest.raises(ZeroDivisionError):
@@ -185,7 +188,7 @@ def test_actions(spark):
 def test_memory(spark):
     corrections = spark.createDataFrame([(1, "q", "deploy container image", False), (2, "q", "deploy rsync", True)], "id long, question string, normalized string, stale boolean")
     q = spark.createDataFrame([(1, "how do I deploy container image"), (2, "deploy image container now"), (3, "unrelated words")], "qid long, question string")
-    best = {r.qid: (r.id, r.exact) for r in memory.best_corrections(q, corrections, 0.4).collect()}
+    best = {r.qid: (r.id, r.exact) for r in memory.best_corrections(q, corrections, 0.4, fuzzy=True).collect()}
     assert best == {1: (1, True), 2: (1, False)}
     sources = spark.createDataFrame([(1, "a", "v1"), (2, "b", "v1")], "correction_id long, section_uid string, content_hash string")
     for hash_, expected in (("v1", {1: False, 2: True}), ("v2", {1: True, 2: True})):
@@ -316,7 +319,7 @@ def test_large_corrections_and_numbers(spark):
                     best.append((a == t, score, k))
             if best:
                 expected[i] = max(best)[2]
-        assert {x.qid: x.id for x in memory.best_corrections(q, c, threshold).collect()} == expected
+        assert {x.qid: x.id for x in memory.best_corrections(q, c, threshold, fuzzy=True).collect()} == expected
     rows = spark.createDataFrame([(i % 3, float(i * 7 % 100)) for i in range(200)] + [(None, 5.0), (1, None)], "kind int, v double")
     out = {x.kind: (x.p50, x.p99) for x in bench.percentiles(rows, "v", {"p50": 0.5, "p99": 0.99}, ["kind"]).collect()}
     for kind in (0, 1, 2):
@@ -366,8 +369,140 @@ def test_records_and_counts(spark):
     new = spark.createDataFrame([("b", ["s"], None, 2), ("a", [], "m", 1)], "query string, section_uids array<string>, model string, seq long")
     assert sorted((r.id, r.query, r.rating) for r in memory.recorded(before, new).collect()) == [(7, "old", 1), (8, "a", None), (9, "b", None)]
     assert sorted(r.id for r in memory.recorded(before.filter("id < 0"), new).collect()) == [1, 2] and memory.recorded(before, new.filter("seq < 0")).count() == 1
-    none = spark.createDataFrame([], "writes long, stale boolean")
-    assert memory.version(none).first().version == 0 and memory.stale_count(none).first().n_stale == 0
+    none = spark.createDataFrame([], "stale boolean")
+    assert memory.stale_count(none).first().n_stale == 0
     known = spark.createDataFrame([("u", "file"), ("u", "url")], "section_uid string, kind string")
     asks = spark.createDataFrame([(1, ["u", "u", "v"]), (2, [])], "qid long, uids array<string>")
     assert sorted(r.kind for r in actions.looked_up(asks, known).collect()) == ["file", "url"]
+
+
+def _topics(seed, n):
+    """Rows of frequent words, and of words of a topic that a dozen rows share."""
+    r = random.Random(seed)
+    return [(i, " ".join([f"w{int(r.paretovariate(0.8)) % 50}" for _ in range(r.randint(0, 40))] + [f"t{i // 12}x{r.randint(0, 3)}" for _ in range(4)])) for i in range(n)]
+
+
+def test_block_maxima_give_the_same_rows_and_skip_blocks(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame(_topics(1, 4000), "section_uid long, body string")
+    built = index.build(rows, {"body": 1.0}, str(tmp_path / "index"))
+    r = random.Random(2)
+    asked = [(q, f"w1 w{r.randint(2, 49)} t{(t := r.randint(0, 330))}x0 t{t}x1 t{t}x" if q % 4 else r.choice(["w1", "nowhere", "w2 w3 w", "t5x1"])) for q in range(40)]
+    terms = lexical.query_terms(spark.createDataFrame(asked, "qid long, question string"))
+    read, scored = [], lexical.scored
+    monkeypatch.setattr(lexical, "scored", lambda b, s, chosen, *a: read.append(chosen.count()) or scored(b, s, chosen, *a))
+    monkeypatch.setattr(lexical, "QUESTIONS", 15)
+    for keys in (None, built.keys):
+        read.clear()
+        every = lexical.bm25(built.postings, built.stats, terms, keys=keys)
+        expected = lexical.top_k(every, 10).collect()
+        got = lexical.best(built.blocks, built.stats, terms, 10, keys=keys, first=4).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len(got) > 200
+        total = 40 * built.blocks.select("blk").distinct().count()
+        assert len(read) == 2 and read[0] <= 160 and sum(read) < 0.7 * total
+        print(f"{sum(read)} of {total} blocks")
+
+
+def test_a_frequent_term_lies_in_many_ranges(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    monkeypatch.setattr(index, "discard", lambda *tables: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rows = spark.createDataFrame([(i, "the same " + ("rare" if i % 500 == 0 else "")) for i in range(20_000)], "section_uid long, body string")
+    built = index.build(rows, {"body": 1.0}, str(tmp_path / "index"))
+    files = built.blocks.filter("term = 'the'").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()
+    assert len(files) > 1 and max(f.n for f in files) < 0.8 * sum(f.n for f in files)
+    assert built.blocks.agg(F.max(F.size("posts"))).first()[0] <= lexical.BLOCK
+
+
+def test_graph_of_a_generation(spark, tmp_path):
+    """Edges are made anew for changed sections only; a build that fails keeps the snapshot before."""
+    folder, weights = str(tmp_path / "index"), {"body": 1.0}
+    make = lambda rows: spark.createDataFrame(rows, "section_uid string, body string, parent_uid string")
+    seen = []
+
+    def links(rows):
+        seen.append(sorted(r.section_uid for r in rows.collect()))
+        return vault.edges(rows).withColumn("owner", F.col("src"))
+
+    edges = lambda i: sorted((e.src, e.dst) for e in i.edges.collect())
+    first = index.build(make([("a", "see [[b]]", None), ("b", "see [[c]]", "a"), ("c", "", None)]), weights, folder, links=links)
+    assert edges(first) == [("a", "b"), ("b", "a"), ("b", "c")] and first.graph_generation == 1
+    after = [("a", "see [[b]]", None), ("b", "see [[d]]", "a"), ("d", "see [[a]]", None)]
+    number, second = index.update(make(after), weights, folder, links=links)
+    assert number == 2 and seen[1] == ["b", "d"] and edges(second) == [("a", "b"), ("b", "a"), ("b", "d"), ("d", "a")]
+    assert {r.node: r.degree for r in second.degrees.collect()} == {"a": 3, "b": 3, "d": 2}
+    number, third = index.update(make([*after, ("e", "see [[a]]", None)]), weights, folder, links=lambda _: 1 / 0)
+    assert number == 3 and third.generation == 3 and third.graph_generation == 2 and edges(third) == edges(second)
+    assert third.rows.count() == 4 and edges(index.latest(spark, folder)[1]) == edges(second)
+    number, fourth = index.update(make(after), weights, folder, links=links)
+    assert seen[-1] == ["a", "b", "d"] and fourth.graph_generation == 4 and edges(fourth) == edges(second)
+
+
+def test_hubs_are_dealt_by_salts(spark, monkeypatch):
+    rows = [("hub", f"n{i}", "related") for i in range(3000)] + [(f"n{i}", f"n{i + 1}", "link") for i in range(50)] + [("x", "hub", "parent")]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string")
+    roots = spark.createDataFrame([(q, n, 1.0) for q, n in ((1, "hub"), (2, "x"), (3, "n7"), (4, "gone"))], "qid long, node string, score double")
+    plain = sorted(map(repr, graph.expand(roots, edges).collect()))
+    ranks = {r.node: round(r["rank"], 12) for r in graph.pagerank(edges, 3).collect()}
+    monkeypatch.setattr(graph, "HUB", 100)
+    steps = graph.dealt(graph.both_ways(edges))
+    assert [tuple(h) for h in steps.hubs.collect()] == [("hub", 31)]
+    assert steps.rows.filter("at = 'hub'").groupBy("salt").count().agg(F.max("count")).first()[0] < 200
+    assert sorted(map(repr, graph.expand(roots, edges).collect())) == sorted(map(repr, graph.expand(roots, steps).collect())) == plain
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, graph.expand(roots, edges).collect())) == plain
+    assert {r.node: round(r["rank"], 12) for r in graph.pagerank(edges, 3).collect()} == ranks
+
+
+def test_bodies_of_other_sections_are_not_shuffled(spark, tmp_path):
+    rows = [row(f"s{i}", f"t{i}", f"alpha w{i} beta w{i % 7}") for i in range(200)]
+    sections(spark, rows).write.parquet(str(tmp_path / "sections"))
+    stored = spark.read.parquet(str(tmp_path / "sections"))
+    built = index.build(stored, {"body": 1.0}, str(tmp_path / "index"))
+    questions = spark.createDataFrame([(1, "alpha w5")], "qid long, question string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = job.retrieve(stored, None, questions, index=built)
+        assert out.count() == 20 and out.filter("body IS NULL").isEmpty()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        read = plan[plan.index("LeftSemi, BuildRight") :].split("BroadcastExchange")[0]  # from the semi join down to the scan of the sections
+        assert plan.count("FileScan") <= 8 and "body" in read and "FileScan" in read and "Exchange" not in read
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_phrases_of_many_tokens(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcde") for _ in range(r.randint(0, 40)))) for i in range(60)]
+    asked = [(q, " ".join(r.choice("abcde") for _ in range(r.randint(0, 4)))) for q in range(30)] + [(90, "never a"), (91, "a")]
+    got = lexical.phrase(spark.createDataFrame(rows, "section_uid long, body string"), spark.createDataFrame(asked, "qid long, phrase string"))
+    want = [(q, i, at) for q, p in asked for i, b in rows for at in range(len(b.split())) if p.split() and b.split()[at : at + len(p.split())] == p.split()]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
+def test_corrections_are_folded_from_a_log(spark):
+    """The version rises by one for each save and each delete that hits."""
+
+    def after(*events):
+        log = spark.createDataFrame([(k, kind, *((x, f"answer {k}", k, None) if kind == "save" else (None, None, None, x))) for k, (kind, x) in enumerate(events, 1)], "seq long, kind string, question string, answer string, created_at long, id long")
+        log = memory.corrections_log(log)
+        return memory.version(log).first().version, sorted((r.id, r.normalized, r.answer, r.writes) for r in memory.standing(log).collect())
+
+    assert after() == (0, [])
+    assert after(("save", "deploy")) == (1, [(1, "deploy", "answer 1", 1)])
+    two = [("save", "Deploy!"), ("save", "backup")]
+    assert after(*two) == (2, [(1, "deploy", "answer 1", 1), (2, "backup", "answer 2", 1)])
+    assert after(*two, ("delete", 1)) == (3, [(2, "backup", "answer 2", 1)])
+    assert after(*two, ("delete", 1), ("delete", 1), ("delete", 77)) == (3, [(2, "backup", "answer 2", 1)])
+    assert after(*two, ("save", "deploy")) == (3, [(1, "deploy", "answer 3", 2), (2, "backup", "answer 2", 1)])
+    again = [*two, ("delete", 1), ("save", "deploy"), ("delete", 1)]
+    assert after(*again) == (4, [(2, "backup", "answer 2", 1), (4, "deploy", "answer 4", 1)])
+    assert after(*again, ("delete", 4)) == (5, [(2, "backup", "answer 2", 1)])
+    # A save that replaced another made no correction, so a delete of it misses, and so does that of a later one.
+    assert after(("save", "deploy"), ("save", "deploy"), ("delete", 2), ("save", "deploy"), ("delete", 4)) == (3, [(1, "deploy", "answer 4", 3)])
+    assert after(("save", "deploy"), ("save", "deploy"), ("delete", 2), ("save", "deploy"), ("delete", 1)) == (4, [])
+
+
+def test_latency(spark):
+    runs = [("a", 0, 900.0, 9.0, 9.0, 9), ("a", 1, 10.0, 2.0, 100.0, 20), ("a", 2, 30.0, 0.0, 100.0, 0), ("a", 3, 20.0, 4.0, 0.0, 7), ("b", 0, 1.0, 1.0, 1.0, 1)]
+    out = {r.question: tuple(r)[1:] for r in bench.latency(spark.createDataFrame(runs, "question string, run long, total_ms double, ttft_ms double, generation_ms double, output_tokens long")).collect()}
+    assert out == {"a": (3, 20.0, 30.0, 30.0, 2.0, 4.0, 200.0), "": (3, 20.0, 30.0, 30.0, 2.0, 4.0, 200.0)}
