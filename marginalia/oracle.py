@@ -263,6 +263,9 @@ UNION ALL SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER
         "corr_version": f"{LOG} SELECT count(*) FILTER (WHERE kind = 'save' OR hit) AS version FROM f",
         "src_desktop_entries": """SELECT 'app' || c_custkey AS app_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Shared ' || c_custkey END AS app_name, CASE WHEN c_custkey % 2 = 0 THEN 'own %U' ELSE 'shared %U' END AS exec
 FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 <> 0 ELSE c_custkey % 3 <> 0 END""",
+        "src_vault_scan": """WITH k AS (SELECT doc_id // 50 AS k, count(*) AS n FROM documents GROUP BY 1)
+SELECT 1::BIGINT AS scan, count(*) AS indexed, 0::BIGINT AS unchanged, 0::BIGINT AS removed, 0::BIGINT AS failed, sum(n)::BIGINT AS sections FROM k
+UNION ALL SELECT 2, count(*) FILTER (WHERE k % 4 = 0), count(*) FILTER (WHERE k % 4 = 1 OR k % 4 = 3 AND k <> 3), count(*) FILTER (WHERE k % 4 = 2), 1, (sum(n + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END) FILTER (WHERE k % 4 <> 2))::BIGINT FROM k""",
         "src_path_absolutise": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/else/' ELSE '/vault/notes/' END || page_id AS path FROM pages",
         "pack_merge_adjacent": f"""WITH {FOUND_LINES}, r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS run FROM ln)
 SELECT doc_id AS qid, min(n) AS first, count(*) AS n, -max(n) AS rank, sha256(string_agg(l, chr(10) || chr(10) ORDER BY r.n)) AS body_sha256 FROM r GROUP BY doc_id, run""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.config import Search
 from marginalia.functions import text as T
 from marginalia.jobs import index
+from marginalia.jobs import notes as notes_job
 from marginalia.jobs import retrieve as job
 from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
 from marginalia.sources import lines, tables, vault
@@ -588,6 +589,43 @@ def src_desktop_entries(s, d):
     return vault.desktop_entries(own.union(shared))
 
 
+def _write_notes(s, rows, root):
+    """Rows (note, part, text) as files of the root that are named by their notes; a file that is there is replaced."""
+    path, temporary = s._jvm.org.apache.hadoop.fs.Path, _path(s, "files")
+    rows.repartition("note").sortWithinPartitions("note", "part").select("note", "text").write.partitionBy("note").text(temporary)
+    fs = path(root).getFileSystem(s._jsc.hadoopConfiguration())
+    fs.mkdirs(path(root))
+    for folder in fs.listStatus(path(temporary)):
+        if folder.isDirectory():
+            name = folder.getPath().getName().split("=", 1)[1]
+            parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            fs.delete(path(f"{root}/{name}.md"), False)
+            fs.rename(parts[0], path(f"{root}/{name}.md"))
+    fs.delete(path(temporary), True)
+    return fs, path
+
+
+def src_vault_scan(s, d):
+    """Notes of fifty documents each are scanned; then some get a section, some are written again as they were, some go, and one breaks."""
+    root, store = _path(s, "vault"), _path(s, "notes")
+    docs = documents(s, d).withColumn("k", F.floor(F.col("doc_id") / 50)).withColumn("note", F.concat_ws("-", F.lit("n"), "k"))
+    text = F.concat(F.lit("# Document {#d"), "doc_id", F.lit("}\n\n"), F.regexp_replace("text", r"[#`\r]", " "), F.lit("\n"))
+    rows = docs.select("note", "k", F.col("doc_id").alias("part"), text.alias("text"))
+    _write_notes(s, rows, root)
+    notes, first = notes_job.scan(s, root, store)
+    out = [first.withColumn("scan", F.lit(1)).crossJoin(F.broadcast(notes.sections.agg(F.count("*").alias("sections"))))]
+    more = rows.filter("k % 4 = 0").groupBy("note").agg(F.lit(1 << 40).alias("part"), F.lit("# Added {#added}\n\nmore\n").alias("text"))
+    fs, path = _write_notes(s, rows.filter("k % 4 < 2").select("note", "part", "text").unionByName(more.select("note", "part", "text")), root)
+    for row in rows.filter("k % 4 = 2").select("note").distinct().collect():  # one for two hundred documents
+        fs.delete(path(f"{root}/{row.note}.md"), False)
+    broken = fs.create(path(f"{root}/n-3.md"), True)
+    broken.write(bytearray(b"# Broken\n\n\xff\xfe\n"))
+    broken.close()
+    notes, second = notes_job.scan(s, root, store)
+    out.append(second.withColumn("scan", F.lit(2)).crossJoin(F.broadcast(notes.sections.agg(F.count("*").alias("sections")))))
+    return out[0].union(out[1]).select(F.col("scan").cast("long").alias("scan"), "indexed", "unchanged", "removed", "failed", "sections")
+
+
 def src_path_absolutise(s, d):
     paths = F.concat(F.when(F.col("page_id") % 3 == 0, "/else/").otherwise("notes/"), "page_id")
     return table(s, d, "pages").select("page_id", vault.absolute(paths, "/vault/").alias("path"))
@@ -625,5 +663,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         gen_think_filter ctx_alias ctx_app_in_query ctx_bucket g_unresolved_contradictions g_neighbourhood parse_edges parse_actions
         parse_note_sections src_glob_count vec_queue q_gate q_section_lookup pack_correction cache_get prov_rate corr_list corr_delete
         bench_latency sink_jsonl sink_json_report sink_bench_export q_source_refs q_actions_lookup prov_record corr_stale_count corr_version
-        src_desktop_entries src_path_absolutise pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
+        src_desktop_entries src_path_absolutise src_vault_scan pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
     return {name: globals()[name] for name in names.split()}

@@ -147,10 +147,15 @@ def subchunks(rows: DataFrame, most: int = 700, size: int = 450, overlap: int =
     return rows.select("section_uid", F.coalesce("body", F.lit("")).alias("body")).mapInPandas(run, "section_uid string, chunk int, body string")
 
 
+def below(path: Column, root: str) -> Column:
+    """The part of a file's path below a root, which may be given with or without a scheme."""
+    return F.regexp_replace(path, r"^.*?" + re.escape(root.rstrip("/").split(":")[-1].lstrip("/")) + "/", "")
+
+
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the Markdown files below a folder, paths relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
-    return files.select(F.regexp_replace("path", r"^.*?" + re.escape(folder.rstrip("/").split(":")[-1].lstrip("/")) + "/", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(below(F.col("path"), folder).alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def absolute(path, root: str):

@@ -3,6 +3,7 @@
 import pytest
 
 from marginalia.config import Search, sweep, with_override
+from marginalia.jobs import notes
 from marginalia.jobs import retrieve as job
 from marginalia.operators import bench, graph
 from marginalia.sources import vault
@@ -76,3 +77,47 @@ def test_unsearchable(frozen, spark):
     sections, edges, _ = frozen
     for text in ("", "   ", "--", '""""', "how do I"):
         assert job.retrieve(sections, edges, spark.createDataFrame([(1, text)], "qid long, question string")).count() == 0
+
+
+def test_scan_follows_a_folder(spark, tmp_path):
+    """Sizes and times are looked at before hashes; a broken file is a row, and a failed scan leaves the notes before."""
+    root, store = tmp_path / "vault", str(tmp_path / "store")
+    (root / "deep").mkdir(parents=True)
+    write = lambda name, text: (root / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    for name, text in NOTES.items():
+        write(name, text)
+    write("deep/x.md", "# X {#x}\n\nalpha")
+    write("deep/skipped.md", "# S")
+    write("other.txt", "no note")
+    scan = lambda: notes.scan(spark, str(root), store, exclude=["**/skipped.md"])
+    uids = lambda n: sorted(r.section_uid for r in n.sections.collect())
+    at, summary = scan()
+    assert tuple(summary.first()) == (7, 0, 0, 0) and len(uids(at)) == 11 and at.generation == 1
+    assert {r.path for r in at.files.collect()} == {*NOTES, "deep/x.md"}
+    at, summary = scan()
+    assert tuple(summary.first()) == (0, 7, 0, 0) and len(uids(at)) == 11
+    kept = {r.bucket: r.version for r in at.versions.collect()}
+    write("wireguard.md", b"# Raw \xff\xfe")
+    write("deep/x.md", "# X {#x}\n\nbeta\n# Y {#y}\n\ngamma")
+    write("pg-backup.md", NOTES["pg-backup.md"])
+    (root / "deploy-rsync.md").unlink()
+    write("new.md", "# New {#n}\n\ndelta")
+    at, summary = scan()
+    assert tuple(summary.first()) == (2, 4, 1, 1) and at.generation == 3
+    assert "x#y" in uids(at) and "new#n" in uids(at) and "deploy-rsync#root" not in uids(at) and "wireguard#root" in uids(at)
+    assert [(r.path, r.failed) for r in at.files.filter("failed IS NOT NULL").collect()] == [("wireguard.md", "it is no UTF-8")]
+    now = {r.bucket: r.version for r in at.versions.collect()}
+    assert sum(now[b] == kept[b] for b in now if b in kept) >= len(kept) - 3
+    write("wireguard.md", NOTES["wireguard.md"])
+    at, summary = scan()
+    assert tuple(summary.first()) == (0, 7, 0, 0) and at.files.filter("failed IS NOT NULL").isEmpty()
+    write("new.md", "# New {#n}\n\nepsilon")
+    parse = vault.sections
+    try:
+        vault.sections = lambda rows: 1 / 0
+        with pytest.raises(ZeroDivisionError):
+            scan()
+    finally:
+        vault.sections = parse
+    assert notes.latest(spark, store).generation == 4 and uids(notes.latest(spark, store)) == uids(at)
+    assert tuple(scan()[1].first()) == (1, 6, 0, 0)
