@@ -147,7 +147,7 @@ def build(sections: DataFrame, weights: dict[str, float], folder: str, uid: str
     """The first generation, of all sections. `links` makes edges of sections, `derived` those that follow from rows (uid, content_hash) of all."""
     fresh = _numbered(sections, weights, uid, 0)
     edges = _edges(None, (lambda: links(sections)) if links else None, None, derived) if links or derived else None
-    index = _write(sections.sparkSession, folder, 1, [lexical.blocked(lexical.counted(fresh, "num"))], fresh, edges)
+    index = _write(sections.sparkSession, folder, 1, [lexical.blocked(lexical.each_token(fresh, "num"))], fresh, edges)
     discard(fresh)
     return index
 
@@ -195,7 +195,7 @@ def update(sections: DataFrame, weights: dict[str, float], folder: str, uid: str
     touched = gone.select("blk").distinct()
     left = old.blocks.join(touched, "blk", "left_semi").select("term", "blk", F.inline("posts")).join(gone.select("uid"), "uid", "left_anti")
     left = left.select((F.col("blk") * lexical.BLOCK + F.col("slot")).alias("num"), "uid", "dl", "term", "tf")
-    again = lexical.blocked(left.unionByName(lexical.counted(fresh, "num").select(left.columns)))
+    again = lexical.blocked(left.unionByName(lexical.each_token(fresh, "num").select(left.columns)))
     rows = old.rows.join(gone.select("uid"), "uid", "left_anti").unionByName(fresh.select("uid", "num", "dl", "content_hash"))
     edges, changed = None, changes.filter("change <> 'added'").select(F.col("path").alias("owner"))
     if links and old.graph_generation == number:

@@ -46,6 +46,11 @@ def with_columns(rows: DataFrame, sections: DataFrame, columns: list[str]) -> Da
     return rows.join(of_few(sections, rows).select("uid", *columns), "uid")
 
 
+def no_nodes(seeds: DataFrame) -> DataFrame:
+    """What graph.new_nodes gives where there is no graph."""
+    return seeds.select("qid", F.col("uid").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("backwards"), "position").filter("false")
+
+
 def retrieve(sections: DataFrame, edges: DataFrame | graph.Steps | None, questions: DataFrame, config: Search = Search(), contexts: DataFrame | None = None, prefix_last: bool = True, aliases: dict[str, list[str]] | None = None, index: Index | None = None, body: bool = True) -> DataFrame:
     """Ranked rows of each question (qid, question): lexical seeds, expansion, fusion, status, truncation, then the boosts, which only reorder.
 
@@ -60,7 +65,7 @@ def retrieve(sections: DataFrame, edges: DataFrame | graph.Steps | None, questio
         roots = graph.seed_roots(lex, config.graph.seed_count)
         more = graph.new_nodes(graph.expand(roots, edges, config.graph), lex, config.graph)
     else:
-        more = lex.select("qid", F.col("uid").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("backwards"), "position").filter("false")
+        more = no_nodes(lex)
     fused = materialised(fuse.rrf_union(lex, more, config.fusion), "fused")
     names = [c for c in ("heading", "status", "note_title", "path", "heading_path", "start_line") if c in sections.columns]
     if contexts is not None:  # the boosts look into bodies

@@ -68,3 +68,24 @@ def source_refs(rows: DataFrame) -> DataFrame:
     """Ranked rows as sources of an answer: a place of one line, a snippet and the reason; the number is open, since uids name sections."""
     line = F.col("start_line")
     return rows.select("qid", "rank", F.lit(0).cast("long").alias("section_id"), F.col("uid").alias("section_uid"), "path", "heading_path", line.alias("start_line"), line.alias("end_line"), "score", T.snippet(F.col("body")).alias("snippet"), explain("active_app" in rows.columns).alias("explain"))
+
+
+def boost_recent(rows: DataFrame, asked: DataFrame, opened: DataFrame, days: int = 7, boost: float = 1.10, order: list[str] | None = None) -> DataFrame:
+    """Ranked rows (qid, uid, rank, score) with `recent`, and those recent lifted and ranked again; no row goes.
+
+    A row is recent if its section was opened (uid, ts) within `days` days before its question was asked (qid, ts).
+    What counts is the last opening before the question: of earlier days that is the last of the day, so only the
+    day of the question is looked at in whole, and a section that is opened all the time meets one row for each day.
+    """
+    day = lambda c: F.unix_date(F.to_date(c))
+    log = opened.select("uid", "ts", day(F.col("ts")).alias("day"))
+    last = log.groupBy("uid", "day").agg(F.max("ts").alias("ts"))
+    wanted = rows.select("qid", "uid").join(asked.select("qid", F.col("ts").alias("at")), "qid").distinct()
+    today = wanted.withColumn("day", day(F.col("at")))
+    span = F.expr(f"INTERVAL {int(days)} DAYS")
+    near = (F.col("ts") <= F.col("at")) & (F.col("ts") >= F.col("at") - span)
+    before = today.withColumn("day", F.explode(F.sequence(F.col("day") - days, F.col("day") - 1))) if days > 0 else today.filter("false")
+    hits = before.join(last, ["uid", "day"]).filter(near).select("qid", "uid").union(today.join(log, ["uid", "day"]).filter(near).select("qid", "uid"))
+    out = rows.join(hits.distinct().withColumn("recent", F.lit(True)), ["qid", "uid"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
+    out = out.withColumn("score", F.col("score") * F.when(F.col("recent"), boost).otherwise(1.0)).withColumnRenamed("rank", "__before")
+    return ranked(out, order=order or ["__before"]).drop("__before")

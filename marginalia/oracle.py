@@ -35,12 +35,12 @@ qs AS (SELECT qid, len(w) AS n, unnest(w) AS term, unnest(range(len(w))) AS slot
 qt AS (SELECT qid, term, min(slot) AS slot, bool_or(slot = n - 1) AS last FROM qs GROUP BY ALL)"""
 
 
-def bm25(name: str, columns: dict[str, float], k: int = 30) -> str:
+def bm25(name: str, columns: dict[str, float], k: int = 30, sec: str = "sec") -> str:
     """CTEs that end in `name`: (qid, uid, score, position)."""
-    rows = " UNION ALL ".join(f"SELECT uid, unnest({tok(c)}) AS term, {w}::DOUBLE AS w FROM sec" for c, w in columns.items())
+    rows = " UNION ALL ".join(f"SELECT uid, unnest({tok(c)}) AS term, {w}::DOUBLE AS w FROM {sec}" for c, w in columns.items())
     size = " + ".join(f"len({tok(c)})" for c in columns)
     return f"""{name}_p AS (SELECT uid, term, sum(w) AS tf FROM ({rows}) GROUP BY ALL),
-{name}_d AS (SELECT uid, {size} AS dl FROM sec), {name}_a AS (SELECT count(*) AS n, avg(dl) AS a FROM {name}_d),
+{name}_d AS (SELECT uid, {size} AS dl FROM {sec}), {name}_a AS (SELECT count(*) AS n, avg(dl) AS a FROM {name}_d),
 {name}_t AS (SELECT qid, slot, term FROM qt UNION SELECT qid, slot, v.term FROM qt JOIN (SELECT DISTINCT term FROM {name}_p) v ON starts_with(v.term, qt.term) WHERE last),
 {name}_m AS (SELECT qid, slot, uid, dl, sum(tf) AS tf FROM {name}_p JOIN {name}_t USING (term) JOIN {name}_d USING (uid) GROUP BY ALL),
 {name}_f AS (SELECT qid, slot, count(*) AS df FROM {name}_m GROUP BY ALL),
@@ -107,6 +107,10 @@ def unit(v: str) -> str:
     return f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
 
 
+VEC_TOPK = f"""WITH u AS (SELECT vec_id, {unit(COSINE)} AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS uid, round(list_dot_product(a.v, b.v), 5) AS score FROM u a, u b WHERE a.vec_id % {QUERY_EVERY} = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM s) WHERE position < 30"""
+
+
 def pagerank(iterations: int) -> str:
     out = """WITH e AS (SELECT DISTINCT 'page:' || page_id AS src, 'href:' || h AS dst FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)),
 dg AS (SELECT src AS node, count(*) AS degree FROM e GROUP BY ALL), nd AS (SELECT node, degree FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN dg USING (node)),
@@ -263,6 +267,15 @@ UNION ALL SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER
         "corr_version": f"{LOG} SELECT count(*) FILTER (WHERE kind = 'save' OR hit) AS version FROM f",
         "src_desktop_entries": """SELECT 'app' || c_custkey AS app_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Shared ' || c_custkey END AS app_name, CASE WHEN c_custkey % 2 = 0 THEN 'own %U' ELSE 'shared %U' END AS exec
 FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 <> 0 ELSE c_custkey % 3 <> 0 END""",
+        "boost_recent": f"""WITH {RETRIEVE}, op AS (SELECT event_id * 7 % 997 AS uid, ts FROM events), q AS (SELECT item_id AS qid, TIMESTAMP '2024-01-05' + to_hours(item_id) AS ts FROM benchmark),
+b AS (SELECT res.*, EXISTS (SELECT 1 FROM op, q WHERE op.uid = res.uid AND q.qid = res.qid AND op.ts <= q.ts AND op.ts >= q.ts - INTERVAL 2 DAYS) AS recent FROM res),
+c AS (SELECT *, score * CASE WHEN recent THEN 1.1 ELSE 1.0 END::DOUBLE AS lifted FROM b) SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY lifted DESC, rank) AS rank, round(lifted, 9) AS score, recent FROM c""",
+        "src_second_store": rf"""WITH {RETRIEVE}, psec AS (SELECT page_id AS uid, url AS path, regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g') AS heading,
+  regexp_replace(regexp_replace(html, '<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g') AS body FROM pages), {bm25('pl', FULL, sec='psec')},
+al2 AS (SELECT qid, 'vault' AS source_kind, uid, list_no, position, via, score, heading, body FROM ws UNION ALL SELECT qid, 'page', uid, 2, position, NULL, 1.0::DOUBLE / (60 + position + 1), psec.heading, psec.body FROM pl JOIN psec USING (uid)),
+tr2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, list_no, position) AS before FROM al2) WHERE before <= 20),
+hm2 AS (SELECT *, score * CASE WHEN heading_match THEN 1.3 ELSE 1.0 END::DOUBLE AS s FROM (SELECT tr2.*, len(list_filter(terms, lambda t: contains(lower(heading), t))) > 0 AS heading_match FROM tr2 JOIN ht USING (qid)))
+SELECT qid, source_kind, uid::VARCHAR AS number, CASE WHEN source_kind = 'vault' THEN uid::VARCHAR END AS section_uid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, before) AS rank, round(s, 9) AS score, via, sha256(body) AS body_sha256 FROM hm2""",
         "src_vault_scan": """WITH k AS (SELECT doc_id // 50 AS k, count(*) AS n FROM documents GROUP BY 1)
 SELECT 1::BIGINT AS scan, count(*) AS indexed, 0::BIGINT AS unchanged, 0::BIGINT AS removed, 0::BIGINT AS failed, sum(n)::BIGINT AS sections FROM k
 UNION ALL SELECT 2, count(*) FILTER (WHERE k % 4 = 0), count(*) FILTER (WHERE k % 4 = 1 OR k % 4 = 3 AND k <> 3), count(*) FILTER (WHERE k % 4 = 2), 1, (sum(n + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END) FILTER (WHERE k % 4 <> 2))::BIGINT FROM k""",
@@ -298,7 +311,13 @@ z AS (SELECT user_id, 0 AS r, NULL::VARCHAR AS cq, NULL::BIGINT AS ck, NULL::TIM
 l AS (SELECT user_id, a AS v FROM z UNION ALL SELECT user_id, b FROM z UNION ALL SELECT user_id, {{'q': cq, 's': st, 'n': n, 't': t}} FROM z JOIN (SELECT user_id, max(r) AS r FROM e GROUP BY user_id) USING (user_id, r) WHERE n > 0)
 SELECT user_id, v.q AS query_id, strftime(v.s, '%Y-%m-%d %H:%M:%S.%f') AS started, v.n AS n, v.t AS text FROM l WHERE v IS NOT NULL""",
         "st_generation_poll": "SELECT event_id, g AS generation FROM (SELECT event_id, g, lag(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM (SELECT *, (props->>'$.k')::BIGINT AS g FROM events)) WHERE l IS NULL OR l <> g",
-        "vec_topk": f"""WITH u AS (SELECT vec_id, {unit(COSINE)} AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS uid, round(list_dot_product(a.v, b.v), 5) AS score FROM u a, u b WHERE a.vec_id % {QUERY_EVERY} = 0)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM s) WHERE position < 30""",
+        "parse_subchunk": "SELECT doc_id, strlen(text) > 300 * 3.6 AS cut, sha256(coalesce(text, '')) AS body_sha256, true AS within FROM documents",
+        "pack_parts": "SELECT doc_id, strlen(text) > 300 * 3.6 AND regexp_matches(text, '[0-9]') AS by_parts, 'path of ' || doc_id AS heading_path FROM documents",
+        "vec_topk": VEC_TOPK,
+        "vec_index_topk": VEC_TOPK,
+        "vec_hybrid": f"""WITH {SEC}, {QT}, {bm25('lex', FULL)}, e AS (SELECT vec_id, {unit(COSINE)} AS v FROM embeddings),
+nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM (SELECT a.vec_id AS qid, b.vec_id AS uid, round(list_dot_product(a.v, b.v), 5) AS score FROM e a, e b WHERE a.vec_id IN (SELECT item_id FROM benchmark))) WHERE position < 30),
+u AS (SELECT qid, uid, round(sum(s), 9) AS score FROM (SELECT qid, uid, 1.0::DOUBLE / (60 + position + 1) AS s FROM lex UNION ALL SELECT qid, uid, 0.7::DOUBLE / (60 + position + 1) FROM nr) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid) - 1 AS position FROM u) WHERE position < 20""",
         "vec_mrl_truncate": f"SELECT vec_id, len(v)::BIGINT AS dims, round(v[1], 6) AS first, round(v[32], 6) AS last FROM (SELECT vec_id, {unit(f'({COSINE})[1:32]')} AS v FROM embeddings)",
     }

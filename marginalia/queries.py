@@ -14,7 +14,8 @@ from marginalia.functions import text as T
 from marginalia.jobs import index
 from marginalia.jobs import notes as notes_job
 from marginalia.jobs import retrieve as job
-from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
+from marginalia.jobs import stores
+from marginalia.operators import actions, bench, cells, context, fuse, graph, lexical, memory, pack, vectors
 from marginalia.sources import lines, tables, vault
 from marginalia.sources.store import shared_folder
 from marginalia.sources.tables import table
@@ -253,6 +254,24 @@ def ctx_informal_name(s, d):
     return table(s, d, "pages").select("page_id", context.informal_name(actions.host(F.col("url"))).alias("app"))
 
 
+def boost_recent(s, d):
+    """Events open documents; questions are asked an hour after each other."""
+    opened = stream(s, d).select((F.col("event_id") * 7 % 997).alias("uid"), "ts")
+    asked_at = questions(s, d).select("qid", (F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(hours=F.col("qid").cast("int"))).alias("ts"))
+    out = fuse.boost_recent(results(s, d), asked_at, opened, 2)
+    return out.select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "recent")
+
+
+def src_second_store(s, d):
+    """Pages beside the documents: they have numbers only, and no relations."""
+    pages = tables.page_sections(table(s, d, "pages"))
+    page_index = index.current(table(s, d, "pages"), pages, job.column_weights(pages, Search()), shared_folder(s))
+    own = _index(s, d)
+    every = [stores.Store("vault", looked_at(s, d), own, own.steps, True), stores.Store("page", pages, page_index)]
+    out = stores.retrieve(every, questions(s, d))
+    return out.select("qid", "source_kind", "number", "section_uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "via", F.sha2("body", 256).alias("body_sha256"))
+
+
 def _blocks(s, d):
     body = pack.cut(pack.sanitised(F.col("body")))
     return results(s, d, body=True).withColumn("block", pack.block(F.col("rank"), F.col("path"), F.col("heading"), F.lit(1), body))
@@ -522,6 +541,21 @@ def vec_topk(s, d):
     return vectors.top_k(every.filter(F.col("vec_id") % QUERY_EVERY == 0), every, 30)
 
 
+def vec_index_topk(s, d):
+    """The queries of vec_topk by the index of cells, which looks into further cells until no other row can be among the best."""
+    every = table(s, d, "embeddings")
+    return cells.top_k(cells.build(every), every.filter(F.col("vec_id") % QUERY_EVERY == 0), 30, exact=True)
+
+
+def vec_hybrid(s, d):
+    """Items ask with their words, and with the vector of their number; both lists count."""
+    vectors_ = table(s, d, "embeddings")
+    asks = vectors_.join(questions(s, d).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi")
+    near = cells.top_k(cells.build(vectors_), asks, 30, exact=True)
+    words = job.seeds(looked_at(s, d), questions(s, d), index=_index(s, d))
+    return lexical.top_k(fuse.rrf_sum([words, near], [1.0, 0.7]), 20)
+
+
 def vec_mrl_truncate(s, d):
     cut = vectors.shortened(table(s, d, "embeddings"), 32)
     return cut.select("vec_id", F.size("vector").cast("long").alias("dims"), F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.get("vector", F.lit(31)), 6).alias("last"))
@@ -647,6 +681,30 @@ def pack_parent_dedupe(s, d):
     return pack.without_parents(rows).select("qid", "uid", "heading_path")
 
 
+def _parts(s, d):
+    """Long documents in parts beside the short ones."""
+    rows = documents(s, d).select(F.col("doc_id").alias("section_uid"), F.col("text").alias("body"))
+    return vault.subchunks(rows, 300, 120, 20)
+
+
+def parse_subchunk(s, d):
+    """What the parts of a document amount to: none is above the bound, and joined they are the document."""
+    parts = _parts(s, d).withColumn("doc_id", F.coalesce("parent_uid", "section_uid").cast("long"))
+    whole = vault.joined_parts(parts.withColumn("parent_uid", F.col("doc_id")), ["doc_id"])
+    sizes = parts.groupBy("doc_id").agg((F.max(F.when(F.col("parent_uid").isNotNull(), F.octet_length("body"))) <= int(120 * vault.TOKEN_BYTES)).alias("within"))
+    return whole.join(sizes, "doc_id").select("doc_id", (F.col("n") > 1).alias("cut"), F.sha2("body", 256).alias("body_sha256"), F.coalesce("within", F.lit(True)).alias("within"))
+
+
+def pack_parts(s, d):
+    """Every document is found, and so are those of its parts that hold a digit; a document with a part among them goes."""
+    parts = _parts(s, d).filter("parent_uid IS NULL OR body RLIKE '[0-9]'").select(F.col("section_uid").alias("uid"), "parent_uid")
+    wholes = parts.select(F.col("parent_uid").alias("uid"), F.lit(None).cast("string").alias("parent_uid")).filter("uid IS NOT NULL").distinct()
+    cut = documents(s, d).select(F.col("doc_id").cast("string").alias("uid"), F.lit(None).cast("string").alias("parent_uid"))
+    rows = cut.union(parts.filter("parent_uid IS NOT NULL")).union(wholes).distinct().select(F.lit(1).alias("qid"), "*", F.concat(F.lit("path of "), "uid").alias("heading_path"))
+    kept = pack.without_parents(rows)
+    return kept.groupBy(F.coalesce("parent_uid", "uid").cast("long").alias("doc_id")).agg(F.bool_or(F.col("parent_uid").isNotNull()).alias("by_parts"), F.max("heading_path").alias("heading_path"))
+
+
 def parse_front_matter(s, d):
     content = F.concat(F.lit('---\nid: n'), "doc_id", F.lit('\ntitle: "A: '), "lang", F.lit('"\ntags: [a, '), "source", F.lit(', ]\napps: []\n'), F.when(F.col("doc_id") % 2 == 0, F.lit("supersedes: old\nstatus: draft\n")).otherwise(""), F.lit("status:  current \n"), F.when(F.col("doc_id") % 5 > 0, "---\n").otherwise(""), F.lit("project: none\n# Text"))
     rows = vault.note_fields(documents(s, d).select(F.col("doc_id").alias("path"), content.alias("content")))
@@ -663,5 +721,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         gen_think_filter ctx_alias ctx_app_in_query ctx_bucket g_unresolved_contradictions g_neighbourhood parse_edges parse_actions
         parse_note_sections src_glob_count vec_queue q_gate q_section_lookup pack_correction cache_get prov_rate corr_list corr_delete
         bench_latency sink_jsonl sink_json_report sink_bench_export q_source_refs q_actions_lookup prov_record corr_stale_count corr_version
-        src_desktop_entries src_path_absolutise src_vault_scan pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
+        src_desktop_entries src_path_absolutise src_vault_scan src_second_store boost_recent vec_index_topk vec_hybrid parse_subchunk pack_parts pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
     return {name: globals()[name] for name in names.split()}

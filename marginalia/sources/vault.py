@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 SECTIONS = "section_uid string, note_id string, parent_uid string, note_title string, heading string, heading_path string, body string, path string, start_line int, end_line int, order_index int, status string, tags array<string>"
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*(?:\{#([^}]+)\})?\s*$")
@@ -124,27 +125,91 @@ def actions(rows: DataFrame) -> DataFrame:
     return found.select("section_uid", "kind", target.alias("target"), F.when(line != "", line.cast("int")).alias("line"), seconds.alias("seconds"))
 
 
+#: Bytes of a token, as the packing counts them.
+TOKEN_BYTES = 3.6
+#: Where a text may be cut, the best place first: after paragraphs, lines, sentences and words.
+_CUTS = [re.compile(p) for p in (r"\n\n", r"\n", r"[.!?] ", r" ")]
+
+
+def cut_parts(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of at most `size` UTF-8 bytes that cover a text; each begins up to `overlap` bytes before the end of the last, at a word.
+
+    A part ends after the last paragraph that fits in its second half; else after the last line, sentence, word
+    or, in an unbroken run, character there.
+    """
+    raw, at = text.encode(), 0
+    chars = lambda to: len(raw[:to].decode())
+    done = 0  # characters before `at`
+    while True:
+        limit = min(at + size, len(raw))
+        while limit < len(raw) and raw[limit] & 0xC0 == 0x80:
+            limit -= 1
+        end = limit
+        if limit < len(raw):
+            half = at + (limit - at) // 2
+            while raw[half] & 0xC0 == 0x80:
+                half += 1
+            window = raw[half:limit].decode()
+            for pattern in _CUTS:
+                if found := [m.end() for m in pattern.finditer(window)]:
+                    end = half + len(window[: found[-1]].encode())
+                    break
+        stop = done + len(raw[at:end].decode())
+        yield done, stop
+        if end >= len(raw):
+            return
+        back = max(at + 1, end - overlap)
+        while raw[back] & 0xC0 == 0x80:
+            back += 1
+        space = raw.find(b" ", back, end)
+        begin = space + 1 if space >= 0 else end
+        begin = begin if begin > at else end
+        done, at = done + len(raw[at:begin].decode()), begin
+
+
+@udtf(returnType="chunk int, from_char int, part string")
+class Parts:
+    """The parts of a text, or the text itself as part 0 if it has no more than `most` tokens."""
+
+    def eval(self, text: str, most: int, size: int, overlap: int):
+        if text is None or len(text.encode()) <= most * TOKEN_BYTES:
+            yield 0, 0, text or ""
+        else:
+            for k, (s, e) in enumerate(cut_parts(text, int(size * TOKEN_BYTES), int(overlap * TOKEN_BYTES))):
+                yield k, s, text[s:e]
+
+
 def subchunks(rows: DataFrame, most: int = 700, size: int = 450, overlap: int = 60) -> DataFrame:
-    """(section_uid, chunk, body): sections over `most` estimated tokens in parts of whole paragraphs of about `size`, each beginning with the end of the one before."""
+    """(section_uid, parent_uid, chunk, from_char, body): sections of more than `most` estimated tokens in parts of `size` at most, the others as they are.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for uid, body in zip(batch["section_uid"], batch["body"]):
-                if len(body.encode()) / 3.6 <= most:
-                    out.append((uid, 0, body))
-                    continue
-                parts: list[str] = []
-                for paragraph in body.split("\n\n"):
-                    if parts and len((parts[-1] + paragraph).encode()) / 3.6 <= size:
-                        parts[-1] += "\n\n" + paragraph
-                    else:
-                        tail = parts[-1][-int(overlap * 3.6) :].split(" ", 1)[-1] + "\n\n" if parts and overlap else ""
-                        parts.append(tail + paragraph)
-                out += [(uid, k, p) for k, p in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["section_uid", "chunk", "body"])
-
-    return rows.select("section_uid", F.coalesce("body", F.lit("")).alias("body")).mapInPandas(run, "section_uid string, chunk int, body string")
+    A part is named uid/number and has the section as its parent; one that isn't cut keeps its name and has none.
+    """
+    if not 0 <= overlap < size / 2:
+        raise ValueError("parts overlap by less than half their size")
+    text = rows.select("section_uid", F.coalesce("body", F.lit("")).alias("body"))
+    out = text.lateralJoin(Parts(F.col("body").outer(), F.lit(most), F.lit(size), F.lit(overlap)))
+    whole = F.octet_length("body") <= most * TOKEN_BYTES
+    uid = F.col("section_uid").cast("string")
+    name, parent = F.when(whole, uid).otherwise(F.concat_ws("/", uid, "chunk")), F.when(~whole, uid)
+    return out.select(name.alias("section_uid"), parent.alias("parent_uid"), "chunk", "from_char", F.col("part").alias("body"))
+
+
+def joined_parts(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, parent_uid, first, n, body): parts (by, parent_uid, chunk, from_char, body) of a section that follow each other, without what they share.
+
+    The parts of a run are those of one section, so they are few.
+    """
+    order = W.partitionBy(*by, "parent_uid").orderBy("chunk")
+    runs = parts.withColumn("run", F.col("chunk") - F.row_number().over(order))
+    rows = F.array_sort(F.collect_list(F.struct("chunk", "from_char", "body")))
+    start = F.struct(F.lit("").alias("text"), F.lit(-1).alias("end"))
+
+    def add(acc, x):
+        skip = F.when(acc["end"] < 0, F.lit(0)).otherwise(acc["end"] - x["from_char"])
+        return F.struct(F.concat(acc["text"], F.substring(x["body"], skip + 1, F.length(x["body"]))).alias("text"), (x["from_char"] + F.length(x["body"])).alias("end"))
+
+    gathered = runs.groupBy(*by, "parent_uid", "run").agg(F.min("chunk").alias("first"), F.count("*").alias("n"), rows.alias("x"))
+    return gathered.select(*by, "parent_uid", "first", "n", F.aggregate("x", start, add)["text"].alias("body"))
 
 
 def below(path: Column, root: str) -> Column:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from marginalia.config import Search, sweep, with_override
 from marginalia.functions import text as T
 from marginalia.jobs import index
 from marginalia.jobs import retrieve as job
-from marginalia.operators import actions, bench, context, fuse, graph, lexical, memory, pack, vectors
+from marginalia.operators import actions, bench, cells, context, fuse, graph, lexical, memory, pack, vectors
 from marginalia.sources import lines, vault
 from marginalia.streaming import events as st
 
@@ -235,7 +236,7 @@ def test_sources(spark):
     out = vault.desktop_entries(spark.createDataFrame(entries, "dir_rank int, app_id string, content string")).collect()
     assert [tuple(r) for r in out] == [("gimp", "GIMP", "gimp %U")]
     long = "\n\n".join(f"paragraph {i} " + "word " * 100 for i in range(10))
-    parts = vault.subchunks(spark.createDataFrame([("u", long), ("v", "short")], "section_uid string, body string")).groupBy("section_uid").count().collect()
+    parts = vault.subchunks(spark.createDataFrame([("u", long), ("v", "short")], "section_uid string, body string")).withColumn("section_uid", F.coalesce("parent_uid", "section_uid")).groupBy("section_uid").count().collect()
     assert {r.section_uid: r["count"] for r in parts} == {"u": 5, "v": 1}
 
 
@@ -506,3 +507,59 @@ def test_latency(spark):
     runs = [("a", 0, 900.0, 9.0, 9.0, 9), ("a", 1, 10.0, 2.0, 100.0, 20), ("a", 2, 30.0, 0.0, 100.0, 0), ("a", 3, 20.0, 4.0, 0.0, 7), ("b", 0, 1.0, 1.0, 1.0, 1)]
     out = {r.question: tuple(r)[1:] for r in bench.latency(spark.createDataFrame(runs, "question string, run long, total_ms double, ttft_ms double, generation_ms double, output_tokens long")).collect()}
     assert out == {"a": (3, 20.0, 30.0, 30.0, 2.0, 4.0, 200.0), "": (3, 20.0, 30.0, 30.0, 2.0, 4.0, 200.0)}
+
+
+def test_parts_are_bounded_and_join_again(spark):
+    r = random.Random(6)
+    texts = ["", "short", "x" * 5000, "é🙂" * 900, "word " * 900, "One. Two! Three? " * 200, "\n\n".join("line of text\n" * r.randint(1, 40) for _ in range(30)), "a b\n\n" + "y" * 3000 + " tail " * 300]
+    texts += ["".join(r.choice(["a", "é", " ", ". ", "\n", "\n\n", "🙂" * 9, "w" * 60]) for _ in range(r.randint(300, 900))) for _ in range(20)]
+    for text in texts:
+        for size, overlap in ((200, 0), (200, 60), (37, 12)):
+            spans = list(vault.cut_parts(text, size, overlap))
+            assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(len(text[s:e].encode()) <= size for s, e in spans)
+            assert all(a[0] < b[0] <= a[1] < b[1] and len(text[b[0] : a[1]].encode()) <= overlap for a, b in zip(spans, spans[1:]))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "section_uid long, body string")
+    parts = vault.subchunks(rows, 100, 50, 10)
+    assert parts.filter("parent_uid IS NOT NULL AND octet_length(body) > 180").isEmpty()
+    whole = vault.joined_parts(parts.withColumn("parent_uid", F.coalesce("parent_uid", "section_uid")), [])
+    assert {int(x.parent_uid): x.body for x in whole.collect()} == {**dict(enumerate(texts)), 99: ""}
+    some = vault.joined_parts(parts.filter("parent_uid IS NOT NULL AND chunk <> 1"), []).filter("first = 0")
+    assert {x.n for x in some.collect()} == {1}
+    with pytest.raises(ValueError):
+        vault.subchunks(rows, 100, 50, 30)
+
+
+def _vectors(spark, n, seed=1):
+    """Clusters of near vectors, equal ones, a zero vector and a missing one."""
+    g = np.random.default_rng(seed)
+    centres = g.normal(size=(60, 16))
+    rows = [(i, (centres[i % 60] + 0.35 * g.normal(size=16)).tolist()) for i in range(n)]
+    rows += [(n + i, centres[3].tolist()) for i in range(200)] + [(n + 200, [0.0] * 16), (n + 201, None)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def test_cells_of_vectors(spark, monkeypatch):
+    every = _vectors(spark, 6000)
+    queries = every.filter("vec_id % 50 = 0")
+    monkeypatch.setattr(cells, "PART", 100)
+    built = cells.build(every)
+    assert built.rows.count() == 6201 and built.rows.groupBy("cell", "salt").count().agg(F.max("count")).first()[0] < 200
+    exact = {(r.qid, r.uid, r.position): r.score for r in vectors.top_k(queries, every.filter("embedding IS NOT NULL"), 10).collect()}
+    got = {(r.qid, r.uid, r.position): r.score for r in cells.top_k(built, queries, 10, exact=True).collect()}
+    assert got == exact
+    near = {(r.qid, r.uid) for r in cells.top_k(built, queries, 10).collect()}
+    recall = len(near & {(q, u) for q, u, _ in exact}) / len(exact)
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.9
+    few = cells.top_k(cells.build(every.limit(3), 7), queries.limit(2), 10, exact=True)
+    assert few.count() == 6 and cells.top_k(cells.build(every.limit(0)), queries, 10).count() == 0
+
+
+def test_recent_openings_lift_and_no_row_goes(spark):
+    at = lambda day, hour=0: dt.datetime(2024, 3, day, hour)
+    rows = spark.createDataFrame([(1, u, k, s) for k, (u, s) in enumerate([("a", 1.0), ("b", 0.95), ("c", 0.94), ("d", 0.5), ("e", 0.4)], 1)], "qid long, uid string, rank int, score double")
+    asked = spark.createDataFrame([(1, at(10, 12))], "qid long, ts timestamp")
+    log = spark.createDataFrame([("a", at(10, 13)), ("a", at(7, 11)), ("b", at(10, 12)), ("b", at(1)), ("c", at(7, 12)), ("d", at(8, 23)), ("d", at(11)), ("zz", at(10))], "uid string, ts timestamp")
+    out = fuse.boost_recent(rows, asked, log, 3).orderBy("rank").collect()
+    assert [(r.uid, r.recent) for r in out] == [("b", True), ("c", True), ("a", False), ("d", True), ("e", False)]
+    assert fuse.boost_recent(rows, asked, log, 0).filter("recent").collect()[0].uid == "b"
