@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.config import Boosts, Fusion, Status
+from marginalia.config import TRUST, Boosts, Fusion, Status
 from marginalia.functions import text as T
 
 
@@ -89,3 +89,17 @@ def boost_recent(rows: DataFrame, asked: DataFrame, opened: DataFrame, days: int
     out = rows.join(hits.distinct().withColumn("recent", F.lit(True)), ["qid", "uid"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
     out = out.withColumn("score", F.col("score") * F.when(F.col("recent"), boost).otherwise(1.0)).withColumnRenamed("rank", "__before")
     return ranked(out, order=order or ["__before"]).drop("__before")
+
+
+def by_trust(rows: DataFrame, classes: DataFrame, weights: dict[str, float] = TRUST, order: list[str] | None = None) -> DataFrame:
+    """Ranked rows (qid, uid, rank, score) with `trust`, weighted by the class of their source (uid, trust) and ranked again; no row goes.
+
+    A section without a class, or of one without a weight, has weight 1. A section with several classes has the
+    smallest weight. Classes are looked up for the rows that are ranked only.
+    """
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    known = classes.select("uid", "trust", F.coalesce(F.element_at(table, F.col("trust")), F.lit(1.0)).alias("__weight"))
+    least = known.join(rows.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min(F.struct("__weight", "trust")).alias("__least"))
+    out = rows.join(least, "uid", "left").withColumn("trust", F.col("__least.trust"))
+    out = out.withColumn("score", F.col("score") * F.coalesce("__least.__weight", F.lit(1.0))).withColumnRenamed("rank", "__before").drop("__least")
+    return ranked(out, order=order or ["__before"]).drop("__before")

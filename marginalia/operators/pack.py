@@ -65,9 +65,23 @@ def merged_adjacent(rows: DataFrame) -> DataFrame:
 
 
 def budget(context_tokens: int, max_output_tokens: int, reserve: int = 320) -> int:
+    """Tokens that are left for a prompt."""
     return max(0, context_tokens - max_output_tokens - reserve)
 
 
+def recounted(rows: DataFrame, tokens: Column, budget_tokens: int, most: int) -> DataFrame:
+    """Packed rows (qid, rank, block); a question whose blocks come to more tokens than the budget is packed from one row fewer than it may have.
+
+    `tokens` counts those of a row, by the tokenizer of the model; sizes in bytes are estimates only. A question
+    may have `most` rows, or as many as were found (n_found); one stays at least.
+    """
+    total = F.sum(tokens).over(W.partitionBy("qid"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy("rank"))
+    fewer = F.greatest(F.least(F.col("n_found"), F.lit(most)), F.lit(2)) - 1
+    sized = rows.withColumn("counted", total).withColumn("__nth", place)
+    return sized.filter((F.col("counted") <= budget_tokens) | (F.col("__nth") <= fewer)).drop("__nth")
+
+
 def prompts(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, prompt, sources): the taken blocks of each question in order, then the question; a fixed sentence for one without blocks.
 

@@ -75,6 +75,7 @@ tr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sco
 ht AS (SELECT item_id AS qid, list_distinct(list_filter({words('text')}, lambda w: strlen(w) > 2 AND w NOT IN ({STOPS}))) AS terms FROM benchmark),
 hm AS (SELECT tr.*, len(list_filter(terms, lambda t: contains(lower(heading), t))) > 0 AS heading_match FROM tr JOIN ht USING (qid)),
 res AS (SELECT * EXCLUDE (score, before), s AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, before) AS rank FROM (SELECT *, score * CASE WHEN heading_match THEN 1.3 ELSE 1.0 END::DOUBLE AS s FROM hm))"""
+LEXICAL = RETRIEVE.replace(COPIES, "cp AS (SELECT doc_id AS src, doc_id AS dst FROM documents WHERE false)")
 ALL_TERMS = """nt AS (SELECT qid, count(*) AS n FROM qt GROUP BY ALL),
 al AS (SELECT qid, uid FROM (SELECT qid, uid, count(*) AS h FROM lex_p JOIN (SELECT qid, term FROM qt) USING (term) GROUP BY ALL) JOIN nt USING (qid) WHERE h = n)"""
 
@@ -122,6 +123,13 @@ r{i} AS MATERIALIZED (SELECT node, degree, (1 - 0.85::DOUBLE) / (SELECT count(*)
     return out + f" SELECT node, round(rank, 9) AS rank FROM r{iterations}"
 
 
+def modes(name: str, combo: int, retrieve: str) -> str:
+    """A report of all questions by one way of retrieval, as one row."""
+    cut = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 9) AS recall_{k}" for k in (1, 3, 5))
+    return f"""SELECT * FROM (WITH {retrieve}, {ALL_TERMS}, {name} AS (SELECT q.qid, min(rank) AS rank FROM (SELECT item_id AS qid FROM benchmark) q LEFT JOIN (SELECT res.qid, res.rank FROM res JOIN al USING (qid, uid)) USING (qid) GROUP BY ALL)
+SELECT {combo}::BIGINT AS combo, count(*) AS n, {cut}, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM {name})"""
+
+
 def time_text(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -290,6 +298,17 @@ WHERE NOT (a.n % 2 = 1 AND (a.doc_id, a.n + 1) IN (SELECT (doc_id, n) FROM ln))"
         "act_urls": f"SELECT page_id, {HOST} AS host, url || CASE WHEN contains(url, '?') THEN '&t=' ELSE '?t=' END || page_id || 's' AS timed FROM pages",
         "bench_recall_mrr": f"""WITH {RETRIEVE}, {ALL_TERMS}, rk AS (SELECT q.qid, min(rank) AS rank FROM (SELECT item_id AS qid FROM benchmark) q LEFT JOIN (SELECT res.qid, res.rank FROM res JOIN al USING (qid, uid)) USING (qid) GROUP BY ALL)
 SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 9) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM rk""",
+        "bench_modes": f"{modes('rk', 0, RETRIEVE)} UNION ALL {modes('rk', 1, LEXICAL)}",
+        "lex_weights_sweep": f"""WITH {SEC}, {QT}, {bm25('one', {'heading': 1.0, 'body': 1.0})}, {bm25('many', {'heading': 20.0, 'body': 1.0})}
+SELECT 0::BIGINT AS combo, qid, uid, score, position FROM one UNION ALL SELECT 1, qid, uid, score, position FROM many""",
+        "q_unsearchable": f"{lex} SELECT item_id AS qid, (SELECT count(*) FROM lex WHERE qid = item_id) AS n FROM benchmark UNION ALL SELECT item_id + 1000000, 0 FROM benchmark",
+        "g_disabled": f"WITH {LEXICAL} SELECT qid, uid, rank, round(score, 9) AS score, list_no::BIGINT AS list_no FROM res",
+        "trust_weight": f"""WITH {RETRIEVE}, tc AS (SELECT doc_id AS uid, CASE WHEN doc_id % 10 = 0 THEN 'correction' WHEN lang = 'en' THEN 'note' WHEN lang = 'fr' THEN 'code' WHEN lang = 'de' THEN 'old' WHEN lang = 'es' THEN 'imported' END AS trust FROM documents),
+tw AS (SELECT qid, uid, rank AS before, trust, score * CASE trust WHEN 'correction' THEN 1.2 WHEN 'code' THEN 0.95 WHEN 'old' THEN 0.8 WHEN 'imported' THEN 0.7 ELSE 1.0 END::DOUBLE AS s FROM res JOIN tc USING (uid))
+SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY s DESC, before) AS rank, round(s, 9) AS score, trust FROM tw""",
+        "pack_budget": f"""WITH {RETRIEVE}, {PACK}, nf AS (SELECT qid, count(*) AS n_found FROM res GROUP BY qid), rc AS (SELECT *, sum(ceil(strlen(block) / 3.0)) OVER (PARTITION BY qid)::BIGINT AS counted, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM pk)
+SELECT qid, uid, rank, counted FROM rc JOIN nf USING (qid) WHERE counted <= 600 OR nth <= greatest(least(n_found, 5), 2) - 1""",
+        "src_questions_yaml": """SELECT text AS question, CASE WHEN item_id % 3 > 0 THEN 'n#' || item_id || '|it''s, "x" # ' || (item_id + 1) ELSE '' END AS expected, CASE WHEN item_id % 2 = 0 THEN 'vim: ~' END AS context, '- first' || chr(10) || '  note: ' || item_id AS note FROM benchmark""",
         "bench_diff": f"""WITH {TWO}, m AS (SELECT a.qid AS question, b.rank AS was, a.rank AS now, coalesce(a.rank, 1000) - coalesce(b.rank, 1000) AS delta FROM rk a JOIN rk b ON a.qid = b.qid AND a.combo = 1 AND b.combo = 0 WHERE a.rank IS DISTINCT FROM b.rank)
 SELECT row_number() OVER (ORDER BY delta DESC, question DESC) AS place, * FROM m""",
         "bench_sweep_best": f"WITH {TWO}, s AS (SELECT combo::BIGINT AS combo, count(*) AS n, avg(coalesce(1.0::DOUBLE / rank, 0)) AS m FROM rk GROUP BY combo) SELECT combo, n, round(m, 9) AS mrr FROM s ORDER BY m DESC, combo LIMIT 1",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.config import Search
+from marginalia.config import Graph, Search
 from marginalia.functions import text as T
 from marginalia.jobs import index
 from marginalia.jobs import notes as notes_job
@@ -82,9 +82,12 @@ def stream(s, d):
     return table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def results(s, d, body=False):
+def results(s, d, body=False, config=Search()):
     index_ = _index(s, d)
-    return job.retrieve(looked_at(s, d), index_.steps, questions(s, d), index=index_, body=body)
+    return job.retrieve(looked_at(s, d), index_.steps, questions(s, d), config, index=index_, body=body)
+
+
+LEXICAL = Search(graph=Graph(enabled=False))
 
 
 def corrections(s, d):
@@ -111,6 +114,16 @@ def lex_bm25_topk(s, d):
     return job.seeds(sections(s, d), questions(s, d), index=_index(s, d))
 
 
+def lex_weights_sweep(s, d):
+    """Two weights of headings, each with an index of its own."""
+    out = []
+    for combo, weight in enumerate((1.0, 20.0)):
+        rows = tables.document_sections(documents(s, d))
+        own = index.current(table(s, d, "documents"), rows, {"heading": weight, "body": 1.0}, shared_folder(s))
+        out.append(job.seeds(rows, questions(s, d), index=own).withColumn("combo", F.lit(combo).cast("long")))
+    return out[0].unionByName(out[1]).select("combo", "qid", "uid", "score", "position")
+
+
 def lex_all_terms(s, d):
     return lexical.all_terms(_index(s, d).postings, lexical.query_terms(questions(s, d)))
 
@@ -135,6 +148,14 @@ def q_no_answer(s, d):
     return questions(s, d).join(lex_all_terms(s, d).select("qid").distinct(), "qid", "left_anti").select("qid")
 
 
+def q_unsearchable(s, d):
+    """How many rows each item has, and each item in which only stop words, marks or nothing are left."""
+    bare = F.element_at(F.array(*map(F.lit, ("how do I?", " ... -- ?!", ""))), (F.col("qid") % 3 + 1).cast("int"))
+    every = questions(s, d).union(questions(s, d).select(F.col("qid") + 1_000_000, bare))
+    found = job.seeds(looked_at(s, d), every, index=_index(s, d)).groupBy("qid").agg(F.count("*").alias("n"))
+    return every.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def q_stats(s, d):
     """Counts of the index and its generation."""
     return index.counts(_index(s, d), table(s, d, "documents"), tables.line_sections(documents(s, d)))
@@ -177,6 +198,11 @@ def g_pagerank_10(s, d):
     return graph.pagerank(tables.page_links(table(s, d, "pages")), 10).select("node", F.round("rank", 9).alias("rank"))
 
 
+def g_disabled(s, d):
+    """Without the graph only lexical rows are ranked."""
+    return results(s, d, config=LEXICAL).select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), F.col("list_no").cast("long").alias("list_no"))
+
+
 def g_contradictions(s, d):
     """A bad section contradicts the first good one under the same heading."""
     sec = sections(s, d).select("section_uid", "heading", "status")
@@ -262,6 +288,15 @@ def boost_recent(s, d):
     return out.select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "recent")
 
 
+def trust_weight(s, d):
+    """Languages as classes of sources, and every tenth document a correction besides."""
+    kind = F.expr("CASE lang WHEN 'en' THEN 'note' WHEN 'fr' THEN 'code' WHEN 'de' THEN 'old' WHEN 'es' THEN 'imported' END")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("uid"), kind.alias("trust"))
+    every = docs.filter("uid % 10 > 0").union(docs.filter("uid % 10 = 0").withColumn("trust", F.lit("correction")))
+    out = fuse.by_trust(results(s, d), every)
+    return out.select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "trust")
+
+
 def src_second_store(s, d):
     """Pages beside the documents: they have numbers only, and no relations."""
     pages = tables.page_sections(table(s, d, "pages"))
@@ -281,6 +316,14 @@ def pack_greedy(s, d):
     return pack.packed(_blocks(s, d), BUDGET, Search().context_sections).select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.col("bytes_used").cast("long").alias("bytes_used"))
 
 
+def pack_budget(s, d):
+    """The budget that a model leaves, and one source fewer where three bytes to a token say that it isn't kept."""
+    budget, most = pack.budget(1_944, 1_024), Search().context_sections
+    blocks = _blocks(s, d).withColumn("n_found", F.count("*").over(W.partitionBy("qid")))
+    kept = pack.recounted(pack.packed(blocks, budget, most), F.ceil(F.octet_length("block") / 3), budget, most)
+    return kept.select("qid", "uid", F.col("rank").cast("long").alias("rank"), F.col("counted").cast("long").alias("counted"))
+
+
 def pack_prompts(s, d):
     out = pack.prompts(pack.packed(_blocks(s, d), BUDGET, Search().context_sections), questions(s, d))
     return out.select("qid", F.sha2("prompt", 256).alias("prompt_sha256"), "sources")
@@ -443,6 +486,13 @@ def bench_recall_mrr(s, d):
     return out.select("n", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")])
 
 
+def bench_modes(s, d):
+    """The report with the graph (0) and without it (1)."""
+    every = [_outcomes(s, d, results(s, d, config=c)).withColumn("combo", F.lit(k).cast("long")) for k, c in enumerate((Search(), LEXICAL))]
+    out = bench.report(every[0].union(every[1]), ["combo"])
+    return out.select("combo", "n", *[F.round(c, 9).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")])
+
+
 def bench_diff(s, d):
     heads, bodies = (_outcomes(s, d, x.withColumn("rank", F.col("position") + 1)) for x in _lists(s, d))
     name = F.col("qid").alias("question")
@@ -590,6 +640,15 @@ def sink_bench_export(s, d):
     return lines.read_questions(s, path).select("question", F.array_join("expected", ",").alias("expected"), "context", "note")
 
 
+def src_questions_yaml(s, d):
+    """Items as YAML question files, which are read back: expected uids with marks, some without a context, notes of two lines."""
+    uids = F.when(F.col("qid") % 3 > 0, F.array(F.concat(F.lit("n#"), "qid"), F.concat(F.lit("it's, \"x\" # "), F.col("qid") + 1))).otherwise(F.array().cast("array<string>"))
+    path = _path(s, "questions")
+    rows = questions(s, d).select("qid", "question", uids.alias("expected"), F.when(F.col("qid") % 2 == 0, "vim: ~").alias("context"), F.concat(F.lit("- first\n  note: "), "qid").alias("note"))
+    lines.write_question_list(rows, path)
+    return lines.read_question_list(s, path).select("question", F.array_join("expected", "|").alias("expected"), "context", "note")
+
+
 def q_source_refs(s, d):
     rows = results(s, d, body=True).withColumn("heading_path", F.col("heading")).withColumn("start_line", F.lit(1).cast("long"))
     return fuse.source_refs(rows).withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
@@ -721,5 +780,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         gen_think_filter ctx_alias ctx_app_in_query ctx_bucket g_unresolved_contradictions g_neighbourhood parse_edges parse_actions
         parse_note_sections src_glob_count vec_queue q_gate q_section_lookup pack_correction cache_get prov_rate corr_list corr_delete
         bench_latency sink_jsonl sink_json_report sink_bench_export q_source_refs q_actions_lookup prov_record corr_stale_count corr_version
-        src_desktop_entries src_path_absolutise src_vault_scan src_second_store boost_recent vec_index_topk vec_hybrid parse_subchunk pack_parts pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
+        src_desktop_entries src_path_absolutise src_vault_scan src_questions_yaml lex_weights_sweep q_unsearchable g_disabled trust_weight pack_budget bench_modes src_second_store boost_recent vec_index_topk vec_hybrid parse_subchunk pack_parts pack_merge_adjacent pack_parent_dedupe parse_front_matter"""
     return {name: globals()[name] for name in names.split()}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.config import Search, sweep, with_override
+from marginalia.config import ConfigError, Search, load, sweep, with_override
 from marginalia.functions import text as T
 from marginalia.jobs import index
 from marginalia.jobs import retrieve as job
@@ -31,6 +31,85 @@ def test_config():
     assert sweep(["a=1,2", "b=x,y"]) == [{"a": "1", "b": "x"}, {"a": "1", "b": "y"}, {"a": "2", "b": "x"}, {"a": "2", "b": "y"}]
 
 
+def test_settings_file(tmp_path, monkeypatch):
+    home = tmp_path / "home"
+    (home / "notes").mkdir(parents=True)
+    monkeypatch.setenv("HOME", str(home))
+    file = tmp_path / "settings.toml"
+
+    def problems(text):
+        file.write_text(text)
+        with pytest.raises(ConfigError) as error:
+            load(str(file))
+        return error.value.problems
+
+    file.write_text('[[sources]]\nname = "own"\npath = "~/notes"\ninclude = ["**/*.{md,txt}", "[!a]*"]\n[search]\nlexical_limit = 7\n[search.graph]\nhop_decay = 1\n[openers]\nurl = ["browser", "{url}"]\n')
+    config = load(str(file))
+    assert config.sources[0].path == str(home / "notes") and config.sources[0].trust == "note"
+    assert (config.search.lexical_limit, config.search.fused_limit, config.search.graph.hop_decay) == (7, 20, 1.0)
+    assert config.openers.url == ("browser", "{url}") and config.openers.text[0] == "nvim"
+    wrong = """
+[openers]
+video = []
+[search]
+lexical_limit = 0
+context_sections = 30
+fused = 1
+[search.graph]
+max_hops = "two"
+"""
+    paths = ["~", "/", "nowhere", str(file), "~/notes", "~/notes"]
+    every = "".join(f'[[sources]]\nname = "s{min(i, 4)}"\npath = "{p}"\n' for i, p in enumerate(paths)) + '[[sources]]\npath = "~/notes"\nexclude = ["{a,b", "[x", "ok"]\ntrust = "hearsay"\n'
+    found = problems(every + wrong)
+    # two settings that can't be read, four paths, a name twice, four of the last source, an opener, two limits
+    assert len(found) == 2 + 4 + 1 + 4 + 1 + 2, found
+    assert any("home" in x for x in found) and any("twice" in x for x in found) and any("max_hops" in x for x in found) and any("search.fused" in x for x in found)
+    assert problems("") == ["no sources are set, so there is nothing to index"]
+    assert len(problems("[[sources")) == 1
+    with pytest.raises(ConfigError):
+        load(str(tmp_path / "none.toml"))
+
+
+def test_question_lists(spark, tmp_path):
+    text = """# head
+
+---
+- question: how do I stop: the crop?
+  expected: [a#one, "b, c \\"x\\"", 'it''s']
+  note: >
+    folded over
+    lines: two
+
+    end
+- question: "quoted \\u00e9 # no comment"
+  expected:
+    - one#a   # why
+    - two
+  # a comment
+  context: ~
+-  question: plain
+    on two lines
+  note: |
+    kept
+    by lines
+"""
+    (tmp_path / "q.yaml").write_text(text)
+    got = {r.question: (r.expected, r.context, r.note) for r in lines.read_question_list(spark, str(tmp_path / "q.yaml")).collect()}
+    assert got == {
+        "how do I stop: the crop?": (["a#one", 'b, c "x"', "it's"], None, "folded over lines: two\nend"),
+        "quoted é # no comment": (["one#a", "two"], None, None),
+        "plain on two lines": ([], None, "kept\nby lines"),
+    }
+    for number, bad in enumerate(("junk\n- question: x\n", "- expected: [a]\n", "- question: x\n  other: y\n")):
+        (tmp_path / f"{number}.yaml").write_text(bad)
+        with pytest.raises(Exception, match="question"):
+            lines.read_question_list(spark, str(tmp_path / f"{number}.yaml")).collect()
+    odd = [("- a\n- question: b", ["x: y", '"', "\\", "]"], "#", "\u2028- c"), ("'", [], None, "~")]
+    rows = spark.createDataFrame(odd, "question string, expected array<string>, context string, note string")
+    lines.write_question_list(rows, str(tmp_path / "written"))
+    assert sorted(tuple(r) for r in lines.read_question_list(spark, str(tmp_path / "written")).collect()) == sorted(odd)
+
+
 def test_normal_forms(spark):
     same = [("How do I mirror bones?", "how do i mirror bones"), ("how do I deploy", "how should I deploy")]
     for a, b in same:
@@ -555,6 +634,23 @@ def test_cells_of_vectors(spark, monkeypatch):
     assert few.count() == 6 and cells.top_k(cells.build(every.limit(0)), queries, 10).count() == 0
 
 
+def test_trust_reorders_and_no_row_goes(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 1.0), (1, "b", 2, 0.9), (1, "c", 3, 0.9), (1, "d", 4, 0.1)], "qid long, uid string, rank int, score double")
+    classes = spark.createDataFrame([("a", "imported"), ("b", "correction"), ("b", "old"), ("c", "note"), ("c", None), ("e", "note"), ("d", "unheard")], "uid string, trust string")
+    out = {r.uid: (r.rank, round(r.score, 9)) for r in fuse.by_trust(rows, classes).collect()}
+    assert out == {"c": (1, 0.9), "b": (2, 0.72), "a": (3, 0.7), "d": (4, 0.1)}
+
+
+def test_recounted_packing(spark):
+    rows = [(q, r, "x" * 30) for q, n in ((1, 3), (2, 1), (3, 2)) for r in range(1, n + 1)]
+    rows = spark.createDataFrame(rows, "qid long, rank int, block string").withColumn("n_found", F.expr("element_at(array(9, 1, 2), int(qid))"))
+    kept = lambda budget: sorted((r.qid, r["rank"]) for r in pack.recounted(rows, F.length("block"), budget, 3).collect())
+    assert kept(90) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)]
+    assert kept(70) == [(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)]
+    assert kept(10) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+    assert pack.budget(100, 90) == 0
+
+
 def test_recent_openings_lift_and_no_row_goes(spark):
     at = lambda day, hour=0: dt.datetime(2024, 3, day, hour)
     rows = spark.createDataFrame([(1, u, k, s) for k, (u, s) in enumerate([("a", 1.0), ("b", 0.95), ("c", 0.94), ("d", 0.5), ("e", 0.4)], 1)], "qid long, uid string, rank int, score double")
