@@ -13,9 +13,11 @@ Documents are sets of distinct w-word shingles; two are linked when 100 * |A n B
 3. Classes that share a band key are candidates.  Each bucket first compares
    its members with its smallest member only.
 4. A second round looks for links between members of a bucket that are not yet
-   in one component.  It compares them in blocks inside a task and gives at most
-   one link for a member and component; block pairs that lie within one
-   component are never formed, and those of a large bucket are dealt by salts.
+   in one component.  It compares them in blocks inside a task, remembers what it
+   has joined and gives fewer links than the bucket has components; block pairs
+   that lie within one component are never formed, and those of a large bucket
+   are dealt by salts.  If the words refuse one of these links, all probable
+   links of its bucket are tried instead.
 5. Each comparison reads the signatures batch by batch and stops as soon as the
    posterior probability that the similarity reaches the threshold falls below
    `miss` (uniform prior).  Every link is confirmed on the words of both texts.
@@ -173,19 +175,35 @@ def _one_by_one(batch: pa.RecordBatch):
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _link_groups(least: list[int], percent: int):
+def _top(over: dict[int, int], comp: int) -> int:
+    """The component that comp has been joined to; the way there is shortened."""
+    top = comp
+    while top in over:
+        top = over[top]
+    while comp != top:
+        over[comp], comp = top, over[comp]
+    return top
+
+
+_LINK = "a long, b long, comp_a long, comp_b long, key long, salt int"
+
+
+def _link_groups(least: list[int], percent: int, every: bool = False):
     """Probable links of different components from two groups of a bucket; the same group stands for its own pairs.
 
-    A member needs one link to each other component, so no more rows come out than members and components go in.
+    Of a bucket and salt only those come out that join what the links before haven't joined yet, fewer than
+    there are components; with `every` all of them.
     """
 
     def run(batches):
+        joined = {}  # by bucket and salt: what each component was joined to
         for batch in batches:
             for row in _one_by_one(batch):
-                a, b = [], []
-                x, y = row["xs"], row["ys"]
+                out = []
+                over = joined.setdefault((row["key"], row["salt"]), {})
+                x, y = (sorted(row[z], key=lambda m: m["rid"]) for z in ("xs", "ys"))
                 sx, sy = (np.frombuffer(b"".join(m["sign"] for m in z), np.uint8).reshape(-1, HASHES) for z in (x, y))
-                cx, cy = (np.array([m["comp"] for m in z]) for z in (x, y))
+                cx, cy = (np.array([_top(over, m["comp"]) for m in z]) for z in (x, y))
                 ix, iy = (np.array([m["rid"] for m in z]) for z in (x, y))
                 wx, wy = ([np.frombuffer(m["shingles"], "<u8") for m in z] for z in (x, y))
                 for i in range(len(x)):
@@ -194,14 +212,21 @@ def _link_groups(least: list[int], percent: int):
                     if not len(stay):
                         continue
                     sizes = np.array([len(wy[j]) for j in stay])
-                    every = np.concatenate([wy[j] for j in stay])
-                    at = np.minimum(np.searchsorted(wx[i], every), len(wx[i]) - 1)
-                    both = np.add.reduceat((wx[i][at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-                    linked = stay[100 * both >= percent * (len(wx[i]) + sizes - both)]
-                    for j in dict(zip(cy[linked].tolist(), linked.tolist())).values():
-                        a.append(int(min(ix[i], iy[j])))
-                        b.append(int(max(ix[i], iy[j])))
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    shingles = np.concatenate([wy[j] for j in stay])
+                    at = np.minimum(np.searchsorted(wx[i], shingles), len(wx[i]) - 1)
+                    both = np.add.reduceat((wx[i][at] == shingles).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for j in stay[100 * both >= percent * (len(wx[i]) + sizes - both)].tolist():
+                        if not every:
+                            if cx[i] == cy[j]:
+                                continue
+                            low, high = sorted((int(cx[i]), int(cy[j])))
+                            over[high] = low
+                            cx[cx == high], cy[cy == high] = low, low
+                        p, q = sorted((x[i], y[j]), key=lambda m: m["rid"])
+                        out.append((p["rid"], q["rid"], p["comp"], q["comp"], row["key"], row["salt"]))
+                columns = zip(*out) if out else [()] * 6
+                types = [pa.int64()] * 5 + [pa.int32()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["a", "b", "comp_a", "comp_b", "key", "salt"])
 
     return run
 
@@ -303,26 +328,44 @@ def _judged(docs: DataFrame, width: int, percent: int, miss: float, id_col: str,
     sized = members.filter("n > 2").select("key", "rid").join(reps.select("rid", weight(F.col("n_shingles")).alias("w")), "rid")
     larger = sized.join(found.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     by_comp = larger.groupBy("key", "comp").agg(F.sum("w").alias("w_comp"))
-    mixed = by_comp.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("w_comp").alias("w_all")).filter("n_comps > 1")
-    # Groups of about GROUP members. A component that fills a group by itself has its own, so that most groups of a large one are pure.
+    # Groups of about GROUP members. A component that fills a group by itself has its own, so that those of a large one are pure; the others share.
     own = F.col("w_comp") >= GROUP
-    parts = F.ceil(F.when(own, F.col("w_comp")).otherwise(F.col("w_all")) / GROUP)
-    plan = mixed.join(by_comp, "key").select("key", "comp", parts.alias("parts"), F.when(own, F.col("comp")).alias("pure"), F.ceil(F.col("w_all") / (GROUP * MEET)).cast("int").alias("salts"))
-    strays = saved(larger.join(plan, ["key", "comp"]).select("key", "rid", "comp", "salts", F.xxhash64("pure", F.pmod(F.xxhash64("rid"), "parts")).alias("g")), "strays")
+    mixed = by_comp.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("w_comp").alias("w_all"), F.sum(F.when(~own, F.col("w_comp"))).alias("w_rest"), F.max(F.struct("w_comp", "comp")).alias("largest")).filter("n_comps > 1")
+    parts = F.ceil(F.when(own, F.col("w_comp")).otherwise(F.col("w_rest")) / GROUP)
+    # The groups of a bucket's largest component don't meet each other, so that the rest is what is dealt by salts.
+    main = own & (F.col("comp") == F.col("largest.comp"))
+    w_met = F.col("w_all") - F.when(F.col("largest.w_comp") >= GROUP, F.col("largest.w_comp")).otherwise(0)
+    plan = mixed.join(by_comp, "key").select("key", "comp", parts.alias("parts"), F.when(own, F.col("comp")).alias("pure"), main.alias("main"), F.ceil(w_met / (GROUP * MEET)).cast("int").alias("salts"))
+    strays = saved(larger.join(plan, ["key", "comp"]).select("key", "rid", "comp", "salts", "main", F.xxhash64("pure", F.pmod(F.xxhash64("rid"), "parts")).alias("g")), "strays")
     sets = saved(texts_of(strays.select("rid")).mapInArrow(_sets(width), "rid long, shingles binary").join(signs, "rid"), "sets")
-    groups = strays.join(sets, "rid").groupBy("key", "g").agg(F.collect_list(F.struct("rid", "comp", "sign", "shingles")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("salts").alias("salts"))
+    groups = strays.join(sets, "rid").groupBy("key", "g").agg(F.collect_list(F.struct("rid", "comp", "sign", "shingles")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("salts").alias("salts"), F.max("main").alias("main"))
     groups = saved(groups, "groups")
-    x, y = (groups.select("key", "salts", *(F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi")), F.col("m").alias(f"{s}s")) for s in "xy")
-    x = x.withColumn("salt", F.pmod(F.xxhash64("gx"), "salts").cast("int")).drop("salts")
+    x, y = (groups.select("key", "salts", *(F.col(c).alias(f"{c}{s}") for c in ("g", "lo", "hi", "main")), F.col("m").alias(f"{s}s")) for s in "xy")
+    x = x.filter("NOT mainx").withColumn("salt", F.pmod(F.xxhash64("gx"), "salts").cast("int")).drop("salts")
     y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    across = x.join(y, ["key", "salt"]).filter("gx <= gy AND NOT (lox = hix AND loy = hiy AND lox = loy)")
-    probable = saved(across.select("gx", "gy", "xs", "ys").mapInArrow(_link_groups(least, percent), "a long, b long").distinct(), "probable")
-    more = None if probable.isEmpty() else linked(probable)
-    discard(members, signs, pairs, strays, sets, groups, probable)
-    if more is not None and not more.isEmpty():
-        found = components(links.union(more))
-        discard(more)
-    discard(links)
+
+    def probable_links(x: DataFrame, every: bool) -> DataFrame:
+        across = x.join(y, ["key", "salt"]).filter("(mainy OR gx <= gy) AND NOT (lox = hix AND loy = hiy AND lox = loy)")
+        return saved(across.select("key", "salt", "gx", "gy", "xs", "ys").mapInArrow(_link_groups(least, percent, every), _LINK), "probable")
+
+    probable = probable_links(x, False)
+    higher = None
+    if not probable.isEmpty():
+        more = linked(saved(probable.select("a", "b").distinct(), "between"))
+        # Links before a refused one may have left out others of its bucket, so that all of these are tried.
+        refused = saved(probable.join(more, ["a", "b"], "left_anti").select("key", "salt").distinct(), "refused")
+        if not refused.isEmpty():
+            every = probable_links(x.join(refused, ["key", "salt"], "left_semi"), True)
+            again = linked(saved(every.select("a", "b").distinct(), "between"))
+            probable, more = probable.unionByName(every), more.union(again)
+        joins = probable.join(more.distinct(), ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+        joins = saved(joins, "joins")
+        higher = None if joins.isEmpty() else components(joins)
+    discard(members, signs, pairs, strays, sets, groups, links)
+    if higher is not None:
+        alone = higher.join(found, "node", "left_anti")
+        over = higher.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        found = found.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")).union(alone)
 
     roots = reps.select("rid", "print", "without", "doc_id", "digest").join(found.select(F.col("node").alias("rid"), "comp"), "rid", "left").withColumn("root", F.coalesce("comp", "rid"))
     best = roots.filter("comp IS NOT NULL").groupBy("root").agg(F.min(F.struct("without", "doc_id", "digest")).alias("best"))

@@ -112,3 +112,42 @@ def test_pruning_bounds():
     least = neardup.least_matches(80, 1e-4)
     assert len(least) == neardup.HASHES // neardup.BATCH and least == sorted(least)
     assert all(m < 0.8 * n for m, n in zip(least, range(neardup.BATCH, neardup.HASHES + 1, neardup.BATCH)))
+
+
+def mutual(n, seed=5):
+    """n versions of one text that are linked with each other, each with a component of its own."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(words[:k] + [f"v{k}"] + words[k + 1 :]) for k in range(n)]
+    sets = [rows for rows, _ in neardup.shingle_sets(pa.array(texts, pa.large_string()), 2)]
+    signs = [neardup.signature(s[:, 0]).astype("uint8").tobytes() for s in sets]
+    return [{"rid": i, "comp": i, "sign": g, "shingles": s[:, 0].astype("<u8").tobytes()} for i, (s, g) in enumerate(zip(sets, signs))]
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_links_of_a_group_grow_with_its_components(every):
+    m = mutual(48)
+    places = [(0, 0, m[:16], m[:16]), (0, 1, m[:16], m[16:]), (1, 1, m[16:], m[16:])]
+    rows = [{"key": 7, "salt": 0, "gx": gx, "gy": gy, "xs": xs, "ys": ys} for gx, gy, xs, ys in places]
+    batches = [pa.RecordBatch.from_pylist([row]) for row in rows]
+    extra = (True,) if every else ()
+    links = [(a, b) for out in neardup._link_groups(neardup.least_matches(80, 1e-4), 80, *extra)(batches) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    assert len(links) == len(set(links)) == (48 * 47 // 2 if every else 47)
+    reached = {0}
+    for _ in range(48):
+        reached |= {x for link in links if reached & {*link} for x in link}
+    assert reached == set(range(48))
+
+
+def test_refused_links_lose_no_others(spark, frame, monkeypatch):
+    """Probable links that the words refuse, as with equal digests, take no true link of the bucket along."""
+    real, tried = neardup._link_groups, []
+
+    def loose(least, percent, every=False):
+        tried.append(every)
+        return real(neardup.least_matches(50, 1e-4), 50, every)
+
+    monkeypatch.setattr(neardup, "_link_groups", loose)
+    rows = variants(150, 3)
+    assert key(neardup.near_duplicates(frame(rows), width=2).collect()) == key(brute(rows, 2))
+    assert tried == [False, True]
