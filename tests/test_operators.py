@@ -492,6 +492,40 @@ def test_a_frequent_term_lies_in_many_ranges(spark, tmp_path, monkeypatch):
     assert built.blocks.agg(F.max(F.size("posts"))).first()[0] <= lexical.BLOCK
 
 
+def test_blocks_are_put_together_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Texts of any length stay in the tasks that read them, and blocks answer as the postings do, whatever the groups of questions."""
+    r = random.Random(4)
+    rows = [(i, r.choice([None, "", "alpha head", "w1 beta"]), text, [f"w{i % 9}"]) for i, text in _topics(3, 700)] + [(700 + i, None, " ".join(f"w{r.randint(0, 900)}" for _ in range(30_000)), []) for i in range(2)]
+    made = spark.createDataFrame(rows, "section_uid long, heading string, body string, tags array<string>")
+    weights = {"heading": 8.0, "body": 1.0, "tags": 0.5}
+    plan = lexical.packed(made, weights, "section_uid", F.lit(""))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    built = index.build(made, weights, str(tmp_path / "index"))
+    words = [(i, term, tf) for i, *text in rows for term, tf in _weighed(text, weights).items()]
+    assert sorted(words) == sorted(tuple(x) for x in built.postings.select("uid", "term", "tf").collect())
+    assert built.rows.count() == 702 and built.rows.filter("num % 64 > 0").count() > 600
+    asked = [(q, f"w{q} w1 beta t{q}x1 t{q}" if q % 3 else "w1 w2") for q in range(30)]
+    terms = lexical.query_terms(spark.createDataFrame(asked, "qid long, question string"))
+    every = sorted(map(tuple, lexical.top_k(lexical.bm25(built.postings, built.stats, terms, keys=built.keys), 10).collect()))
+    has = {}
+    for i, term, _ in words:
+        has.setdefault(i, set()).add(term)
+    both = sorted((q, i) for q, text in asked for i, there in has.items() if set(text.split()) <= there)
+    for size in (2000, 7):
+        monkeypatch.setattr(lexical, "QUESTIONS", size)
+        assert sorted(map(tuple, lexical.best(built.packed, built.stats, terms, 10, keys=built.keys).collect())) == every
+        assert sorted(map(tuple, lexical.all_terms(built.packed, terms).collect())) == both and both
+
+
+def _weighed(columns, weights):
+    """The terms of a row with their weighted counts."""
+    out = {}
+    for text, weight in zip(columns, weights.values(), strict=True):
+        for term in (text if isinstance(text, list) else (text or "").split()):
+            out[term] = out.get(term, 0.0) + weight
+    return out
+
+
 def test_graph_of_a_generation(spark, tmp_path):
     """Edges are made anew for changed sections only; a build that fails keeps the snapshot before."""
     folder, weights = str(tmp_path / "index"), {"body": 1.0}
