@@ -325,6 +325,25 @@ def test_vectors(spark):
     assert [r.uid for r in out] == [0, 1] and out[0].score == 1.0
 
 
+def test_vectors_of_any_kind_have_the_scores_of_dot(spark, monkeypatch):
+    """Matrices only show where to look: equal vectors, halves, missing ones, holes and other sizes rank as the plain products do, and no pair is a row of the plan."""
+    g = np.random.default_rng(3)
+    rows = [(i, g.normal(size=6).round(1).tolist()) for i in range(300)] + [(300 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(40)]
+    rows += [(400, None), (401, []), (402, [1.0, 2.0]), (403, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (404, [float("nan")] * 6), (405, [0.0] * 6)]
+    every = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = every.filter("vec_id % 50 = 0 OR vec_id > 400")
+    a, b = (df.select(F.col("vec_id").alias(n), vectors.unit(F.col("embedding")).alias(f"v{n}")) for df, n in ((asked, "qid"), (every, "uid")))
+    pairs = a.crossJoin(b).select("qid", "uid", F.round(vectors.dot(F.col("vqid"), F.col("vuid")), 5).alias("score"))
+    want = sorted(map(repr, lexical.top_k(pairs, 25).collect()))
+    for name, size in (("BLOCK", 4000), ("BLOCK", 3), ("ROWS", 16), ("TILE", 2)):
+        monkeypatch.setattr(vectors, name, size)
+        out = vectors.top_k(asked, every, 25)
+        assert sorted(map(repr, out.collect())) == want and len(want) == 25 * asked.count()
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    halves = np.array([0.000005, 0.123455, -0.123455, 1.000005, 0.5, 0.0000149999])
+    assert vectors.rounded(halves).tolist() == [r.x for r in spark.createDataFrame([(float(x),) for x in halves], "x double").select(F.round("x", 5).alias("x")).collect()]
+
+
 def at(seconds):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
