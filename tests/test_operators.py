@@ -536,6 +536,19 @@ def test_blocks_are_put_together_without_a_shuffle(spark, tmp_path, monkeypatch)
         assert sorted(map(tuple, lexical.all_terms(built.packed, terms).collect())) == both and both
 
 
+def test_what_is_expected_is_looked_up_once(spark, tmp_path, monkeypatch):
+    """The report of two lists reads the index of all columns once, and makes a graph of that one only."""
+    from marginalia import queries
+
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(20).write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, graphs, all_terms, write = [], [], lexical.all_terms, index._write_graph
+    monkeypatch.setattr(lexical, "all_terms", lambda *a: seen.append(1) or all_terms(*a))
+    monkeypatch.setattr(index, "_write_graph", lambda *a: graphs.append(1) or write(*a))
+    assert queries.sink_json_report(spark, str(tmp_path)).count() == 2
+    assert len(seen) == 1 and len(graphs) == 1
+
+
 def _weighed(columns, weights):
     """The terms of a row with their weighted counts."""
     out = {}
